@@ -19,13 +19,47 @@ def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def sample(rows: DataFrame, most: int) -> list[str]:
-    """At most ``most`` distinct texts, chosen by hash: the same rows on every run."""
-    picked = rows.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("text", F.xxhash64("text").alias("h"))
-    return list(dict.fromkeys(r[0] for r in picked.orderBy("h", "text").limit(most).select("text").collect()))
+def _picked(ids: DataFrame, most: int, rows: int) -> list[int]:
+    """At most ``most`` of about ``rows`` ids, chosen by hash. A share is filtered first, so little reaches the driver."""
+    if not rows:
+        return []
+    order = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
+    share = min(1.0, (1.2 * most + 100) / rows)
+    near = ids.select("doc_id", order.alias("h")).where(F.col("h") < F.lit(int(share * (1 << 30))))
+    return [r[0] for r in near.orderBy("h", "doc_id").limit(most).collect()]
 
 
-def learnable(docs: DataFrame, labels: DataFrame, column: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, y) of labelled rows outside the held-out fold. A doc_id with two labels counts as the larger one."""
-    ys = labels.select(F.col(doc_id).alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    return documents(docs, doc_id, text).where(~held_out(F.col("doc_id"))).join(ys, "doc_id").select("text", "y")
+def _texts(docs: DataFrame, ids: list[int]) -> list[str]:
+    """Distinct texts of these ids (a bounded list, so it is broadcast), in the order of the ids."""
+    if not ids:
+        return []
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame([(i, n) for n, i in enumerate(ids)], f"doc_id {kind}, place__ long")
+    found = docs.join(F.broadcast(wanted), "doc_id").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("place__", "text").collect()
+    return list(dict.fromkeys(t for _, t in sorted((r[0], r[1]) for r in found)))
+
+
+def _labelled(labels: DataFrame, column: str, doc_id: str) -> DataFrame:
+    """(doc_id, y). A doc_id with two labels counts as the larger one."""
+    return labels.select(F.col(doc_id).alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def samples(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int], doc_id: str = "doc_id", text: str = "text") -> dict[int, list[str]]:
+    """Texts of each label value outside the held-out fold, at most ``most[value]``; only ids are shuffled."""
+    ys = _labelled(labels, column, doc_id).where(~held_out(F.col("doc_id")))
+    counts = {r["y"]: r["count"] for r in ys.where(F.col("y").isin(list(most))).groupBy("y").count().collect()}
+    rows = documents(docs, doc_id, text)
+    return {y: _texts(rows, _picked(ys.where(F.col("y") == y), n, counts.get(y, 0))) for y, n in most.items()}
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, most: int, doc_id: str = "doc_id", text: str = "text") -> list[str]:
+    """At most ``most`` texts of rows outside the held-out fold that have no label."""
+    rows = documents(docs, doc_id, text)
+    ids = rows.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    tried = _picked(ids, 4 * most, rows.count())
+    if not tried:
+        return []
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    near = docs.sparkSession.createDataFrame([(i,) for i in tried], f"doc_id {kind}")
+    known = {r[0] for r in labels.select(F.col(doc_id).alias("doc_id")).join(F.broadcast(near), "doc_id", "left_semi").distinct().collect()}
+    return _texts(rows, [i for i in dict.fromkeys(tried) if i not in known][:most])

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.labelled import documents, held_out, learnable, sample
+from weftgraph.llm.labelled import documents, held_out, samples, unlabelled
 
 #: Most training texts of each sample.
 POSITIVES, UNLABELLED = 6_000, 9_000
@@ -136,14 +136,14 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(min(0.99, max(0.05, best)))
 
 
-def train(positive: list[str], unlabelled: list[str], steps: int = STEPS) -> QualityModel:
+def train(positive: list[str], other: list[str], steps: int = STEPS) -> QualityModel:
     """Fit on two lists of texts. Without positives every score is 0; without unlabelled text every score is 1."""
-    if not positive or not unlabelled:
+    if not positive or not other:
         edges = [np.array([]) for _ in NAMES]
         weights = np.zeros(len(NAMES) + 1)
         weights[-1] = 30.0 if positive else -30.0
         return QualityModel(edges, weights, float(bool(positive)))
-    ps, us = (np.array([features(t) for t in texts]) for texts in (positive, unlabelled))
+    ps, us = (np.array([features(t) for t in texts]) for texts in (positive, other))
     model = QualityModel([_edges(c) for c in np.vstack([ps, us]).T], np.zeros(0), 0.5)
     p, u = model.design(ps), model.design(us)
     rough = _descend(p[::2], u[::2], 0.5, steps // 2)  # every second row ranks, the others measure
@@ -156,12 +156,10 @@ def train(positive: list[str], unlabelled: list[str], steps: int = STEPS) -> Qua
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", positives: int = POSITIVES, others: int = UNLABELLED) -> QualityModel:
     """Train on positives outside the held-out fold and on rows without a label."""
-    trusted = sample(learnable(docs, labels, label, doc_id, text).where("y = 1"), positives)
-    known = labels.select(F.col(doc_id).alias("doc_id")).where("doc_id is not null").distinct()
-    rest = documents(docs, doc_id, text).where(~held_out(F.col("doc_id"))).join(known, "doc_id", "left_anti")
-    return train(trusted, sample(rest, unlabelled))
+    trusted = samples(docs, labels, label, {1: positives}, doc_id, text)[1]
+    return train(trusted, unlabelled(docs, labels, others, doc_id, text))
 
 
 def score(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

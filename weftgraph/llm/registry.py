@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, exact_dedup, near_dedup, quality, sharding, toxicity
+from weftgraph.llm import bpe, embedding_dedup, exact_dedup, near_dedup, quality, sharding, toxicity
 from weftgraph.session import table
 
 
@@ -26,6 +26,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op4_quality": op4_quality,
         "op5_bpe": op5_bpe,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op8_near_dedup": op8_near_dedup,
         "op10_sharding": op10_sharding,
     }

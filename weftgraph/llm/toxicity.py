@@ -25,7 +25,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.labelled import documents, held_out, learnable, sample
+from weftgraph.llm.labelled import documents, held_out, samples
 
 #: Most training texts of each class. Half of them train the dictionaries, the others calibrate.
 SAMPLE = {1: 4_000, 0: 8_000}
@@ -202,8 +202,8 @@ def train(toxic: list[str], ordinary: list[str], toxic_bytes: int = TOXIC_BYTES,
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: dict[int, int] | None = None) -> CompressionModel:
     """Train on bounded samples of the labelled rows outside the held-out fold."""
-    rows, most = learnable(docs, labels, label, doc_id, text), most or SAMPLE
-    return train(sample(rows.where("y = 1"), most[1]), sample(rows.where("y = 0"), most[0]))
+    texts = samples(docs, labels, label, most or SAMPLE, doc_id, text)
+    return train(texts[1], texts[0])
 
 
 def score(docs: DataFrame, model: CompressionModel, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
