@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import bpe, embedding_dedup, exact_dedup, near_dedup, quality, sharding, toxicity
+from weftgraph.llm import bpe, chat, embedding_dedup, exact_dedup, near_dedup, quality, sharding, toxicity
 from weftgraph.session import table
 
 
@@ -34,6 +34,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return events.withColumn("errors", F.array_join("errors", "; "))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op8_near_dedup": op8_near_dedup,
+        "op9_chat_format": op9_chat_format,
         "op10_sharding": op10_sharding,
     }
 
@@ -53,4 +59,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op9_chat_format": chat.ORACLE_SQL,
     }
