@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import bpe, chat, embedding_dedup, exact_dedup, near_dedup, quality, sharding, toxicity
+from weftgraph.llm import bpe, chat, embedding_dedup, exact_dedup, html_text, near_dedup, quality, sharding, toxicity
 from weftgraph.session import table
 
 
@@ -30,6 +30,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_bpe": op5_bpe,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_html_text": op7_html_text,
         "op8_near_dedup": op8_near_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_sharding": op10_sharding,
