@@ -162,24 +162,31 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return train(trusted, unlabelled(docs, labels, others, doc_id, text))
 
 
+def scorer(docs: DataFrame, model: QualityModel):
+    """The model as an Arrow-batched column function; each task unpacks it once."""
+    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = pickle.loads(held.value)
+        for texts in batches:
+            yield pd.Series(own.scores(np.array([features(t) for t in texts.fillna("")])) if len(texts) else [], dtype=float)
+
+    return scored
+
+
+def keep(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows whose score reaches the threshold, with all their columns; null texts count as empty."""
+    return docs.where(scorer(docs, model)(F.col(text)) >= threshold)
+
+
 def score(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Null texts count as empty; an empty text has the features of a text without words and is scored like any other.
     Repeated rows and ties are scored alike. An empty table gives no rows. Columns beside doc_id and text are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = pickle.loads(held.value)
-        for frame in frames:
-            texts = frame.pop("text")
-            frame["score"] = own.scores(np.array([features(t) for t in texts])) if len(texts) else pd.Series(dtype=float)
-            yield frame
-
-    rows = documents(docs, doc_id, text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInPandas(scored, f"doc_id {kind}, held_out boolean, score double")
+    rows = documents(docs, doc_id, text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(docs, model)("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
