@@ -18,14 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftgraph.llm.skew import HEAVY, without
 from weftgraph.session import cut
 
 #: The characters that normalisation deletes: space and the controls 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a memtable holds before it is flushed, and filter bits for each entry of a run.
 MEMTABLE_BYTES, FILTER_BITS, FILTER_HASHES = 32 << 20, 10, 7
-#: Digests with over 1/HEAVY of all rows are joined by broadcast: there are under HEAVY of them, by counting.
-HEAVY = 1000
 
 ENTRY = pa.schema([("digest", pa.binary()), ("tag", pa.binary()), ("code_points", pa.int64()), ("doc_id", pa.int64()), ("rows", pa.int64()), ("body", pa.binary()), ("filter", pa.binary())])
 ENTRY_DDL = "digest binary, tag binary, code_points long, doc_id long, rows long, body binary, filter binary"
@@ -215,6 +214,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mem
     return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("heavy_size", "group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns: one of each group of equal texts."""
+    return without(docs, cut(exact_dedup(docs, doc_id, text).select("doc_id", "kept")), doc_id)
+
+
 ORACLE_SQL = r"""
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents

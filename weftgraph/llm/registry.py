@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import bpe, chat, embedding_dedup, exact_dedup, html_text, near_dedup, quality, sharding, toxicity
+from weftgraph.llm import bpe, chat, embedding_dedup, exact_dedup, html_text, near_dedup, packing, quality, sharding, toxicity
 from weftgraph.session import table
 
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_toxicity": op2_toxicity,
+        "op3_packing": op3_packing,
         "op4_quality": op4_quality,
         "op5_bpe": op5_bpe,
         "op6_embedding_dedup": op6_embedding_dedup,

@@ -21,3 +21,16 @@ def look_up(rows: DataFrame, index: DataFrame, key: str, size: str, total: int,
     dealt = F.when(F.col("hot__"), F.unhex(F.md5(F.coalesce(F.col(spread).cast("string"), F.lit(""))))).otherwise(F.col(key))
     out = out.withColumn("deal__", dealt).join(light, F.col("deal__") == F.col("key__"), "left")
     return out.select(*rows.columns, *[F.coalesce(f"{v}__hot", v).alias(v) for v in values])
+
+
+def without(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that ``decided`` (doc_id, kept) drops; of rows that repeat a kept doc_id, one stays.
+
+    Only the dropped ids are joined: the text moves at most once, and not at all where the ids are few.
+    """
+    dropped = decided.where("not kept").select(F.col("doc_id").alias(doc_id))
+    rest = docs.join(dropped, doc_id, "left_anti")
+    repeated = decided.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(doc_id))
+    if repeated.isEmpty():
+        return rest
+    return rest.join(repeated, doc_id, "left_anti").unionByName(rest.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id]))
