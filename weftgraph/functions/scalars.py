@@ -51,7 +51,7 @@ def is_import(name: Column, kind: Column) -> Column:
 
 
 def metric_text(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", value), F.lit("N/A"))
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.2f", value))
 
 
 def is_sha256(text: Column) -> Column:
