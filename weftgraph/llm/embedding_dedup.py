@@ -53,9 +53,8 @@ def codes(vectors: np.ndarray, tables: int, k: int, probes: int = PROBES) -> np.
     width = 1 << max(1, (dim - 1).bit_length())
     base = np.zeros((rows, width))
     base[:, :dim] = vectors
-    out = np.zeros((rows, tables, 1 + probes), dtype=np.int64)
+    out = np.full((rows, tables, 1 + probes), -1, dtype=np.int64)  # -1: no such bucket
     moves = [((j, 1),) for j in range(k)] + [((j, 2),) for j in range(k) if width > 2] + [((i, 1), (j, 1)) for i in range(k) for j in range(i)]
-    moves = (moves * (probes // len(moves) + 1))[: max(probes, len(moves))]
     for t, signs in enumerate(_signs(tables, k, width)):
         best, gaps = [], []
         for s in signs:
@@ -73,7 +72,7 @@ def codes(vectors: np.ndarray, tables: int, k: int, probes: int = PROBES) -> np.
         cost = np.stack([sum(gaps[j][:, r] for j, r in m) for m in moves], axis=1)
         code = np.stack([home + sum((best[j][:, r] - best[j][:, 0]) * scale[j] for j, r in m) for m in moves], axis=1)
         order = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-        out[:, t, 0], out[:, t, 1:] = home, np.take_along_axis(code, order, 1)
+        out[:, t, 0], out[:, t, 1 : 1 + order.shape[1]] = home, np.take_along_axis(code, order, 1)
     return out
 
 
@@ -117,6 +116,8 @@ def _hashed(rows: int, kind: str):
                 payload, held = [v.tobytes() for v in flat], [c.tobytes() for c in found]
                 for t in range(tables):
                     for p in range(1 + PROBES):
+                        if found[0, t, p] < 0:
+                            continue
                         yield pd.DataFrame({"bucket": _bucket(int(dim), t, found[:, t, p]), "tab": t, "dim": int(dim), "rep": part["rep"].to_numpy(), "weight": part["weight"].to_numpy(), "vec": payload, "codes": held})
 
     return hashed
