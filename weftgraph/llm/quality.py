@@ -152,7 +152,7 @@ def train(positive: list[str], other: list[str], steps: int = STEPS) -> QualityM
     model.weights = _descend(p, u, model.prior, steps)
     if halves:  # positives are held against the fit that didn't see them
         unseen = np.concatenate([p[1::2] @ halves[0], p[0::2] @ halves[1]])
-        model.shift = float(np.quantile(unseen, LOST)) - math.log(THRESHOLD / (1 - THRESHOLD))
+        model.shift = max(0.0, float(np.quantile(unseen, LOST))) - math.log(THRESHOLD / (1 - THRESHOLD))  # never below even odds
     return model
 
 
