@@ -6,7 +6,8 @@
 3. Candidates are not expanded to all pairs of a bucket. In a first round each bucket is a chain: only neighbours, in
    an order of its own for each band, are compared, so a document has 64 partners at most, however large its group.
    What the links join becomes a component. In a second round, the buckets that still hold several components compare
-   every row outside their largest component with all rows of other components, in blocks of bounded size. Rows that
+   every row outside their largest component with all rows of other components, in blocks of bounded size, and verify
+   them there: no pair leaves the task but links. Rows that
    are in one component already need no further comparison: no link between them could change a result.
 4. A pair's signatures are compared in batches of 16. After each, the posterior probability of a similarity of at
    least 0.75, from a uniform prior, is held against the miss probability; below it the pair is pruned.
@@ -28,15 +29,17 @@ from pyspark.sql.window import Window
 
 from weftgraph.llm.graph import components
 from weftgraph.llm.labelled import documents
-from weftgraph.llm.skew import look_up
+from weftgraph.llm.skew import look_up, without
 from weftgraph.session import cut
 
 #: Words in a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 5, 75
 #: Values of a signature, values of a band, values of a batch, and the probability of pruning a true link.
 VALUES, BAND, BATCH, MISS = 128, 4, 16, 1e-4
-#: Rows of a bucket that one block of the second round holds on average.
-BLOCK = 1024
+#: Rows of a bucket that one block of the second round holds on average, and the pairs that it compares at a time.
+BLOCK, CHUNK = 1024, 100_000
+#: What a row is in a block: one of its own rows, a row outside the largest component that is compared with them, or both.
+HOME, BOTH, GUEST = 0, 1, 2
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -186,42 +189,69 @@ def _verify(percent: int):
     return verify
 
 
-def _across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _across(percent: int):
     """Second round: within each (bucket, block), rows outside the bucket's largest component against all others.
 
-    Rows come sorted by (bucket, block, minor). A block's major rows are kept while its minor rows pass in chunks.
+    Rows come sorted by (bucket, block). A pair is compared in the first band that it shares, and from the side of the
+    smaller id where both rows are minor. Survivors of the signatures are verified at once, likeliest first; one link
+    to a component is enough. A task holds one block, and CHUNK pairs of it at a time.
     """
     bounds = batch_bounds()
-    key, held = None, []
-
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        home, minor = rows[~rows["minor"]], rows[rows["minor"]]
-        out = []
-        if len(home) and len(minor):
-            sig, comp, rep = _matrix(home["sig"]), home["comp"].to_numpy(), home["rep"].to_numpy()
-            for s, c, r in zip(_matrix(minor["sig"]), minor["comp"].to_numpy(), minor["rep"].to_numpy(), strict=True):
-                other = np.flatnonzero(comp != c)
-                if len(other):
-                    keep = other[survive(np.broadcast_to(s, (len(other), VALUES)), sig[other], bounds)]
-                    out += [(min(r, x), max(r, x)) for x in rep[keep].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
 
-    for frame in frames:
-        for k, part in frame.groupby(["bucket", "block"], sort=False):
-            if k != key and held:
-                yield pairs(pd.concat(held))
-                held = []
-            key = k
-            held.append(part)
-    if held:
-        yield pairs(pd.concat(held))
-
-
-def _links(pairs: DataFrame, sigs: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that survive the signatures (where given) and the exact test."""
-    if sigs is not None:
-        first, second = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-        pairs = cut(pairs.join(first, "a").join(second, "b").mapInPandas(_prune, "a long, b long"))
+    def found(held: dict[str, list]) -> list[tuple]:
+        role = np.array(held["role"])
+        guests, homes = np.flatnonzero(role != HOME), np.flatnonzero(role != GUEST)
+        if not len(guests) or not len(homes):
+            return []
+        rep, comp, major, band = np.array(held["rep"]), np.array(held["comp"]), held["major"][0], held["band"][0]
+        sig = np.frombuffer(b"".join(held["sig"]), dtype="<u2").reshape(-1, VALUES)
+        bands = sig.view("<u8").reshape(len(sig), -1)
+        out, step = [], max(1, CHUNK // len(homes))
+        for start in range(0, len(guests), step):
+            g, h = (x.ravel() for x in np.meshgrid(guests[start : start + step], homes, indexing="ij"))
+            use = (comp[g] != comp[h]) & ((comp[h] == major) | (rep[g] < rep[h]))
+            g, h = g[use], h[use]
+            use = (bands[g] == bands[h]).argmax(axis=1) == band
+            g, h = g[use], h[use]
+            use = survive(sig[g], sig[h], bounds)
+            g, h = g[use], h[use]
+            order = np.argsort(-(sig[g] == sig[h]).sum(axis=1), kind="stable")
+            done: set[tuple] = set()
+            for x, y in zip(g[order].tolist(), h[order].tolist(), strict=True):
+                meeting = (rep[x], comp[y])
+                if meeting not in done and linked(np.frombuffer(held["shingles"][x], dtype=np.uint64), np.frombuffer(held["shingles"][y], dtype=np.uint64), percent):
+                    done.add(meeting)
+                    out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        return out
+
+    def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("role", "rep", "comp", "major", "band", "sig", "shingles")
+        key, held, out = None, {n: [] for n in names}, []
+        for frame in frames:
+            columns = {n: frame[n].tolist() for n in names}
+            keys = list(zip(frame["bucket"].tolist(), frame["block"].tolist(), strict=True))
+            start = 0
+            for at in range(1, len(keys) + 1):
+                if at == len(keys) or keys[at] != keys[start]:
+                    if keys[start] != key:
+                        if key is not None:
+                            out += found(held)
+                        key, held = keys[start], {n: [] for n in names}
+                    for n in names:
+                        held[n] += columns[n][start:at]
+                    start = at
+        if key is not None:
+            out += found(held)
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
+
+    return across
+
+
+def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that survive the signatures and the exact test."""
+    first, second = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    pairs = cut(pairs.join(first, "a").join(second, "b").mapInPandas(_prune, "a long, b long"))
     first, second = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
     return cut(pairs.join(first, "a").join(second, "b").mapInPandas(_verify(percent), "a long, b long"))
 
@@ -241,29 +271,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     bands = VALUES // BAND
     banded = sigs.select("rep", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sig", 2 * BAND * i + 1, 2 * BAND).alias("part")) for i in range(bands)])).alias("x"))
-    bucket = F.xxhash64("x.band", "x.part")
-    banded = banded.select("rep", bucket.alias("bucket"))
+    banded = banded.select("rep", F.col("x.band").alias("band"), F.xxhash64("x.band", "x.part").alias("bucket"))
     chain = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "rep"), "rep")
-    neighbours = banded.withColumn("next", F.lead("rep").over(chain)).where("next is not null and next <> rep")
+    shared = banded.withColumns({"next": F.lead("rep").over(chain), "before": F.lag("rep").over(chain)})
+    shared = cut(shared.where("next is not null or before is not null"))  # rows of buckets that hold several
+    neighbours = shared.where("next is not null and next <> rep")
     chained = cut(neighbours.select(F.least("rep", "next").alias("a"), F.greatest("rep", "next").alias("b")).distinct())
 
-    candidates = chained.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = candidates.withColumnRenamed("rep", "doc_id")
+    wanted = chained.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = cut(rows.join(wanted, "doc_id").mapInPandas(_sets(words), "doc_id long, shingles binary").select(F.col("doc_id").alias("rep"), "shingles"))
     links = _links(chained, sigs, sets, percent)
     comps = components(links)
 
-    #: Buckets that still hold several components.
-    placed = banded.join(candidates, "rep", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+    # Buckets of three rows or more that still hold several components; the only pair of a smaller one was a chain.
+    placed = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    open_buckets = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
+    open_buckets = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1 and n > 2")
     open_buckets = open_buckets.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("major"))
-    inside = cut(placed.join(open_buckets, "bucket").join(sigs, "rep"))
-    home = inside.select("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("minor"), "comp", "rep", "sig")
-    minor = inside.where("comp <> major").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("minor"), "comp", "rep", "sig")
-    blocks = home.unionByName(minor).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "minor")
-    crossing = blocks.mapInPandas(_across, "a long, b long").distinct().join(chained, ["a", "b"], "left_anti")
-    more = _links(crossing, None, sets, percent)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    to = F.when(F.col("comp") == F.col("major"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    role = F.when(F.col("comp") == F.col("major"), HOME).when(F.col("block") == own, BOTH).otherwise(GUEST)
+    spread = placed.join(open_buckets, "bucket").withColumn("block", F.explode(to)).withColumn("role", role)
+    blocks = spread.select("bucket", "band", "block", "role", "rep", "comp", "major").join(sigs, "rep").join(sets, "rep")
+    blocks = blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    more = cut(blocks.mapInPandas(_across(percent), "a long, b long").distinct())
     comps = components(links.unionByName(more))
 
     total = classes.agg(F.sum("rows")).first()[0] or 0
@@ -272,3 +303,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = look_up(signed.select("doc_id", "n_shingles", "digest"), index, "digest", "rows", total, "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns: one of each component of near copies."""
+    return without(docs, cut(near_duplicates(docs, doc_id, text).select("doc_id", "kept")), doc_id)
