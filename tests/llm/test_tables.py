@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import chat, exact_dedup, near_dedup, packing, sharding
+from weftgraph.llm import bpe, chat, exact_dedup, near_dedup, packing, sharding
 
 rng = random.Random(2)
 
@@ -80,6 +80,15 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_counts_tokens(spark):
+    """Lengths are the encoder's tokens: of several a word, of text without blanks, and of none in blanks."""
+    texts = ["unbelievably antidisestablishmentarian 12345", "qzxv" * 5000, "it's, ok!", " \n", None]
+    got = {r["doc_id"]: r["n_tokens"] for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), buckets=2).collect()}
+    coder = bpe.WordBpe(bpe.vocabulary())
+    assert got == {i: len(coder.encode(t or "")) for i, t in enumerate(texts)}
+    assert got[0] > 3 and got[1] > 5000 and got[3] == got[4] == 0
+
+
 def test_chat_linking(spark):
     call = lambda *calls: json.dumps({"content": "ok", "tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in calls]})
     reply = lambda i, c: json.dumps({"tool_call_id": i, "content": c})

@@ -39,6 +39,13 @@ def test_bpe_cases(coder, library, text):
     assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="aeinrsth' \n\x1c\u00a0!İΣ", max_size=80))
+def test_bpe_counts(coder, text):
+    for t in (text, f"{text}<|endoftext|>{text}"):
+        assert coder.count(t) == len(coder.encode(t))
+
+
 def test_bpe_documents(spark, coder):
     rows = spark.createDataFrame([(1, "the cat sat", "x"), (2, None, "y"), (2, "", "y")], "doc_id bigint, text string, ids string")
     got = bpe.encode_documents(rows, with_ids=True).collect()

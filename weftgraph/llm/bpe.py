@@ -17,17 +17,20 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import ahocorasick
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.labelled import documents
 
 #: Words that an encoder remembers, and the longest that it does. Both bound memory, not results.
 CACHE, CACHED_CHARS = 600_000, 64
+#: Words and pieces whose number of tokens an encoder remembers.
+COUNTED = 1_200_000
 #: Distance of the alphabet of last symbols from that of inner ones.
 LAST = 0x10000
 #: Place reached by no rank.
@@ -71,6 +74,7 @@ class WordBpe:
         self._merges(vocab, pairs)
         self._offsets({**vocab, **self.special})
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.counts: dict[str, int] = {}
 
     def _inner(self, token: str) -> str:
         """A token over the two alphabets."""
@@ -178,9 +182,12 @@ class WordBpe:
                 raise ValueError(f"no encoding of {word!r}")
         return tuple([starts[p][c][1] for p, c in path])
 
+    @staticmethod
+    def _normal(text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # lower-casing goes symbol by symbol
+
     def _segment(self, text: str) -> list[int]:
-        """Ids of text without special tokens."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # lower-casing goes symbol by symbol
+        """Ids of normalised text without special tokens."""
         known, ids = self.cache, []
         for w in self.words.findall(text):
             got = known.get(w)
@@ -195,15 +202,47 @@ class WordBpe:
 
     def encode(self, text: str) -> list[int]:
         if self.specials is None or not any(t in text for t in self.special):
-            return self._segment(text)
+            return self._segment(self._normal(text))
         ids: list[int] = []
         for part in self.specials.split(text):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                ids += self._segment(part)
+                ids += self._segment(self._normal(part))
         return ids
 
+    def _count(self, text: str) -> int:
+        """Tokens of text without special tokens, by pieces between blanks and line ends: the split pattern matches neither.
+
+        A word alone is a piece that the pattern matches whole, so pieces and words share the memory.
+        """
+        known, total = self.counts, 0
+        for piece in self._normal(text).replace("\n", " ").split(" "):
+            n = known.get(piece)
+            if n is None:
+                n = 0
+                for w in self.words.findall(piece):
+                    got = known.get(w)
+                    if got is None:
+                        got = len(self.encode_word(w))
+                        self._remember(w, got)
+                    n += got
+                self._remember(piece, n)
+            total += n
+        return total
+
+    def _remember(self, piece: str, n: int) -> None:
+        if len(piece) <= CACHED_CHARS:
+            if len(self.counts) >= COUNTED:
+                self.counts.clear()
+            self.counts[piece] = n
+
+    def count(self, text: str) -> int:
+        """The length of ``encode(text)``, without its ids."""
+        if self.specials is None or not any(t in text for t in self.special):
+            return self._count(text)
+        return sum(1 if part in self.special else self._count(part) for part in self.specials.split(text))
+
     def decode(self, ids: list[int]) -> bytes:
         buffer, offset = self.buffer, self.offset
         return b" ".join([buffer[offset[i] : offset[i + 1]] for i in ids])
@@ -219,6 +258,25 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+@lru_cache(maxsize=1)
+def shared(source: str) -> WordBpe:
+    """One encoder for all tasks of a Python worker, with what it remembers."""
+    return WordBpe(source)
+
+
+def token_counter(docs: DataFrame, path: str | None = None):
+    """Tokens of a text as an Arrow-batched column function; nulls count as empty. Each worker builds the encoder once."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    @F.pandas_udf("long")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe = shared(held.value)
+        for texts in batches:
+            yield pd.Series([bpe.count(t) for t in texts.fillna("")], dtype="int64")
+
+    return counted
+
+
 def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and ``ids`` where asked for.
 

@@ -1,12 +1,12 @@
 """Packing by optimal length buckets: dynamic programming over the global length histogram.
 
-Every document has a length in tokens. Lengths fall into buckets; a batch holds documents of one bucket, padded to the
+Every document has a length in tokens of the package's own encoder. Lengths fall into buckets; a batch holds documents of one bucket, padded to the
 bucket's longest length, and as many of them as the token budget allows. The bucket boundaries are those that need the
 fewest padding tokens over all documents, found exactly by dynamic programming over the histogram of lengths.
 
 The histogram is kept on a fixed grid: exact up to 1024 tokens, above that in steps of 1/128 of the length's power of
 two, with the longest true length of each step. So it has a few thousand rows at most, however long documents get.
-DataFrame functions only.
+Tokens are counted in Arrow-batched Python; the rest is DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftgraph.llm.bpe import token_counter
 from weftgraph.llm.sharding import with_slots
 from weftgraph.session import cut
 
@@ -22,11 +23,6 @@ BUCKETS, BUDGET = 16, 16_384
 EXACT, STEPS = 1024, 128
 
 
-def word_count(text: Column) -> Column:
-    """Words as runs of other characters than blanks; the default length."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-
-
 def grid(length: Column) -> Column:
     """Bin of a length: its smallest member."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - F.lit(np.log2(STEPS))).cast("long")
@@ -68,11 +64,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", length: Column | None = None,
     """One row per document: doc_id, n_tokens, bucket, pad_to, batch, place, padding.
 
     ``batch`` numbers the batches of a bucket, ``place`` the rows of a batch; both count from 0. A batch holds
-    floor(budget / pad_to) rows, at least one: a bucket longer than the budget has one row a batch. Null and empty texts
+    floor(budget / pad_to) rows, at least one: a bucket longer than the budget has one row a batch. ``n_tokens`` is the
+    encoder's count of the whole text, or ``length`` where given; ``budget`` is in the same unit. Null and empty texts
     have length 0 and are packed with the shortest. Ties and repeated rows each get a place. An empty table gives no
     rows. Columns beside doc_id and the length's are not read.
     """
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.greatest(word_count(F.col(text)) if length is None else length.cast("long"), F.lit(0)).alias("n_tokens")))
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.greatest(token_counter(docs)(F.col(text)) if length is None else length.cast("long"), F.lit(0)).alias("n_tokens")))
     bins = rows.groupBy(grid(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
     bins = sorted(tuple(r) for r in bins.collect())  # a few thousand rows: see the grid
     ends, _ = best_boundaries([b[1] for b in bins], [b[2] for b in bins], [b[3] for b in bins], buckets)
