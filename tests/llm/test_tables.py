@@ -3,7 +3,7 @@
 import json
 import random
 import zlib
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +67,19 @@ def test_best_boundaries():
     assert packing.best_boundaries([], [], [], 3) == ([], 0)
 
 
+def test_boundaries_of_long_documents(spark):
+    """Least padding over all distinct lengths, against the plain quadratic programme; long lengths that lie close."""
+    for _ in range(5):
+        lengths = sorted(rng.choice([1100, 3000, 5000, 90_000]) + rng.randrange(60) for _ in range(rng.randrange(150, 300)))
+        upto, n = [0, *accumulate(lengths)], len(lengths)
+        best = [0] + [10**18] * n
+        for _ in range(6):
+            best = [0] + [min(best[j], *(best[i] + lengths[j - 1] * (j - i) - upto[j] + upto[i] for i in range(j))) for j in range(1, n + 1)]
+        docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id bigint, n bigint")
+        got = packing.pack(docs.withColumn("text", F.lit("")), length=F.col("n"), buckets=6).agg(F.sum("padding")).first()[0]
+        assert got == best[-1]
+
+
 def test_packing(spark):
     rows = [(i, " ".join("w" * rng.choice([1, 5, 9, 40, 300]))) for i in range(400)] + [(1000, None), (1001, ""), (1002, "w " * 30_000)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, bucket string")

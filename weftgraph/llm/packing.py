@@ -1,11 +1,13 @@
 """Packing by optimal length buckets: dynamic programming over the global length histogram.
 
-Every document has a length in tokens of the package's own encoder. Lengths fall into buckets; a batch holds documents of one bucket, padded to the
-bucket's longest length, and as many of them as the token budget allows. The bucket boundaries are those that need the
-fewest padding tokens over all documents, found exactly by dynamic programming over the histogram of lengths.
+Every document has a length in tokens of the package's own encoder. Lengths fall into buckets; a batch holds documents
+of one bucket, padded to the bucket's longest length, and as many of them as the token budget allows. The bucket
+boundaries are those that need the fewest padding tokens over all documents, found exactly by dynamic programming over
+the histogram of lengths.
 
-The histogram is kept on a fixed grid: exact up to 1024 tokens, above that in steps of 1/128 of the length's power of
-two, with the longest true length of each step. So it has a few thousand rows at most, however long documents get.
+The histogram holds every distinct length, so it has at most sqrt(2 * tokens of the table) rows, which the driver holds.
+The padding of a bucket obeys the quadrangle inequality, so best cuts never move back as the last length grows: each
+cut is sought only between those of its neighbours, in about n log n steps a bucket and whole numbers throughout.
 Tokens are counted in Arrow-batched Python; the rest is DataFrame functions only.
 """
 
@@ -19,14 +21,32 @@ from weftgraph.llm.sharding import with_slots
 from weftgraph.session import cut
 
 BUCKETS, BUDGET = 16, 16_384
-#: Lengths up to EXACT are bins of their own; above, a power of two is divided into STEPS bins.
-EXACT, STEPS = 1024, 128
 
 
-def grid(length: Column) -> Column:
-    """Bin of a length: its smallest member."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - F.lit(np.log2(STEPS))).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.floor(length / F.greatest(step, F.lit(1))) * F.greatest(step, F.lit(1))).cast("long")
+def _cheapest(best: np.ndarray, first: int, docs: np.ndarray, toks: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost of bins 0..j-1 with one more bucket, and where that bucket begins, for each j above ``first``.
+
+    best[i]: least cost of bins 0..i-1, known from ``first`` on. Places are settled at halving strides, all of a stride
+    at once; the first of equal places is taken.
+    """
+    n = len(top)
+    cost, came = np.zeros(n + 1, dtype=np.int64), np.full(n + 1, first, dtype=np.int64)
+    stride = 1 << (n - first).bit_length()
+    while stride:
+        js = np.arange(first + stride, n + 1, 2 * stride)
+        if len(js):
+            low = came[js - stride]
+            high = np.where(js + stride <= n, came[np.minimum(js + stride, n)], n)
+            sizes = np.minimum(high, js - 1) - low + 1
+            starts = np.cumsum(sizes) - sizes
+            i = np.arange(sizes.sum()) + np.repeat(low - starts, sizes)
+            j = np.repeat(js, sizes)
+            costs = best[i] + top[j - 1] * (docs[j] - docs[i]) - (toks[j] - toks[i])
+            cost[js] = np.minimum.reduceat(costs, starts)
+            hits = np.flatnonzero(costs == np.repeat(cost[js], sizes))
+            came[js] = i[hits[np.searchsorted(hits, starts)]]
+        stride //= 2
+    return cost, came
 
 
 def best_boundaries(counts: list[int], tokens: list[int], longest: list[int], buckets: int) -> tuple[list[int], int]:
@@ -38,26 +58,20 @@ def best_boundaries(counts: list[int], tokens: list[int], longest: list[int], bu
     n = len(counts)
     if not n:
         return [], 0
-    docs, toks = np.concatenate([[0], np.cumsum(counts)]).astype(float), np.concatenate([[0], np.cumsum(tokens)]).astype(float)
-    top = np.array(longest, dtype=float)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    tables, choice = [best], []
-    for _ in range(min(buckets, n)):
-        nxt, came = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
-        for j in range(1, n + 1):
-            cost = tables[-1][:j] + top[j - 1] * (docs[j] - docs[:j]) - (toks[j] - toks[:j])
-            at = int(np.argmin(cost))
-            nxt[j], came[j] = cost[at], at
-        tables.append(nxt)
+    docs, toks, top = (np.array(x, dtype=np.int64) for x in ([0, *counts], [0, *tokens], longest))
+    docs, toks = np.cumsum(docs), np.cumsum(toks)
+    best = np.concatenate([[0], top * docs[1:] - toks[1:]])  # one bucket
+    totals, choice = [int(best[n])], [np.zeros(n + 1, dtype=np.int64)]
+    for k in range(1, min(buckets, n)):
+        best, came = _cheapest(best, k, docs, toks, top)
+        totals.append(int(best[n]))
         choice.append(came)
-    totals = [t[n] for t in tables]
     used = int(np.argmin(totals))
     ends, j = [], n
-    for k in range(used, 0, -1):
+    for k in range(used, -1, -1):
         ends.append(j - 1)
-        j = int(choice[k - 1][j])
-    return ends[::-1], int(totals[used])
+        j = int(choice[k][j])
+    return ends[::-1], totals[used]
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, text: str = "text") -> DataFrame:
@@ -70,10 +84,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", length: Column | None = None,
     rows. Columns beside doc_id and the length's are not read.
     """
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.greatest(token_counter(docs)(F.col(text)) if length is None else length.cast("long"), F.lit(0)).alias("n_tokens")))
-    bins = rows.groupBy(grid(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
-    bins = sorted(tuple(r) for r in bins.collect())  # a few thousand rows: see the grid
-    ends, _ = best_boundaries([b[1] for b in bins], [b[2] for b in bins], [b[3] for b in bins], buckets)
-    tops = [bins[e][3] for e in ends]
+    bins = sorted(tuple(r) for r in rows.groupBy("n_tokens").count().collect())  # distinct lengths: see above
+    ends, _ = best_boundaries([n for _, n in bins], [t * n for t, n in bins], [t for t, _ in bins], buckets)
+    tops = [bins[e][0] for e in ends]
     bucket = sum((F.when(F.col("n_tokens") > F.lit(t), 1).otherwise(0) for t in tops[:-1]), F.lit(0)).cast("int")
     pad_to = F.element_at(F.array(*[F.lit(t).cast("long") for t in tops] or [F.lit(0).cast("long")]), F.col("bucket") + 1)
     placed = with_slots(rows.withColumn("bucket", bucket), "doc_id", "bucket").withColumn("pad_to", pad_to)
