@@ -152,6 +152,15 @@ def test_quality(spark):
     assert quality.train([], mixed).scores(quality.np.array([quality.features("x")]))[0] < 0.01
 
 
+def test_quality_needs_unlabelled_rows(spark):
+    """Labels on every row leave nothing to learn against; that is an error, not a score of 1 for all."""
+    docs = spark.createDataFrame([(i, prose(20)) for i in range(40)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    with pytest.raises(ValueError, match="no unlabelled text"):
+        quality.fit(docs, labels)
+    assert quality.fit(docs, labels.where("doc_id < 20")) and quality.fit(docs.limit(0), labels)
+
+
 def test_folds(spark):
     import zlib
 

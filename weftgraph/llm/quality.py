@@ -157,9 +157,12 @@ def train(positive: list[str], other: list[str], steps: int = STEPS) -> QualityM
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", positives: int = POSITIVES, others: int = UNLABELLED) -> QualityModel:
-    """Train on positives outside the held-out fold and on rows without a label."""
+    """Train on positives outside the held-out fold and on rows without a label; refused where no such row is found."""
     trusted = samples(docs, labels, label, {1: positives}, doc_id, text)[1]
-    return train(trusted, unlabelled(docs, labels, others, doc_id, text))
+    rest = unlabelled(docs, labels, others, doc_id, text)
+    if trusted and not rest:
+        raise ValueError("no unlabelled text outside the held-out fold: every document would score 1")
+    return train(trusted, rest)
 
 
 def scorer(docs: DataFrame, model: QualityModel):
