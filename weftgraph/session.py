@@ -1,8 +1,9 @@
-"""Session helpers shared by every operator: session defaults, reliable checkpoints, table paths."""
+"""Session helpers shared by every operator: session defaults, reliable checkpoints, scratch tables, table paths."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ def local_session(app: str = "weftgraph", cores: int | str = "*", shuffle: int =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -27,22 +29,59 @@ def local_session(app: str = "weftgraph", cores: int | str = "*", shuffle: int =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the one the cluster names, or, only where none is set, a local one."""
+    """The shared folder for checkpoints: the one the cluster names.
+
+    Where none is set, a local master gets a temporary folder; a cluster is refused, for its machines don't share one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftgraph-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint: it outlives lost executors, and is cleaned with its DataFrame."""
+    """Cut lineage with a reliable checkpoint: it outlives lost executors.
+
+    Spark deletes the files once nothing refers to the DataFrame, if spark.cleaner.referenceTracking.cleanCheckpoints
+    is true, as ``local_session`` sets it; a cluster has to set it itself.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables of one operator: written to the shared folder, and deleted together when it ends.
+
+    Unlike a checkpoint a table is compressed, is read by column, and goes at a known moment. What an operator returns
+    must not read it: ``cut`` the result before the end.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(self.folder)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """``df``, computed once and read from its table. Its lineage ends there, and lost executors cost nothing."""
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark opens the path, so any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
