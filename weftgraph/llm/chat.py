@@ -73,7 +73,7 @@ def _with_positions(events: DataFrame, order: list[str]) -> DataFrame:
     spread = spread.withColumn("conv__", F.unhex(F.md5(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))))
     index = spread.groupBy("conv__").agg(F.count("*").alias("size__"), F.min("global__").alias("first__"))
     total = parts.agg(F.coalesce(F.sum("n__"), F.lit(0))).first()[0]
-    return look_up(spread, index, "conv__", "size__", total, "global__").withColumn("position", (F.col("global__") - F.col("first__")).cast("long"))
+    return look_up(spread, index, "conv__", "size__", total).withColumn("position", (F.col("global__") - F.col("first__")).cast("long"))
 
 
 def format_chats(chats: DataFrame, tools: DataFrame | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -1,36 +1,49 @@
-"""Joins to an index whose hot keys may hold a large share of all rows."""
+"""Joins to an index whose hot keys may hold a large share of all rows, and dropping rows that an operator decided on."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Keys with over 1/HEAVY of all rows are joined by broadcast. Counting bounds them: there are under HEAVY.
 HEAVY = 1000
 
 
-def look_up(rows: DataFrame, index: DataFrame, key: str, size: str, total: int, spread: str) -> DataFrame:
+def look_up(rows: DataFrame, index: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """``rows`` left-joined to ``index`` (one row for each ``key``, ``size`` rows of ``rows`` each) without skew.
 
-    Hot keys go by broadcast, the others by a shuffle, in which rows of hot keys are dealt by the column ``spread``.
+    Rows of hot keys meet a broadcast where they are, rows without a key meet nothing, and only the others are
+    shuffled. ``rows`` is read once for each of the three, so it should be a table or a checkpoint.
     """
     values = [c for c in index.columns if c not in (key, size)]
     bound = max(2, total // HEAVY)
-    heavy = index.where(F.col(size) > bound).select(F.col(key), F.lit(True).alias("hot__"), *[F.col(v).alias(f"{v}__hot") for v in values])
-    light = index.where(F.col(size) <= bound).select(F.col(key).alias("key__"), *values)
-    out = rows.join(F.broadcast(heavy), key, "left")
-    dealt = F.when(F.col("hot__"), F.unhex(F.md5(F.coalesce(F.col(spread).cast("string"), F.lit(""))))).otherwise(F.col(key))
-    out = out.withColumn("deal__", dealt).join(light, F.col("deal__") == F.col("key__"), "left")
-    return out.select(*rows.columns, *[F.coalesce(f"{v}__hot", v).alias(v) for v in values])
+    heavy, light = (index.where(F.col(size) > bound), index.where(F.col(size) <= bound))
+    hot = rows.join(F.broadcast(heavy), key)
+    rest = rows.where(F.col(key).isNotNull()).join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
+    bare = rows.where(F.col(key).isNull())
+    kinds = dict(index.dtypes)
+    out = hot.select(*rows.columns, *values).unionByName(rest.select(*rows.columns, *values))
+    return out.unionByName(bare.select(*rows.columns, *[F.lit(None).cast(kinds[v]).alias(v) for v in values]))
 
 
-def without(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that ``decided`` (doc_id, kept) drops; of rows that repeat a kept doc_id, one stays.
+def text_tag(text: Column) -> Column:
+    """Digest of a raw text; with the doc_id it names a row up to exact repeats. Null counts as empty."""
+    return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
 
-    Only the dropped ids are joined: the text moves at most once, and not at all where the ids are few.
+
+def without(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``decided`` (doc_id, tag, stays) drops, by doc_id and ``text_tag``.
+
+    So a row that stays isn't lost with another one of its doc_id, and null ids drop like others. Of rows that repeat
+    the doc_id and text of a row in a group of copies (``copied``), one stays. Only the dropped keys are joined: the
+    text moves at most once, and not at all where they are few.
     """
-    dropped = decided.where("not kept").select(F.col("doc_id").alias(doc_id))
-    rest = docs.join(dropped, doc_id, "left_anti")
-    repeated = decided.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(doc_id))
-    if repeated.isEmpty():
-        return rest
-    return rest.join(repeated, doc_id, "left_anti").unionByName(rest.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id]))
+    same = lambda keys: keys.select(F.col("doc_id").alias("id__"), F.col("tag").alias("tag__"), F.lit(True).alias("found__"))
+    key = F.col(doc_id).cast("long").eqNullSafe(F.col("id__")) & (F.col("row_tag__") == F.col("tag__"))
+    tagged = docs.withColumn("row_tag__", text_tag(F.col(text)))
+    rest = tagged.join(same(decided.where("not stays").distinct()), key, "left_anti")
+    repeated = decided.where("stays and copied").groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        repeats = same(repeated)
+        single = rest.join(repeats, key, "left_semi").dropDuplicates([doc_id, "row_tag__"])
+        rest = rest.join(repeats, key, "left_anti").unionByName(single)
+    return rest.select(*docs.columns)
