@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from weftgraph.llm import embedding_dedup, exact_dedup, graph, near_dedup
+from weftgraph.session import Scratch
 
 DOCS = "doc_id bigint, text string"
 BLANK = re.compile(r"[\x20\x09-\x0D]")
@@ -59,13 +60,35 @@ def test_exact_hot_group(spark):
     assert {tuple(r) for r in exact_dedup.exact_dedup(docs(spark, rows)).collect()} == want_exact(rows)
 
 
-def test_run_filter(spark):
-    held, other = ([hashlib.sha256(f"{p}{i}".encode()).digest() for i in range(500)] for p in "ab")
-    made = exact_dedup.RunFilter.of(held)
-    assert made.might_hold(held).all() and made.might_hold(other).mean() < 0.05 and not exact_dedup.RunFilter.of([]).might_hold(other).any()
-    runs = exact_dedup.build_runs(docs(spark, [(1, "a"), (2, "b")]))
-    hits = exact_dedup.filter_hits(runs, docs(spark, [(10, "a "), (11, "zzz")]))
-    assert 10 in {r["doc_id"] for r in hits.collect()}
+def test_exact_keep_loses_no_text(spark):
+    """A row that stays isn't lost with a dropped one of its doc_id; null ids drop like others."""
+    kept = lambda rows: sorted((tuple(r) for r in exact_dedup.keep(docs(spark, rows)).collect()), key=str)
+    assert kept([(1, "a"), (1, "b"), (0, "b")]) == [(0, "b"), (1, "a")]
+    assert kept([(1, "a"), (None, "a"), (None, "a")]) == [(1, "a")]
+    assert kept([(None, "a"), (None, "a"), (None, "b"), (2, None), (3, "")]) == [(2, None), (None, "a"), (None, "b")]
+    assert kept([(5, "a b"), (5, "b"), (5, "ab"), (5, " b"), (5, "a b")]) == [(5, " b"), (5, "a b")]
+
+
+def test_key_filter(spark):
+    rows = [(i, f"text {i}") for i in range(4000)]
+    held = exact_dedup.digested(docs(spark, rows[:1000]))
+    built = exact_dedup.key_filter(held, 1000)
+    passed = {r["doc_id"] for r in exact_dedup.passing(exact_dedup.digested(docs(spark, rows)), built).collect()}
+    assert set(range(1000)) <= passed and len(passed) < 1300 and built[0].count() <= built[1] == 250
+    full = exact_dedup.key_filter(held, 4)  # one word for all: lets too much through, loses nothing
+    assert exact_dedup.passing(held, full).count() == 1000
+
+
+def test_ingest_and_verification(spark):
+    old, new = docs(spark, [(1, "a"), (2, "b"), (3, "a ")]), docs(spark, [(10, " b"), (11, "zzz"), (12, "a")])
+    index = exact_dedup.compact_runs(exact_dedup.build_runs(exact_dedup.digested(old)))
+    assert {tuple(r) for r in exact_dedup.ingest(index, new).collect()} == {(10, 2), (12, 3)}
+    hits = index.where("group_size > 1").select("key")
+    assert exact_dedup.verify(old, hits, 1, memtable_bytes=1) == 1
+    with pytest.raises(ValueError, match="different texts"):
+        exact_dedup._same(b"k", b"a", b"b")
+    with pytest.raises(ValueError, match="different texts"):
+        list(exact_dedup._compared(iter([exact_dedup._batch([(b"k", b"a"), (b"k", b"b")], exact_dedup.BODY)])))
 
 
 def shingles(text):
@@ -128,6 +151,54 @@ def test_near_edges(spark):
     assert near_dedup.keep(rows).columns == rows.columns and near_dedup.keep(rows).count() == 2
 
 
+def test_near_keep_loses_no_text(spark):
+    """A row that stays isn't lost with a dropped one of its doc_id; repeated copies go, whatever their number."""
+    texts = {"a": words(30), "b": words(30)}
+    rows = [(1, "a"), (1, "b"), (0, "b"), (3, "a"), (3, "a"), (0, "b")]
+    kept = near_dedup.keep(docs(spark, [(i, texts[t]) for i, t in rows])).collect()
+    assert sorted(tuple(r) for r in kept) == sorted([(1, texts["a"]), (0, texts["b"])])
+
+
+def test_near_repeated_rows(spark):
+    """Many repeats of two linked rows are two classes: nothing is squared."""
+    text = words(60)
+    rows = [(i % 2, text + " tail" * (i % 2)) for i in range(4000)]
+    got = near_dedup.near_duplicates(docs(spark, rows)).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(0, 0, True, 2000), (1, 0, False, 2000)}
+
+
+@pytest.mark.parametrize("chain, block", [(5, 8), (2048, 1024)])
+def test_near_split_buckets(spark, monkeypatch, chain, block):
+    """Chains in salted parts and small blocks give the same as whole ones: families around the threshold."""
+    monkeypatch.setattr(near_dedup, "CHAIN", chain)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rows = []
+    for family in range(3):
+        text = words(80).split()
+        for i in range(70):
+            copy = list(text)
+            for _ in range(rng.randrange(7)):
+                copy[rng.randrange(80)] = f"n{rng.randrange(10**6)}"
+            rows.append((1000 * family + i, " ".join(copy)))
+    assert {tuple(r) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()} == want_near(rows)
+
+
+def test_bayes_bounds_share_the_miss():
+    """Chance that a pair at the threshold is pruned in any batch, exactly: not above MISS."""
+    from math import comb
+
+    alive, n = {0: 1.0}, 0
+    for bound in near_dedup.batch_bounds():
+        step = near_dedup.BATCH
+        n += step
+        after: dict[int, float] = {}
+        for m, p in alive.items():
+            for k in range(step + 1):
+                after[m + k] = after.get(m + k, 0.0) + p * comb(step, k) * 0.75**k * 0.25 ** (step - k)
+        alive = {m: p for m, p in after.items() if m >= bound}
+    assert n == near_dedup.VALUES and 1 - sum(alive.values()) <= near_dedup.MISS
+
+
 def test_bayes_bounds():
     """A pair at the threshold survives all batches but with the miss probability, a distant one doesn't."""
     bounds, gen = near_dedup.batch_bounds(), np.random.RandomState(1)
@@ -139,9 +210,11 @@ def test_bayes_bounds():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (1002, 1001), (7, 7), (2000, 150)]
-    got = {tuple(r) for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)).collect()}
-    assert got == {(i, 0) for i in range(1, 201)} | {(2000, 0), (1001, 1000), (1002, 1000)}
-    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    edges += [(5000, 6000 + i) for i in range(3000)] + [(9999, 6000 + 7 * i) for i in range(300)]  # a hub at either end
+    with Scratch(spark) as scratch:
+        got = {tuple(r) for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(5), scratch).collect()}
+        assert got == {(i, 0) for i in range(1, 201)} | {(2000, 0), (1001, 1000), (1002, 1000)} | {(i, 5000) for i in [*range(6000, 9000), 9999]}
+        assert graph.components(spark.createDataFrame([], "a bigint, b bigint"), scratch).count() == 0
 
 
 def vectors():

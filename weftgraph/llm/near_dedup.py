@@ -1,17 +1,21 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. One pass over the whole texts gives each document's shingle count, a digest of its shingle set and a signature of
-   128 16-bit MinHash values. Equal sets are one class; a class's smallest doc_id stands for it.
-2. Four values make a band: representatives that agree on one of 32 bands are candidates of each other.
-3. Candidates are not expanded to all pairs of a bucket. In a first round each bucket is a chain: only neighbours, in
-   an order of its own for each band, are compared, so a document has 64 partners at most, however large its group.
-   What the links join becomes a component. In a second round, the buckets that still hold several components compare
-   every row outside their largest component with all rows of other components, in blocks of bounded size, and verify
-   them there: no pair leaves the task but links. Rows that
-   are in one component already need no further comparison: no link between them could change a result.
-4. A pair's signatures are compared in batches of 16. After each, the posterior probability of a similarity of at
-   least 0.75, from a uniform prior, is held against the miss probability; below it the pair is pruned.
-5. Survivors are verified exactly on the full sets of 64-bit shingle hashes.
+   128 16-bit MinHash values. Equal sets are one class.
+2. Four values make a band: classes that agree on one of 32 bands are candidates of each other.
+3. Candidates are not expanded to all pairs of a bucket. In a first round each bucket is a chain: only neighbours are
+   compared, in one of ORDERS orders that the bands take in turn, so a class has few partners, however large its
+   group, and copies that meet in many bands meet the same partners. Hot buckets are chained in salted parts, whose
+   heads form a chain of their own. What the links join becomes a component.
+4. In a second round, buckets that still hold several components compare every row outside their largest component
+   with all rows of other components, in blocks of bounded size. Buckets with the same largest component are one
+   group where that makes fewer comparisons than each of them alone, so a row is sent once to a group's block and not
+   once for each band. Survivors are verified in the block: no pair leaves a task but links. Rows that are in one
+   component already need no further comparison: no link between them could change a result.
+5. A pair's signatures are compared in batches of 16. After each, the posterior probability of a similarity of at
+   least 0.75, from a uniform prior, is held against a bound; below it the pair is pruned. The bounds share the miss
+   probability: over all batches together a pair at the threshold is lost with probability MISS at most.
+6. Survivors are verified exactly on the full sets. A shingle is held as its 64-bit hash.
 """
 
 from __future__ import annotations
@@ -23,19 +27,22 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.llm.graph import components
 from weftgraph.llm.labelled import documents
-from weftgraph.llm.skew import look_up, without
-from weftgraph.session import cut
+from weftgraph.llm.skew import HEAVY, look_up, text_tag, without
+from weftgraph.session import Scratch, cut
 
 #: Words in a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 5, 75
 #: Values of a signature, values of a band, values of a batch, and the probability of pruning a true link.
 VALUES, BAND, BATCH, MISS = 128, 4, 16, 1e-4
+#: Orders in which buckets are chained, and rows above which a bucket's chain is cut into parts (or 1/HEAVY of all classes).
+ORDERS, CHAIN = 4, 2048
 #: Rows of a bucket that one block of the second round holds on average, and the pairs that it compares at a time.
 BLOCK, CHUNK = 1024, 100_000
 #: What a row is in a block: one of its own rows, a row outside the largest component that is compared with them, or both.
@@ -106,14 +113,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def batch_bounds(percent: int = PERCENT, miss: float = MISS) -> list[int]:
     """Fewest agreeing values, after 16, 32, ... 128, that a pair must show to go on.
 
-    With m of n values agreeing and a uniform prior, P(similarity >= t) = P(Binomial(n + 1, t) <= m).
+    With m of n values agreeing and a uniform prior, P(similarity >= t) = P(Binomial(n + 1, t) <= m). A pair is pruned
+    where that is under its batch's share of ``miss``, and so is the chance that a pair at t shows so few.
     """
-    t, bounds = percent / 100, []
+    t, bounds, share = percent / 100, [], miss / (VALUES // BATCH)
     for n in range(BATCH, VALUES + 1, BATCH):
-        mass = 0.0
+        after = before = 0.0
         for m in range(n + 1):
-            mass += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
-            if mass >= miss:
+            after += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
+            before += math.comb(n, m) * t**m * (1 - t) ** (n - m)
+            if max(after, before) >= share:
                 bounds.append(m)
                 break
     return bounds
@@ -147,28 +156,41 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, VALUES)
 
 
+SIGNED_DDL = "doc_id long, tag binary, n_shingles long, digest binary, sig binary"
+
+
 def _signed(words: int):
-    def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for frame in frames:
+        for batch in batches:
             counts, digests, signatures = [], [], []
-            for t in frame.pop("text"):
+            for t in batch.column("text").to_pylist():
                 s = shingler(t)
                 counts.append(len(s))
                 digests.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(signature(s).tobytes() if len(s) else None)
-            frame["n_shingles"], frame["digest"], frame["sig"] = counts, digests, signatures
-            yield frame
+            made = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), *made], names=["doc_id", "tag", "n_shingles", "digest", "sig"])
 
     return signed
 
 
 def _sets(words: int):
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
-        for frame in frames:
-            frame["shingles"] = [shingler(t).tobytes() for t in frame.pop("text")]
-            yield frame
+    """Shingle sets of classes, from the texts of their first rows; where such a row is repeated, once a task."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, last = Shingler(words), None
+        for batch in batches:
+            cids, out = batch.column("cid").to_pylist(), []
+            take = []
+            for i, c in enumerate(cids):  # repeats are neighbours: they come out of a join on their key
+                if c != last:
+                    take.append(i)
+                last = c
+            for i in take:
+                out.append(shingler(batch.column("text")[i].as_py()).tobytes())
+            part = batch.take(pa.array(take, pa.int64()))
+            yield pa.record_batch([part.column("cid"), part.column("sig"), pa.array(out, pa.binary())], names=["cid", "sig", "shingles"])
 
     return sets
 
@@ -190,11 +212,12 @@ def _verify(percent: int):
 
 
 def _across(percent: int):
-    """Second round: within each (bucket, block), rows outside the bucket's largest component against all others.
+    """Second round: within each (key, band, block), rows outside the key's largest component against all others.
 
-    Rows come sorted by (bucket, block). A pair is compared in the first band that it shares, and from the side of the
-    smaller id where both rows are minor. Survivors of the signatures are verified at once, likeliest first; one link
-    to a component is enough. A task holds one block, and CHUNK pairs of it at a time.
+    Rows come sorted by (key, band, block). Where the key is one bucket, a pair is compared in the first band that it
+    shares; a group of buckets has band -1 and compares each pair once. Where both rows are minor it goes from the
+    side of the smaller id. Survivors of the signatures are verified at once, likeliest first; one link to a component
+    is enough. A task holds one block, and CHUNK pairs of it at a time.
     """
     bounds = batch_bounds()
 
@@ -211,8 +234,9 @@ def _across(percent: int):
             g, h = (x.ravel() for x in np.meshgrid(guests[start : start + step], homes, indexing="ij"))
             use = (comp[g] != comp[h]) & ((comp[h] == major) | (rep[g] < rep[h]))
             g, h = g[use], h[use]
-            use = (bands[g] == bands[h]).argmax(axis=1) == band
-            g, h = g[use], h[use]
+            if band >= 0:
+                use = (bands[g] == bands[h]).argmax(axis=1) == band
+                g, h = g[use], h[use]
             use = survive(sig[g], sig[h], bounds)
             g, h = g[use], h[use]
             order = np.argsort(-(sig[g] == sig[h]).sum(axis=1), kind="stable")
@@ -229,7 +253,7 @@ def _across(percent: int):
         key, held, out = None, {n: [] for n in names}, []
         for frame in frames:
             columns = {n: frame[n].tolist() for n in names}
-            keys = list(zip(frame["bucket"].tolist(), frame["block"].tolist(), strict=True))
+            keys = list(zip(frame["key"].tolist(), frame["band"].tolist(), frame["block"].tolist(), strict=True))
             start = 0
             for at in range(1, len(keys) + 1):
                 if at == len(keys) or keys[at] != keys[start]:
@@ -248,63 +272,101 @@ def _across(percent: int):
     return across
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that survive the signatures and the exact test."""
-    first, second = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    pairs = cut(pairs.join(first, "a").join(second, "b").mapInPandas(_prune, "a long, b long"))
-    first, second = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
-    return cut(pairs.join(first, "a").join(second, "b").mapInPandas(_verify(percent), "a long, b long"))
+def _sides(pairs: DataFrame, info: DataFrame, column: str, name: str) -> DataFrame:
+    """Pairs (a, b) with ``name``_a and ``name``_b, the two rows' ``column``."""
+    first, second = (info.select(F.col("cid").alias(side), F.col(column).alias(f"{name}_{side}")) for side in "ab")
+    return pairs.join(first, "a").join(second, "b")
+
+
+def _chains(classes: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows of buckets that hold several classes, neighbours a < b of their chains)."""
+    bands = VALUES // BAND
+    banded = classes.select("cid", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sig", 2 * BAND * i + 1, 2 * BAND).alias("part")) for i in range(bands)])).alias("x"))
+    banded = banded.select("cid", F.col("x.band").alias("band"), F.xxhash64("x.band", "x.part").alias("bucket"))
+    bound = max(CHAIN, n // HEAVY)  # under bands * HEAVY buckets hold more
+    hot = banded.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("bucket", F.ceil(F.col("n") / bound).cast("int").alias("parts"))
+    salted = banded.join(F.broadcast(hot), "bucket", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.lit("salt"), "cid"), F.col("parts")).cast("int"), F.lit(0)))
+    order = [F.xxhash64(F.col("band") % ORDERS, "cid"), F.col("cid")]
+    chain = Window.partitionBy("bucket", "salt").orderBy(*order)
+    shared = salted.withColumns({"next": F.lead("cid").over(chain), "before": F.lag("cid").over(chain)})
+    shared = shared.where("next is not null or before is not null or parts is not null")
+    shared = scratch.table(shared.select("cid", "band", "bucket", "next", (F.col("parts").isNotNull() & F.col("before").isNull()).alias("head")))
+    heads = shared.where("head").withColumn("next", F.lead("cid").over(Window.partitionBy("bucket").orderBy(*order)))
+    pairs = shared.select("cid", "next").unionByName(heads.select("cid", "next")).where("next is not null and next <> cid")
+    return shared.select("cid", "band", "bucket"), pairs.select(F.least("cid", "next").alias("a"), F.greatest("cid", "next").alias("b")).distinct()
+
+
+def _second_round(shared: DataFrame, comps: DataFrame, info: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components that share a bucket."""
+    bands = VALUES // BAND
+    placed = shared.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "band", "cid", F.coalesce("component", "cid").alias("comp"))
+    placed = scratch.table(placed)
+    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    # Buckets of three rows or more that still hold several components; the only pair of a smaller one was a chain.
+    opened = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1 and n > 2")
+    opened = scratch.table(opened.select("bucket", "n", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.n")).alias("guests")))
+    rows = look_up(placed, opened.select("bucket", "n", "major"), "bucket", "n", n * bands).where("major is not null")
+    rows = scratch.table(rows.select("bucket", "band", "cid", "comp", "major"))
+    members = scratch.table(rows.select("major", "cid", "comp").distinct())
+    whole = members.groupBy("major").agg(F.count("*").alias("n"), F.count_if(F.col("comp") != F.col("major")).alias("guests"))
+    alone = opened.groupBy("major").agg(F.sum(F.col("n") * F.col("guests")).alias("alone"))
+    groups = scratch.table(whole.join(alone, "major").select("major", F.col("n").alias("size"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), (F.col("n") * F.col("guests") <= F.col("alone")).alias("whole")))
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    together = look_up(members, groups, "major", "size", total).where("whole").select(F.col("major").alias("key"), F.lit(-1).alias("band"), "cid", "comp", "major", "blocks")
+    apart = opened.join(groups.where("not whole").select("major"), "major").select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    single = look_up(rows, apart, "bucket", "n", n * bands).where("blocks is not null").select(F.col("bucket").alias("key"), "band", "cid", "comp", "major", "blocks")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    minor = F.col("comp") != F.col("major")
+    to = F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    role = F.when(~minor, HOME).when(F.col("block") == own, BOTH).otherwise(GUEST)
+    spread = together.unionByName(single).withColumn("block", F.explode(to)).withColumn("role", role)
+    blocks = spread.select("key", "band", "block", "role", "cid", "comp", "major").join(info, "cid").withColumnRenamed("cid", "rep")
+    blocks = blocks.repartition("key", "band", "block").sortWithinPartitions("key", "band", "block")
+    return blocks.mapInPandas(_across(percent), "a long, b long").distinct()
+
+
+def _decided(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, tag, n_shingles, component_id, copied, stays (see ``without``)."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows = documents(docs, doc_id, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_tag(F.col("text")).alias("tag"))
+        signed = scratch.table(rows.mapInArrow(_signed(words), SIGNED_DDL))
+        classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("top"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
+        classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "top.doc_id", "top.tag", "sig", "rows"))
+        n, total = classes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+
+        shared, pairs = _chains(classes, n, scratch)
+        pairs = scratch.table(_sides(pairs, classes, "sig", "sig").mapInPandas(_prune, "a long, b long"))
+        wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("doc_id", "tag", "cid", "sig")
+        info = scratch.table(rows.join(wanted, ["doc_id", "tag"]).select("cid", "sig", "text").mapInArrow(_sets(words), "cid long, sig binary, shingles binary"))
+        links = scratch.table(_sides(pairs, info, "shingles", "set").mapInPandas(_verify(percent), "a long, b long"))
+        more = scratch.table(_second_round(shared, components(links, scratch), info, n, percent, scratch))
+        comps = components(links.unionByName(more), scratch)
+
+        comps = comps.unionByName(comps.select(F.col("component").alias("node"), "component").distinct())  # roots are nodes, too
+        linked = scratch.table(classes.drop("sig").join(comps.withColumnRenamed("node", "cid"), "cid", "left").where("rows > 1 or component is not null").withColumn("component", F.coalesce("component", "cid")))
+        heads = linked.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("head"), F.count("*").alias("n"))
+        index = look_up(linked.select("component", "digest", "rows"), scratch.table(heads), "component", "n", linked.count()).select("digest", "rows", "head")
+        node = F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")
+        out = look_up(signed.select("doc_id", "tag", "n_shingles", node), scratch.table(index), "digest", "rows", total)
+        copied, first = F.col("head").isNotNull(), F.struct("doc_id", "tag")
+        return cut(out.select("doc_id", "tag", "n_shingles", F.coalesce("head.doc_id", "doc_id").alias("component_id"), copied.alias("copied"), F.when(copied, F.col("head") == first).otherwise(True).alias("stays")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Null texts count as empty; texts without words have no shingles and link with nothing. Texts of fewer than ``words``
-    words are one shingle. Rows that share a doc_id are one document in the links. A row without a doc_id links with
-    nothing and is its own component (null). An empty table gives no rows. Other columns are not read.
+    words are one shingle. Repeated rows are in one component; so are rows of one doc_id only where their texts link.
+    A row without a doc_id links with nothing and is its own component (null). An empty table gives no rows. Other
+    columns are not read.
     """
-    rows = documents(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = cut(rows.mapInPandas(_signed(words), "doc_id long, n_shingles long, digest binary, sig binary"))
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("top"), F.count("*").alias("rows"))
-    classes = cut(classes.select("digest", F.col("top.doc_id").alias("rep"), F.col("top.sig").alias("sig"), "rows"))
-    sigs = classes.select("rep", "sig")
-
-    bands = VALUES // BAND
-    banded = sigs.select("rep", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sig", 2 * BAND * i + 1, 2 * BAND).alias("part")) for i in range(bands)])).alias("x"))
-    banded = banded.select("rep", F.col("x.band").alias("band"), F.xxhash64("x.band", "x.part").alias("bucket"))
-    chain = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "rep"), "rep")
-    shared = banded.withColumns({"next": F.lead("rep").over(chain), "before": F.lag("rep").over(chain)})
-    shared = cut(shared.where("next is not null or before is not null"))  # rows of buckets that hold several
-    neighbours = shared.where("next is not null and next <> rep")
-    chained = cut(neighbours.select(F.least("rep", "next").alias("a"), F.greatest("rep", "next").alias("b")).distinct())
-
-    wanted = chained.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(rows.join(wanted, "doc_id").mapInPandas(_sets(words), "doc_id long, shingles binary").select(F.col("doc_id").alias("rep"), "shingles"))
-    links = _links(chained, sigs, sets, percent)
-    comps = components(links)
-
-    # Buckets of three rows or more that still hold several components; the only pair of a smaller one was a chain.
-    placed = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    open_buckets = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1 and n > 2")
-    open_buckets = open_buckets.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("major"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    to = F.when(F.col("comp") == F.col("major"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    role = F.when(F.col("comp") == F.col("major"), HOME).when(F.col("block") == own, BOTH).otherwise(GUEST)
-    spread = placed.join(open_buckets, "bucket").withColumn("block", F.explode(to)).withColumn("role", role)
-    blocks = spread.select("bucket", "band", "block", "role", "rep", "comp", "major").join(sigs, "rep").join(sets, "rep")
-    blocks = blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    more = cut(blocks.mapInPandas(_across(percent), "a long, b long").distinct())
-    comps = components(links.unionByName(more))
-
-    total = classes.agg(F.sum("rows")).first()[0] or 0
-    index = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").where("rows > 1 or component is not null")
-    index = index.select("digest", "rows", F.coalesce("component", "rep").alias("component"))
-    out = look_up(signed.select("doc_id", "n_shingles", "digest"), index, "digest", "rows", total, "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = _decided(docs, doc_id, text, words, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns: one of each component of near copies."""
-    return without(docs, cut(near_duplicates(docs, doc_id, text).select("doc_id", "kept")), doc_id)
+    """The documents that stay, with all their columns: one row of each component of near copies.
+
+    It is the row of the smallest doc_id; of several with that id, the one whose text has the smallest digest.
+    """
+    return without(docs, _decided(docs, doc_id, text, WORDS, PERCENT), doc_id, text)
