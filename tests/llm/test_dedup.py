@@ -256,6 +256,36 @@ def test_embeddings(spark):
     assert sum(got[i]["component_id"] == c for i, c in comps.items()) >= 0.98 * len(comps)
 
 
+@pytest.mark.parametrize("crowd, k", [(8, 2), (0.1, 3)])
+def test_embeddings_recall(spark, crowd, k):
+    """Planted pairs at cosines from 0.9 up, in a table whose codes have two and three hashes: recall by brute force."""
+    gen = np.random.RandomState(9)
+    base = gen.randn(2400, 16)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = gen.randn(600, 16)
+    side -= (side * base[:600]).sum(axis=1, keepdims=True) * base[:600]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = gen.uniform(0.9, 0.97, size=(600, 1))
+    v = np.vstack([base, c * base[:600] + np.sqrt(1 - c * c) * side])
+    assert embedding_dedup.plan(len(v), 16, crowd=crowd)[1] == k
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist()
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(rows, crowd=crowd).collect()}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.97 * sum(want) >= 1100
+
+
+def test_sketches_lose_no_pair():
+    """Distances of pairs at the threshold stay within FAR."""
+    gen = np.random.RandomState(2)
+    x, z = gen.randn(20_000, 64), gen.randn(20_000, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = embedding_dedup.sketches(x), embedding_dedup.sketches(0.9 * x + np.sqrt(0.19) * z)
+    assert np.bitwise_count(a ^ b).sum(axis=1).max() <= embedding_dedup.far(0.9) < 48
+
+
 def test_embeddings_hot_group(spark):
     gen = np.random.RandomState(5)
     base = gen.randn(16)

@@ -6,10 +6,13 @@ each table a vector is at home in its code's bucket and a guest in the ``PROBES`
 compared where one of them is at home. The number of tables is what a fixed simulation of pairs at the threshold
 needs for the wanted recall.
 
-Buckets hold the vectors, so pairs are verified in place, by blocks of cosines in double precision, and never leave
-the task: a task returns link counts of rows and a spanning forest of its links. A pair that several buckets see is
-counted only in the first of them, which both codes tell. Buckets above BLOCK rows are cut into blocks, and each pair
-of blocks is a task's work of bounded memory. Equal vectors are one class with a weight.
+Buckets first hold sketches only: SKETCH sign bits of further rotations, 16 bytes a row. Two vectors at the threshold
+differ in few of them, vectors that meet by chance in about half; only rows with a partner within FAR bits go on. Those
+rows' vectors are then sent to their buckets, where pairs are verified in place, by blocks of cosines in double
+precision, and never leave the task: a task returns link counts of rows and a spanning forest of its links. A pair that
+several buckets see is counted only in the first of them, which both codes tell; codes are computed again for rows
+with links. Buckets above a block's rows are cut into blocks, and each pair of blocks is a task's work of bounded
+memory; a bucket of m rows is so sent m / block times. Equal vectors are one class with a weight.
 """
 
 from __future__ import annotations
@@ -24,12 +27,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from weftgraph.llm.graph import components
 from weftgraph.llm.skew import look_up
-from weftgraph.session import cut
+from weftgraph.session import Scratch, cut
 
-#: Cosine of a link, guest buckets in each table, wanted recall at the threshold, rows of a block.
-COSINE, PROBES, RECALL, BLOCK = 0.9, 3, 0.995, 512
-#: Rows that share a bucket by chance, about.
-CROWD = 8
+#: Cosine of a link, guest buckets in each table, wanted recall at the threshold, rows of a block of vectors and of sketches.
+COSINE, PROBES, RECALL, BLOCK, SKETCH_BLOCK = 0.9, 3, 0.995, 1024, 4096
+#: Sign bits of a sketch, and the standard deviations above the mean distance at the threshold that FAR allows: one pair
+#: in 10^9 exceeds it.
+SKETCH, DEVIATIONS = 128, 6.0
+#: Rows that share a bucket by chance, about; and pairs whose codes are compared at a time.
+CROWD, CHUNK = 8, 50_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -84,10 +90,10 @@ def meets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=64)
-def plan(rows: int, dim: int, cosine: float = COSINE, recall: float = RECALL, probes: int = PROBES) -> tuple[int, int]:
+def plan(rows: int, dim: int, cosine: float = COSINE, recall: float = RECALL, probes: int = PROBES, crowd: int = CROWD) -> tuple[int, int]:
     """(tables, k) for so many rows: k from the crowd by chance, tables from 2000 simulated pairs at the threshold."""
     width = 1 << max(1, (dim - 1).bit_length())
-    k = max(1, math.ceil(math.log(max(1.0, rows / CROWD)) / math.log(2 * width)))
+    k = max(1, math.ceil(math.log(max(1.0, rows / crowd)) / math.log(2 * width)))
     rng = np.random.RandomState(5)
     x, z = rng.randn(2000, dim), rng.randn(2000, dim)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -104,58 +110,149 @@ def _bucket(dim: int, table: int, code: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def _hashed(rows: int, kind: str):
+def far(cosine: float) -> int:
+    """Most differing sketch bits of a pair at the threshold: angle / pi of SKETCH bits on average, and DEVIATIONS more."""
+    p = math.acos(cosine) / math.pi
+    return math.ceil(SKETCH * p + DEVIATIONS * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def sketches(vectors: np.ndarray) -> np.ndarray:
+    """(rows, SKETCH / 64) words of sign bits, from random rotations that the hash tables don't use."""
+    rows, dim = vectors.shape
+    width = 1 << max(1, (dim - 1).bit_length())
+    base = np.zeros((rows, width))
+    base[:, :dim] = vectors
+    parts = []
+    for signs in np.random.RandomState(77 + width).choice(np.array([-1.0, 1.0]), size=(-(-SKETCH // width), 3, width)):
+        v = base
+        for sign in signs:
+            v = hadamard(v * sign)
+        parts.append(v > 0)
+    return np.packbits(np.hstack(parts)[:, :SKETCH], axis=1).view("<u8")
+
+
+def _unit(flat: np.ndarray) -> np.ndarray:
+    """Directions in double precision; components are scaled first, so that no square overflows."""
+    v = flat.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _hashed(rows: int, kind: str, crowd: int):
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby(frame["vec"].map(len)):
-                tables, k = plan(rows, int(dim))
-                flat = np.stack(part["vec"].to_numpy()).astype(kind)
-                double = flat.astype(np.float64)
-                double /= np.abs(double).max(axis=1, keepdims=True)
-                found = codes(double, tables, k)
-                payload, held = [v.tobytes() for v in flat], [c.tobytes() for c in found]
+                tables, k = plan(rows, int(dim), crowd=crowd)
+                double = _unit(np.stack(part["vec"].to_numpy()).astype(kind))
+                found, held = codes(double, tables, k), [x.tobytes() for x in sketches(double)]
                 for t in range(tables):
                     for p in range(1 + PROBES):
                         if found[0, t, p] < 0:
                             continue
-                        yield pd.DataFrame({"bucket": _bucket(int(dim), t, found[:, t, p]), "tab": t, "dim": int(dim), "rep": part["rep"].to_numpy(), "weight": part["weight"].to_numpy(), "vec": payload, "codes": held})
+                        yield pd.DataFrame({"bucket": _bucket(int(dim), t, found[:, t, p]), "tab": t, "home": p == 0, "rep": part["rep"].to_numpy(), "sketch": held})
 
     return hashed
 
 
-HASHED_DDL = "bucket long, tab int, dim int, rep long, weight long, vec binary, codes binary"
+HASHED_DDL = "bucket long, tab int, home boolean, rep long, sketch binary"
+
+
+def _grouped(frames: Iterator[pd.DataFrame], names: tuple[str, ...], work) -> Iterator[list[tuple]]:
+    """``work(columns, lo, hi)`` of each (bucket, tab, lo, hi) group; rows come sorted by it, and one group is held."""
+    key, held = None, {n: [] for n in names}
+    for frame in frames:
+        columns = {n: frame[n].tolist() for n in names}
+        keys = list(zip(frame["bucket"].tolist(), frame["tab"].tolist(), frame["lo"].tolist(), frame["hi"].tolist(), strict=True))
+        start = 0
+        for at in range(1, len(keys) + 1):
+            if at == len(keys) or keys[at] != keys[start]:
+                if keys[start] != key:
+                    if key is not None:
+                        yield work(held, key[2], key[3])
+                    key, held = keys[start], {n: [] for n in names}
+                for n in names:
+                    held[n] += columns[n][start:at]
+                start = at
+    if key is not None:
+        yield work(held, key[2], key[3])
+
+
+def _framed(groups: Iterator[list[tuple]], columns: list[str]) -> Iterator[pd.DataFrame]:
+    out: list[tuple] = []
+    for rows in groups:
+        out += rows
+        if len(out) > 50_000:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _near(cosine: float):
+    """Rows of each group with a partner whose sketch is near, one of the two being at home: (bucket, tab, rep)."""
+    most = far(cosine)
 
-
-def _compare(kind: str, cosine: float):
-    """Link counts and a forest of each (bucket, lo, hi) group; rows come sorted by it."""
+    def group(part: dict[str, list], lo: int, hi: int) -> list[tuple]:
+        m = len(part["rep"])
+        if m < 2:
+            return []
+        sketch, home = np.frombuffer(b"".join(part["sketch"]), dtype="<u8").reshape(m, -1), np.array(part["home"])
+        block = np.array(part["block"])
+        one, two = (np.flatnonzero(block == lo), np.flatnonzero(block == hi))
+        met = np.zeros(m, dtype=bool)
+        for start in range(0, len(one), 256):
+            g = one[start : start + 256]
+            apart = np.zeros((len(g), len(two)), dtype=np.uint16)
+            for w in range(sketch.shape[1]):
+                apart += np.bitwise_count(sketch[g, w][:, None] ^ sketch[two, w][None, :])
+            close = (apart <= most) & (home[g][:, None] | home[two][None, :]) & (g[:, None] != two[None, :])
+            met[g] |= close.any(axis=1)
+            met[two] |= close.any(axis=0)
+        bucket, tab = part["bucket"][0], part["tab"][0]
+        return [(bucket, tab, part["rep"][x]) for x in np.flatnonzero(met)]
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _framed(_grouped(frames, ("bucket", "tab", "home", "rep", "sketch", "block"), group), ["bucket", "tab", "rep"])
+
+    return near
+
+
+def _compare(rows: int, kind: str, crowd: int, cosine: float):
+    """Link counts and a forest of each (bucket, tab, lo, hi) group."""
 
     def group(part: dict[str, list], lo: int, hi: int) -> list[tuple]:
         m = len(part["rep"])
         if m < 2:
             return []
-        v = np.frombuffer(b"".join(part["vec"]), dtype=kind).reshape(m, -1).astype(np.float64)
-        v /= np.abs(v).max(axis=1, keepdims=True)
-        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-        side = np.array(part["block"]) if lo != hi else None
-        close = np.triu(v @ v.T >= cosine - 1e-12, 1) if side is None else (v @ v.T >= cosine - 1e-12) & (side[:, None] == lo) & (side[None, :] == hi)
-        i, j = np.nonzero(close)
+        v = _unit(np.frombuffer(b"".join(part["vec"]), dtype=kind).reshape(m, -1))
+        block, tab, bucket = np.array(part["block"]), part["tab"][0], part["bucket"][0]
+        one, two = (np.flatnonzero(block == lo), np.flatnonzero(block == hi))
+        close = v[one] @ v[two].T >= cosine - 1e-12
+        i, j = np.nonzero(np.triu(close, 1) if lo == hi else close)
+        i, j = one[i], two[j]
         if not len(i):
             return []
-        exact = (v[i] * v[j]).sum(axis=1) >= cosine
-        i, j = i[exact], j[exact]
-        code = np.frombuffer(b"".join(part["codes"]), dtype=np.int64).reshape(m, -1, 1 + PROBES)
-        tab, dim, bucket = part["tab"][0], part["dim"][0], part["bucket"][0]
-        met = meets(code[i], code[j])
-        earlier = (met[:, :tab] >= 0).any(axis=(1, 2)) if tab else np.zeros(len(i), dtype=bool)
-        here = np.where(met[:, tab] < 0, np.iinfo(np.int64).max, met[:, tab]).min(axis=1)
-        mine = ~earlier & (here < np.iinfo(np.int64).max)
-        mine[mine] = _bucket(dim, tab, here[mine]) == bucket
+        dim = v.shape[1]
+        tables, k = plan(rows, dim, crowd=crowd)
+        some = np.unique(np.concatenate([i, j]))
+        code = np.zeros((m, tables, 1 + PROBES), dtype=np.int64)
+        code[some] = codes(v[some], tables, k)
+        mine = np.zeros(len(i), dtype=bool)
+        for at in range(0, len(i), CHUNK):  # codes of a bounded number of pairs at a time
+            a, b = i[at : at + CHUNK], j[at : at + CHUNK]
+            exact = (v[a] * v[b]).sum(axis=1) >= cosine
+            met = meets(code[a][:, : tab + 1], code[b][:, : tab + 1])
+            earlier = (met[:, :tab] >= 0).any(axis=(1, 2)) if tab else np.zeros(len(a), dtype=bool)
+            here = np.where(met[:, tab] < 0, np.iinfo(np.int64).max, met[:, tab]).min(axis=1)
+            first = exact & ~earlier & (here < np.iinfo(np.int64).max)
+            first[first] = _bucket(dim, tab, here[first]) == bucket
+            mine[at : at + CHUNK] = first
         i, j = i[mine], j[mine]
         if not len(i):
             return []
         weight, rep = np.array(part["weight"]), part["rep"]
         links = np.bincount(i, weights=weight[j], minlength=m) + np.bincount(j, weights=weight[i], minlength=m)
-        out = [(rep[x], None, int(links[x])) for x in np.flatnonzero(links)]
+        out: list[tuple] = [(rep[x], None, int(links[x])) for x in np.flatnonzero(links)]
         parent = list(range(m))
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             while parent[a] != a:
@@ -168,33 +265,30 @@ def _compare(kind: str, cosine: float):
         return out
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("bucket", "tab", "dim", "rep", "weight", "vec", "codes", "block")
-        key, held, out = None, {n: [] for n in names}, []
-        for frame in frames:
-            columns = {n: frame[n].tolist() for n in names}
-            keys = list(zip(frame["bucket"].tolist(), frame["tab"].tolist(), frame["lo"].tolist(), frame["hi"].tolist(), strict=True))
-            start = 0
-            for at in range(1, len(keys) + 1):
-                if at == len(keys) or keys[at] != keys[start]:
-                    if keys[start] != key:
-                        if key is not None:
-                            out += group(held, key[2], key[3])
-                        key, held = keys[start], {n: [] for n in names}
-                    for n in names:
-                        held[n] += columns[n][start:at]
-                    start = at
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["a", "b", "n"]).astype({"b": "Int64"})
-                out = []
-        if key is not None:
-            out += group(held, key[2], key[3])
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b", "n"]).astype({"b": "Int64"})
+        for frame in _framed(_grouped(frames, ("bucket", "tab", "rep", "weight", "vec", "block"), group), ["a", "b", "n"]):
+            yield frame.astype({"b": "Int64"})
 
     return compare
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
+def _raw(kind: str):
+    def raw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["vec"] = [np.asarray(v, dtype=kind).tobytes() for v in frame["vec"]]
+            yield frame
+
+    return raw
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` of buckets as pairs of blocks (lo, hi), sorted by them; buckets of one row are left out."""
+    sizes = rows.groupBy("bucket", "tab").agg(F.count("*").alias("m")).where("m > 1").select("bucket", "tab", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    placed = rows.join(sizes, ["bucket", "tab"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
+    return placed.repartition("bucket", "tab", "lo", "hi").sortWithinPartitions("bucket", "tab", "lo", "hi", "rep")
+
+
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, crowd: int = CROWD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; nor do vectors of
@@ -209,20 +303,21 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     good = F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~odd & F.exists("vec", lambda x: x != 0)
     key = F.unhex(F.md5(F.concat_ws(",", F.xxhash64("vec").cast("string"), F.xxhash64(F.lit(1), "vec").cast("string"))))
     rows = rows.withColumn("key", F.when(F.coalesce(good, F.lit(False)), key))
-    classes = cut(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec")))
-    n, total = classes.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
-
-    hashed = classes.select("rep", "weight", "vec").mapInPandas(_hashed(n, kind), HASHED_DDL)
-    large = hashed.groupBy("bucket", "tab").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("bucket", "tab", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    placed = hashed.join(large, ["bucket", "tab"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
-    found = placed.repartition("bucket", "tab", "lo", "hi").sortWithinPartitions("bucket", "tab", "lo", "hi", "rep").mapInPandas(_compare(kind, cosine), "a long, b long, n long")
-    found = cut(found)
-
-    links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
-    comps = components(found.where("b is not null").select("a", "b"))
-    index = classes.select("key", "rep", "weight").join(links.withColumnRenamed("a", "rep"), "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    index = index.where("weight > 1 or links is not null").select("key", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = look_up(rows.select("vec_id", "key"), index, "key", "weight", total, "vec_id")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    with Scratch(vectors.sparkSession) as scratch:
+        classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
+        classes = scratch.table(classes.select("key", F.monotonically_increasing_id().alias("cid"), "rep", "weight", "vec"))
+        n, total = classes.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        hashed = scratch.table(classes.select(F.col("cid").alias("rep"), "vec").mapInPandas(_hashed(n, kind, crowd), HASHED_DDL))
+        near = scratch.table(_dealt(hashed, SKETCH_BLOCK).mapInPandas(_near(cosine), "bucket long, tab int, rep long").distinct())
+        raw = classes.select(F.col("cid").alias("rep"), "weight", "vec").mapInPandas(_raw(kind), "rep long, weight long, vec binary")
+        found = scratch.table(_dealt(near.join(raw, "rep"), BLOCK).mapInPandas(_compare(n, kind, crowd, cosine), "a long, b long, n long"))
+
+        links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "cid")
+        comps = components(found.where("b is not null").select("a", "b"), scratch)
+        comps = comps.unionByName(comps.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "cid")
+        linked = scratch.table(classes.drop("vec").join(links, "cid", "left").join(comps, "cid", "left").where("weight > 1 or links is not null").withColumn("component", F.coalesce("component", "cid")))
+        heads = scratch.table(linked.groupBy("component").agg(F.min("rep").alias("head"), F.count("*").alias("n")))
+        index = look_up(linked, heads, "component", "n", linked.count()).select("key", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "head")
+        out = look_up(scratch.table(rows.select("vec_id", "key")), scratch.table(index), "key", "weight", total)
+        out = cut(out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("head", "vec_id")).alias("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
