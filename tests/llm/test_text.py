@@ -26,8 +26,27 @@ def library():
     return found
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60) | st.text(alphabet="aeinrsth'", max_size=80))
+def test_bpe_every_code_point(coder, library):
+    """Each code point between letters, after a mark and before one, is normalised and split as the library does."""
+    form, split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 512):
+        some = every[at : at + 512]
+        text = "".join(f"A{c}b !{c}\u0315 \u0345{c}\u0334" for c in some)
+        mine = bpe.normal(text)
+        squeeze = lambda t: " ".join(bpe.regex.split(r"\s+", t))
+        assert squeeze(mine) == form(text), hex(ord(some[0]))
+        sizes = [len(w.encode()) for w in coder._words(mine)]
+        assert sizes == [len(w) for w, _ in split(form(text))], hex(ord(some[0]))
+        if at % (512 * 37) == 0:
+            assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+LATER = "".join(chr(c) for a, b in (*bpe.LATER, *bpe.UNORDERED) for c in {a, b}) + "".join(chr(a) for a, _, _ in bpe.CAPITALS)
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="aeinrsth'", max_size=80) | st.text(alphabet=LATER + "aAé\u0301\u0323\u0315\u0345\U00011935 :1", max_size=30))
 def test_bpe_is_the_library(coder, library, text):
     ids = coder.encode(text)
     assert ids == library.encode(text, add_special_tokens=False).ids

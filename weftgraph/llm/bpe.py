@@ -36,6 +36,41 @@ LAST = 0x10000
 #: Place reached by no rank.
 NEVER = 1 << 60
 
+# Where the library's Unicode tables are other ones than those of Python and of the regex module.
+#: Letters and numbers of later versions, which its split takes for neither.
+LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x16FF4, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Combining marks of later versions, and one vowel sign that composes: its normal form neither orders nor joins them.
+UNORDERED = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF),
+    (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47),
+    (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+#: Capitals of later versions as (first, last, distance of the small letter), and the Greek letter that ends no word.
+CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B), (0x3A3, 0x3A3, 0x20))
+
+
+def _class(ranges: tuple[tuple[int, int], ...]) -> str:
+    return "[" + "".join(f"{regex.escape(chr(a))}-{regex.escape(chr(b))}" for a, b in ranges) + "]"
+
+
+_LATER, _UNORDERED = regex.compile(_class(LATER)), regex.compile("(" + _class(UNORDERED) + ")")
+_SMALL = {c: c + d for a, b, d in CAPITALS for c in range(a, b + 1)}
+
+
+def normal(text: str) -> str:
+    """The library's normal form, but for white space: NFC, then lower case symbol by symbol."""
+    if text.isascii():
+        return text.lower()
+    parts = _UNORDERED.split(text)  # such a mark parts what stands before it from what follows
+    joined = "".join(unicodedata.normalize("NFC", p) for p in parts) if len(parts) > 1 else unicodedata.normalize("NFC", text)
+    return joined.translate(_SMALL).lower()
+
 
 def byte_symbols() -> list[str]:
     """Printable symbol of each byte in byte-level vocabularies: printable Latin-1 stands for itself, others follow at 256."""
@@ -182,14 +217,17 @@ class WordBpe:
                 raise ValueError(f"no encoding of {word!r}")
         return tuple([starts[p][c][1] for p, c in path])
 
-    @staticmethod
-    def _normal(text: str) -> str:
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # lower-casing goes symbol by symbol
+    def _words(self, text: str) -> list[str]:
+        """Words of normalised text."""
+        if text.isascii() or not _LATER.search(text):
+            return self.words.findall(text)
+        masked = _LATER.sub("\ue000", text)  # neither letter, number nor blank, as they are to the library
+        return [text[m.start() : m.end()] for m in self.words.finditer(masked)]
 
     def _segment(self, text: str) -> list[int]:
         """Ids of normalised text without special tokens."""
         known, ids = self.cache, []
-        for w in self.words.findall(text):
+        for w in self._words(text):
             got = known.get(w)
             if got is None:
                 got = self.encode_word(w)
@@ -202,13 +240,13 @@ class WordBpe:
 
     def encode(self, text: str) -> list[int]:
         if self.specials is None or not any(t in text for t in self.special):
-            return self._segment(self._normal(text))
+            return self._segment(normal(text))
         ids: list[int] = []
         for part in self.specials.split(text):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                ids += self._segment(self._normal(part))
+                ids += self._segment(normal(part))
         return ids
 
     def _count(self, text: str) -> int:
@@ -217,11 +255,11 @@ class WordBpe:
         A word alone is a piece that the pattern matches whole, so pieces and words share the memory.
         """
         known, total = self.counts, 0
-        for piece in self._normal(text).replace("\n", " ").split(" "):
+        for piece in normal(text).replace("\n", " ").split(" "):
             n = known.get(piece)
             if n is None:
                 n = 0
-                for w in self.words.findall(piece):
+                for w in self._words(piece):
                     got = known.get(w)
                     if got is None:
                         got = len(self.encode_word(w))
