@@ -33,7 +33,7 @@ def test_origin(name, origin):
 
 @pytest.mark.parametrize(
     ("name", "origin"),
-    [("core::ptr::drop_in_place<T>", "core::ptr::drop_in_place"), ("<alloc::vec::Vec<T> as b::L>::m", "<alloc::vec::Vec as b::L>::m"), ("a::f<B<C>>::g", "a::f::g"), ("a::f<open", "a::f<open"), ("x::<A as B>", "x")],
+    [("core::ptr::drop_in_place<T>", "core::ptr::drop_in_place"), ("<alloc::vec::Vec<T> as b::L>::m", "<alloc::vec::Vec as b::L>::m"), ("a::f<B<C>>::g", "a::f::g"), ("a::f<open", "a::f<open"), ("x::<A as B>", "x"), ("<<A<T> as B<U>>::C as D<E<F>>>::m::<G>", "<<A as B>::C as D>::m"), ("a<b<c>", "a<b"), ("f(<A as B<C>>::d, e<g>)", "f(<A as B>::d, e)"), ("a>b<c>d", "a>bd"), ("<&T<u8> as X>::y<Z<W>>::h0123456789abcdef", "<&T as X>::y")],
 )
 def test_catalog_origin(name, origin):
     assert symbols.catalog_origin_of(name) == origin

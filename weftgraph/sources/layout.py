@@ -3,31 +3,39 @@
 from __future__ import annotations
 
 import re
-from pathlib import PurePosixPath
 
+# Defaults and values of the axes, the ends of file names, the folders of artifacts.
 DEFAULTS = {"build": "O3S", "profile": "plain", "track": "direct", "scope": "rust-nonstd", "policy": "address"}
 VALUES = {"profile": ("plain", "min"), "track": ("direct", "direct-in", "angr"), "scope": ("subject", "rust-nonstd"), "policy": ("address", "role")}
 SUFFIXES = (".fixture.bin", ".gt.bin", ".fixture.json", ".gt.json", ".users.json", ".bin", ".json", ".rs")
 
 
+FOLDERS = {
+    "raw": ("extractions", "raw.json"), "gt": ("ground_truth", "gt.json"), "users": ("users", "users.json"), "boundaries": ("boundaries", "boundaries.json"), "manifest": ("build_info", "json"), "catalog": ("ground_truth/all-rust", "catalog.json"),
+    "labels": ("extractions/oxidizer", "labels.json"), "audit": ("results/flirt", "audit.json"),
+}
+BUILD = r"(?i:O\d+[A-Z]*)"
+
+_FILE = re.compile(rf"(?:.*/)?(?P<stem>(?P<case>[^/]*?)(?:\.(?P<build>{BUILD}))?)(?:{'|'.join(map(re.escape, SUFFIXES))})?/*", re.S)
+
+
 def normalise(axis: str, value: str | None) -> str:
     """Default and case of an axis value; unknown values are refused."""
+    text = value or DEFAULTS[axis]
     if axis == "build":
-        return (value or DEFAULTS["build"]).upper()
-    found = (value or DEFAULTS[axis]).lower()
-    if found not in VALUES[axis]:
-        raise ValueError(f"unknown {axis}: {value!r}; expected one of {', '.join(VALUES[axis])}")
-    return found
+        return text.upper()
+    if text.lower() in VALUES[axis]:
+        return text.lower()
+    raise ValueError(f"{axis} can't be {value!r}, only {' or '.join(VALUES[axis])}")
 
 
 def split_case_build(name: str, build: str | None = None) -> tuple[str, str]:
-    """Case and build of a file name such as ``case.O3S.fixture.json``."""
-    stem = PurePosixPath(name).name
-    stem = next((stem.removesuffix(s) for s in SUFFIXES if stem.endswith(s)), stem)
-    case, dot, tail = stem.rpartition(".")
-    if build is None and dot and re.fullmatch(r"O\d+[A-Z]*", tail.upper()):
-        return case, tail.upper()
-    return stem, normalise("build", build)
+    """Case and build of a file name such as ``case.O3S.fixture.json``; a given build leaves the whole stem as the case."""
+    parts = _FILE.fullmatch(name)
+    if parts is None:
+        raise ValueError(f"no file name: {name!r}")
+    named = parts["build"] if build is None else None
+    return (parts["case"], named.upper()) if named else (parts["stem"], normalise("build", build))
 
 
 def graph_path(case: str, build: str, profile: str = "plain", track: str = "direct", scope: str = "rust-nonstd", policy: str = "address") -> str:
@@ -37,10 +45,8 @@ def graph_path(case: str, build: str, profile: str = "plain", track: str = "dire
 
 
 def artifact_path(kind: str, case: str, build: str, profile: str = "plain", scope: str = "rust-nonstd", inferred: bool = False) -> str:
-    """Other artifacts: ``raw``, ``gt``, ``users``, ``boundaries``, ``manifest``, ``catalog``, ``labels``, ``audit``."""
-    folder, end = {
-        "raw": ("extractions/angr" if inferred else "extractions", "raw.json"), "gt": ("ground_truth", "gt.json"), "users": ("users", "users.json"), "boundaries": ("boundaries", "boundaries.json"), "manifest": ("build_info", "json"),
-        "catalog": ("ground_truth/all-rust", "catalog.json"), "labels": ("extractions/oxidizer", "labels.json"), "audit": ("results/flirt", "audit.json"),
-    }[kind]
-    scoped = [normalise("scope", scope)] if kind in ("gt", "users") and normalise("scope", scope) != "subject" else []
-    return "/".join([folder, *scoped, normalise("profile", profile), f"{case}.{normalise('build', build)}.{end}"])
+    """Other artifacts, by the kinds of FOLDERS; ``inferred`` raw graphs have a folder of their own."""
+    folder, end = FOLDERS[kind]
+    scope = normalise("scope", scope)
+    more = ["angr"] if kind == "raw" and inferred else [scope] if kind in ("gt", "users") and scope != "subject" else []
+    return "/".join([folder, *more, normalise("profile", profile), f"{case}.{normalise('build', build)}.{end}"])
