@@ -3,11 +3,13 @@
 A page is parsed into a tree of block elements; runs of text beside block children are leaves of their own, and inline
 markup belongs to its block. Each node has a hidden label, content or not. The model is a product of
 
-* node potentials: P(feature | label) for tag, naming words of class and id, text length, link share, punctuation, and
+* node potentials: P(feature | label) for tag, words of class, id and role, text length, link share, punctuation, and
 * parent-child potentials: P(child's label | parent's label, child's kind of tag).
 
+The words that name parts are not listed: each word's potential is counted, and a node takes the mean of those it has.
+
 Sum-product message passing, once upward and once downward, gives every node its exact marginal. A text block is kept
-where its marginal is at least one half. All potentials are smoothed counts over labelled pages. There are none in the
+where its marginal is at least one half. Controls and hidden elements are no text of a page, wherever they stand. All potentials are smoothed counts over labelled pages. There are none in the
 tables, so ``labelled_pages`` writes some: random layouts whose parts carry their label in an attribute.
 """
 
@@ -32,16 +34,18 @@ LABEL = "data-content"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: Fixed values of HTML: elements without end tag, with raw text, of inline markup, and those that an opening block ends.
+# Fixed values of HTML: elements without end tag, with raw text, of controls and hidden content, of inline markup, and
+# those that an opening block ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select object".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var picture audio video map button output meter progress".split()
-)
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+HIDDEN = frozenset("noscript template svg select button label output meter progress datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var picture audio video map mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table", "tbody", "thead", "tfoot"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", set())}
+#: An element, those that it ends where nothing of the third set stands between.
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+_SCOPE = {rule: frozenset(rule[0] + rule[1]) for rule in ENDS.values()}
 
-#: Words in class, id and role that name a part of a page, by the part; plain values that pages use.
+#: Words that the labelled layouts name their parts with; plain values that pages use.
 PARTS = {
     "menu": "nav menu navbar breadcrumb breadcrumbs toc pagination pager tabs",
     "head": "header masthead banner topbar logo branding",
@@ -54,28 +58,62 @@ PARTS = {
     "share": "share social follow tags meta byline",
     "body": "article content post entry main story body text prose",
 }
-_PART = {w: part for part, words in PARTS.items() for w in words.split()}
 _NAME = re.compile(r"[a-z]+")
 KINDS = {"article": "root", "main": "root", "nav": "off", "footer": "off", "aside": "off", "header": "off", "form": "off", "p": "text", "h1": "text", "h2": "text", "h3": "text", "h4": "text", "blockquote": "text", "pre": "text", "#text": "text", "li": "item", "td": "item", "th": "item"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "text", "chars", "linked", "marks")
+    __slots__ = ("tag", "attrs", "children", "parent", "text", "chars", "linked", "marks", "near")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node] = []
         self.text: list[str] | None = None
         self.chars = self.linked = self.marks = 0
+        #: For each rule of ENDS the nearest node, this one included, that it ends or that bounds it.
+        self.near: dict = parent.near if parent is not None else {}
+        mine = [rule for rule, tags in _SCOPE.items() if tag in tags]
+        if mine:
+            self.near = self.near | dict.fromkeys(mine, self)
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, closing slash, tag, attributes) of each tag; comments and the like have no tag. Raw text is passed over."""
+    at = 0
+    while (found := _TOKEN.search(page, at)) is not None:
+        tag, at = (found[2] or "").lower(), found.end()
+        if tag in RAW and not found[1]:
+            if not found[3].endswith("/"):
+                close = _CLOSE[tag].search(page, at)
+                at = close.end() if close else len(page)
+            tag = "#raw"
+        yield found.start(), at, found[1] or "", tag, found[3] or ""
+
+
+_CLOSE = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I) for tag in RAW}
+
+
+def _hidden(tokens: list[tuple[int, int, str, str, str]]) -> dict[int, int]:
+    """Opening tokens of hidden elements and the tokens that close them, nested ones counted. One that never closes hides nothing."""
+    open_at: dict[str, list[int]] = defaultdict(list)
+    pairs = {}
+    for i, (_, _, slash, tag, attrs) in enumerate(tokens):
+        if tag in HIDDEN:
+            if slash:
+                if open_at[tag]:
+                    pairs[open_at[tag].pop()] = i
+            elif not attrs.endswith("/"):
+                open_at[tag].append(i)
+    return pairs
 
 
 def parse(page: str) -> Node:
-    """Tree of block nodes. Leaves tagged ``#text`` hold the text of one block, without its raw and void elements."""
+    """Tree of block nodes, in time linear in the page. Leaves tagged ``#text`` hold the text of one block."""
     root = top = Node("#page", "", None)
     inline: list[str] = []  # open inline elements of the current block
-    links = 0
+    within: Counter = Counter()  # the same, counted
+    blocks: Counter = Counter()  # open blocks
     leaf: Node | None = None
-    at, end = 0, len(page)
 
     def say(text: str) -> None:
         nonlocal leaf
@@ -86,76 +124,76 @@ def parse(page: str) -> Node:
             leaf.text = []
             top.children.append(leaf)
         leaf.text.append(text)
-        if links:
+        if within["a"]:
             leaf.linked += len(text.strip())
 
-    while at < end:
-        found = _TOKEN.search(page, at)
-        if found is None:
-            say(page[at:])
-            break
-        if found.start() > at:
-            say(page[at : found.start()])
-        at = found.end()
-        tag = found[2]
-        if tag is None:
+    def leave(node: Node) -> None:
+        """Close blocks up to ``node``."""
+        nonlocal top, leaf, inline, within
+        while top is not node.parent:
+            blocks[top.tag] -= 1
+            top = top.parent
+        leaf, inline, within = None, [], Counter()
+
+    tokens = list(_tokens(page))
+    hidden = _hidden(tokens)
+    i = at = 0
+    while i < len(tokens):
+        start, end, slash, tag, attrs = tokens[i]
+        if start > at:
+            say(page[at:start])
+        at = end
+        if i in hidden and not slash:
+            i = hidden[i] + 1
+            at = tokens[i - 1][1]
+            say(" ")
+            continue
+        i += 1
+        if not tag or tag in HIDDEN:
             continue
-        tag = tag.lower()
-        if found[1]:
+        if tag == "#raw" or tag == "br":
+            say(" ")
+        elif slash:
             if tag in INLINE:
-                if tag in inline:
-                    while inline.pop() != tag:
-                        pass
-                    links = inline.count("a")
-            elif tag == "br" or tag not in VOID:
-                node = top
-                while node is not None and node.tag != tag:
-                    node = node.parent
-                if node is not None and node.parent is not None:
-                    top, leaf, inline, links = node.parent, None, [], 0
+                if within[tag]:
+                    while (last := inline.pop()) != tag:
+                        within[last] -= 1
+                    within[tag] -= 1
+            elif tag not in VOID:
+                if blocks[tag]:
+                    node = top
+                    while node.tag != tag:
+                        node = node.parent
+                    leave(node)
                 elif tag == "p":
                     leaf = None
-            continue
-        if tag in RAW:
-            if not found[3].endswith("/"):
-                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at)
-                at = close.end() if close else end
-            say(" ")
-        elif tag == "br":
-            say(" ")
         elif tag in VOID:
             if tag == "hr":
                 leaf = None
             else:
                 say(" ")
         elif tag in INLINE:
-            if not found[3].endswith("/"):
-                if tag == "a" and "a" in inline:
-                    inline.remove("a")
+            if not attrs.endswith("/") and not (tag == "a" and within["a"]):  # a link in a link ends the first
                 inline.append(tag)
-                links = inline.count("a")
+                within[tag] += 1
         else:
-            stop = None
-            if tag in CLOSES_P:
-                stop = top if top.tag == "p" else None
+            if tag in CLOSES_P and top.tag == "p":
+                leave(top)
             if tag in ENDS:
-                ended, bounds = ENDS[tag]
-                node, names = top, ended.split()
-                while node is not None and node.tag not in bounds and node.tag not in names:
-                    node = node.parent
-                if node is not None and node.tag in names:
-                    stop = node
-                    if tag == "tr" and node.tag != "tr":
-                        while node is not None and node.tag != "tr":
-                            node = node.parent
-                        stop = node or stop
-            if stop is not None:
-                top = stop.parent
-            leaf, inline, links = None, [], 0
-            node = Node(tag, found[3], top)
+                rule = ENDS[tag]
+                node = top.near.get(rule)
+                if node is not None and node.tag in rule[0]:
+                    row = node.near.get(ENDS["td"]) if tag == "tr" and node.tag != "tr" else None
+                    row = row.parent.near.get(ENDS["td"]) if row is not None and row.tag != "tr" and row.parent is not None else row
+                    leave(row if row is not None and row.tag == "tr" else node)
+            leaf, inline, within = None, [], Counter()
+            node = Node(tag, attrs, top)
             top.children.append(node)
-            if not found[3].endswith("/"):
+            if not attrs.endswith("/"):
                 top = node
+                blocks[tag] += 1
+    if at < len(page):
+        say(page[at:])
     return root
 
 
@@ -186,22 +224,18 @@ def _sum_up(order: list[Node]) -> None:
             node.parent.marks += node.marks
 
 
-def _part(node: Node) -> str:
+def _names(node: Node) -> set[str]:
+    """Words of class, id and role."""
     if not node.attrs:
-        return "none"
-    for name, a, b, c in _ATTRIBUTE.findall(node.attrs):
-        if name.lower() in ("class", "id", "role"):
-            for word in _NAME.findall((a or b or c).lower()):
-                if word in _PART:
-                    return _PART[word]
-    return "none"
+        return set()
+    return {"name=" + word for name, a, b, c in _ATTRIBUTE.findall(node.attrs) if name.lower() in ("class", "id", "role") for word in _NAME.findall((a or b or c).lower())}
 
 
 def node_features(node: Node) -> tuple[str, ...]:
+    """Features beside the names."""
     n = node.chars
     return (
         "tag=" + node.tag,
-        "part=" + _part(node),
         f"size={min(8, int(math.log2(n + 1)))}",
         f"link={0 if not n else min(4, int(5 * node.linked / n))}",
         f"mark={0 if not n else min(4, int(100 * node.marks / n))}",
@@ -228,7 +262,7 @@ class TreeModel:
             y = int(own[0]) if own else known.get(id(node.parent), 0)
             known[id(node)] = y
             self.labels[y] += 1
-            for f in node_features(node):
+            for f in (*node_features(node), *_names(node)):
                 self.seen[f][y] += 1
             if node.parent is not None:
                 self.edges[KINDS.get(node.tag, "other"), known[id(node.parent)]][y] += 1
@@ -237,7 +271,7 @@ class TreeModel:
         sizes = Counter(f.split("=")[0] for f in self.seen)
         for f, c in self.seen.items():
             many = sizes[f.split("=")[0]] + 1
-            weight = 1.0 if f.startswith(("tag=", "part=")) else TEMPER
+            weight = 1.0 if f.startswith(("tag=", "name=")) else TEMPER
             self._node[f] = weight * (math.log((c[1] + SMOOTH) / (self.labels[1] + SMOOTH * many)) - math.log((c[0] + SMOOTH) / (self.labels[0] + SMOOTH * many)))
         for kind in {k for k, _ in self.edges} | {"other"}:
             rows = [self.edges.get((kind, p)) or self.edges["other", p] for p in (0, 1)]
@@ -245,13 +279,19 @@ class TreeModel:
         self.seen, self.edges = defaultdict(Counter), defaultdict(Counter)
         return self
 
+    def log_odds(self, node: Node) -> float:
+        """Log odds of the node's own features: their sum, with the mean over the names that the model knows."""
+        odds = self._node
+        named = [odds[w] for w in _names(node) if w in odds]
+        return sum(odds.get(f, 0.0) for f in node_features(node)) + (sum(named) / len(named) if named else 0.0)
+
     def marginals(self, order: list[Node]) -> dict[int, float]:
         """P(content) of every node by one upward and one downward pass, messages scaled to sum 1."""
-        odds, edge = self._node, self._edge
+        edge = self._edge
         up: dict[int, tuple[float, float]] = {}
         belief: dict[int, list[float]] = {}
         for node in order:
-            x = sum(odds.get(f, 0.0) for f in node_features(node))
+            x = self.log_odds(node)
             x = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, x))))
             belief[id(node)] = [1.0 - x, x]
         belief[id(order[0])] = [1.0, 0.0]  # the page itself isn't content
