@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rows whose crc32(doc_id as text) leaves HELD_OUT modulo FOLDS are never learnt from.
 FOLDS, HELD_OUT = 4, 2
-#: Texts over this many UTF-8 bytes are left out of training samples (never out of scoring).
-SAMPLE_TEXT_BYTES = 65_536
+#: UTF-8 bytes that a training sample brings to the driver at most: whole texts in the sample's order while they fit.
+SAMPLE_BYTES = 96 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -35,7 +35,14 @@ def _texts(docs: DataFrame, ids: list[int]) -> list[str]:
         return []
     kind = docs.schema["doc_id"].dataType.simpleString()
     wanted = docs.sparkSession.createDataFrame([(i, n) for n, i in enumerate(ids)], f"doc_id {kind}, place__ long")
-    found = docs.join(F.broadcast(wanted), "doc_id").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("place__", "text").collect()
+    near = docs.join(F.broadcast(wanted), "doc_id").select("place__", "doc_id", "text")
+    left, fits = SAMPLE_BYTES, []
+    for place, size in sorted((r[0], r[1]) for r in near.groupBy("place__").agg(F.sum(F.octet_length("text"))).collect()):
+        if size <= left:
+            left -= size
+            fits.append((place,))
+    fitting = docs.sparkSession.createDataFrame(fits, "place__ long")
+    found = near.join(F.broadcast(fitting), "place__").select("place__", "text").collect()
     return list(dict.fromkeys(t for _, t in sorted((r[0], r[1]) for r in found)))
 
 
@@ -63,3 +70,9 @@ def unlabelled(docs: DataFrame, labels: DataFrame, most: int, doc_id: str = "doc
     near = docs.sparkSession.createDataFrame([(i,) for i in tried], f"doc_id {kind}")
     known = {r[0] for r in labels.select(F.col(doc_id).alias("doc_id")).join(F.broadcast(near), "doc_id", "left_semi").distinct().collect()}
     return _texts(rows, [i for i in dict.fromkeys(tried) if i not in known][:most])
+
+
+def hidden(docs: DataFrame, labels: DataFrame, column: str, most: int, doc_id: str = "doc_id", text: str = "text") -> list[str]:
+    """At most ``most`` texts of labelled rows outside the held-out fold, whatever their label: a mixture as unlabelled rows are."""
+    ids = _labelled(labels, column, doc_id).where(~held_out(F.col("doc_id"))).select("doc_id")
+    return _texts(documents(docs, doc_id, text), _picked(ids, most, ids.count()))

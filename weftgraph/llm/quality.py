@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.labelled import documents, held_out, samples, unlabelled
+from weftgraph.llm.labelled import documents, held_out, hidden, samples, unlabelled
 
 #: Most training texts of each sample.
 POSITIVES, UNLABELLED = 6_000, 9_000
@@ -157,10 +157,16 @@ def train(positive: list[str], other: list[str], steps: int = STEPS) -> QualityM
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", positives: int = POSITIVES, others: int = UNLABELLED) -> QualityModel:
-    """Train on positives outside the held-out fold and on rows without a label; refused where no such row is found."""
+    """Train on positives outside the held-out fold and on rows without a label.
+
+    Where all rows of the fold are labelled, labelled rows of both values stand in with their labels hidden; a table
+    without any row to contrast is refused.
+    """
     trusted = samples(docs, labels, label, {1: positives}, doc_id, text)[1]
     rest = unlabelled(docs, labels, others, doc_id, text)
     if trusted and not rest:
+        rest = hidden(docs, labels, label, others, doc_id, text)
+    if trusted and not set(rest) - set(trusted):
         raise ValueError("no unlabelled text outside the held-out fold: every document would score 1")
     return train(trusted, rest)
 
