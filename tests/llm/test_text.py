@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from weftgraph.llm import bpe, html_text, labelled, quality, toxicity
@@ -100,7 +101,7 @@ def test_marginals_are_exact(model):
     order = html_text._order(html_text.parse("<div class=content><p>Some text, here.</p><p><a href=x>link</a></p></div>"))
     html_text._sum_up(order)
     got, weights = model.marginals(order), {}
-    odds = [sum(model._node.get(f, 0.0) for f in html_text.node_features(n)) for n in order]
+    odds = [model.log_odds(n) for n in order]
     at = {id(n): i for i, n in enumerate(order)}
     for ys in product((0, 1), repeat=len(order)):
         if ys[0]:
@@ -131,6 +132,36 @@ def test_broken_pages(model, page):
     assert isinstance(model.extract(page), str)
 
 
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("Click <button>Send</button>me, please. <label>Name</label>After.", "Click me, please. After."), ("One <svg><svg>x</svg>y</svg>two, three.", "One two, three."), ("Sum <math><mi>a</mi>+<mi>b</mi></math> is here, so.", "Sum a+b is here, so."),
+        ("Pick <select><option>a<option>b</select>one of them.", "Pick one of them."), ("Open <svg> never closes, so this stays.", "Open never closes, so this stays."), ("Code<textarea>x</p>y</textarea> and more, then.", "Code and more, then."), ("A<a href=x>b <a href=y>c</a>d, e.", "Ab cd, e."),
+    ],
+)
+def test_controls_and_hidden_elements(model, inner, text):
+    page = f"<html><body><nav><a href=/>Menu</a></nav><article><h1>Head line</h1><p>{inner}</p><p>Second one is here, with some more words.</p></article></body></html>"
+    assert model.extract(page) == f"Head line\n\n{text}\n\nSecond one is here, with some more words."
+
+
+HOSTILE = ["<b>" * 400_000, "<div>x</q7>" * 150_000, "<ul><li>" + "<div>" * 100_000 + "<li></li>" * 100_000, "<li><ul>" + "<div>" * 100_000 + "<li></li>" * 100_000, "<table>" * 50_000 + "<tr><td>x" * 50_000, "<svg>" * 300_000, "<a href=x>y" * 200_000, "<p>x" * 300_000 + "</div>" * 100_000]
+
+
+@pytest.mark.parametrize("at", range(len(HOSTILE)))
+def test_hostile_pages_are_linear(at):
+    """Pages of a megabyte or more take seconds, not minutes."""
+    import time
+
+    began = time.process_time()
+    html_text.parse(HOSTILE[at])
+    assert time.process_time() - began < 30
+
+
+def test_repeated_pages(spark):
+    rows = spark.createDataFrame([(7, "u", PAGE)] * 5, "page_id bigint, url string, html string")
+    assert html_text.extract_pages(rows).distinct().count() == 1 and html_text.extract_pages(rows).count() == 5
+
+
 def test_pages_table(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "u", "", "z")], "page_id bigint, url string, html string, text string")
     got = {r["page_id"]: r for r in html_text.extract_pages(rows).collect()}
@@ -172,14 +203,43 @@ def test_quality(spark):
 
 
 def test_quality_needs_unlabelled_rows(spark):
-    """Labels on every row leave nothing to learn against; that is an error, not a score of 1 for all."""
-    docs = spark.createDataFrame([(i, prose(20)) for i in range(40)], "doc_id bigint, text string")
+    """Labels on every row: rows with hidden labels are the contrast. Positives alone leave none; that is an error."""
+    docs = spark.createDataFrame([(i, prose(40) if i % 2 else "x x x x x x x x x x " + prose(1)) for i in range(200)], "doc_id bigint, text string")
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
     with pytest.raises(ValueError, match="no unlabelled text"):
-        quality.fit(docs, labels)
+        quality.fit(docs, labels.withColumn("quality", F.lit(1)))
+    kept = {r["doc_id"] for r in quality.keep(docs, quality.fit(docs, labels)).collect()}
+    assert sum(i % 2 for i in kept) >= 95 and sum(1 - i % 2 for i in kept) <= 5
     assert quality.fit(docs, labels.where("doc_id < 20")) and quality.fit(docs.limit(0), labels)
 
 
+def test_toxicity_soft_marks(spark):
+    """Marks are stems with any ending, which ordinary text holds now and then: their rate decides, not one word."""
+    sounds = "ta re mi so lu ven dor kel par ish on ga".split()
+    word = lambda: "".join(rng.choice(sounds) for _ in range(rng.randint(1, 4)))
+    def text(n, marks):
+        ws = [word() for _ in range(n)]
+        for _ in range(marks):
+            ws.insert(rng.randrange(len(ws)), "ishdorven" + rng.choice(sounds))
+        return " ".join(ws)
+    toxic, clean = [text(200, 5) for _ in range(160)], [text(200, rng.random() < 0.1) for _ in range(480)]
+    model = toxicity.train(toxic[:120], clean[:360])
+    assert sum(model.score(t) >= 0.3 for t in toxic[120:]) >= 36 and sum(model.score(t) >= 0.3 for t in clean[360:]) <= 18
+    long = text(20_000, 10)
+    assert model.score(long) < 0.3 and toxicity.windows("a" * 100) == ["a" * 48, "a" * 48, "a" * 48, "a" * 28]
+
+
+def test_held_out_rows(spark):
+    """held_out and predicted are what the contract says, ids that are null or no numbers included."""
+    import zlib
+
+    rows = spark.createDataFrame([(i, "t") for i in range(50)] + [(None, None)], "doc_id bigint, text string")
+    for got in (toxicity.score(rows, toxicity.NOTHING), quality.score(rows, quality.train([prose(9)], []))):
+        for r in got.collect():
+            assert r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 4 == 2)
+            assert 0 <= r["score"] <= 1 and r["predicted"] in (0, 1)
+
+
 def test_folds(spark):
     import zlib
 

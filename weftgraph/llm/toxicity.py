@@ -1,23 +1,28 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on toxic and one on ordinary text.
 
-A window is one word with its bounding blanks. Toxic language sits in single words among ordinary ones, so longer
-windows would drown it. A compressor cannot show much on ten bytes, so a window is written as its overlapping
-character pairs, four bytes for each pair: text that a dictionary holds is then one long match, and text that it
-lacks costs several short ones. The margin of a window is its compressed length under the ordinary dictionary less
-that under the toxic one. A document's score is the calibrated probability of its largest margins, over all windows
-of its whole text.
-
-Training is on the driver and on bounded samples (see ``SAMPLE``). Toxic windows are the words of toxic documents that
-hold a character n-gram seen in many different contexts there and next to never in ordinary documents; contexts, not
-documents, are counted, for a toxic document may have many copies.
+A window is one word with its bounding blanks. (Windows of several words were tried and measured: toxic language sits
+in single words among ordinary ones, and longer windows drown it; the README has the figures.) A compressor cannot show
+much on ten bytes, so a window is written as its overlapping character pairs, four bytes for each pair: text that a
+dictionary holds is then one long match, and text that it lacks costs several short ones. The margin of a window is its
+compressed length under the ordinary dictionary less that under the toxic one.
+
+Both classes share most of their language, so the toxic dictionary is trained on what sets toxic text apart: windows
+with a character n-gram whose rate in toxic text (by distinct contexts, for a toxic document may have many copies) is
+RATIO times its rate in ordinary text. No window decides by being on that list: every window of a document counts, by
+its margin. The odds of a margin are those of its frequency in toxic and in ordinary documents, measured by
+cross-fitting: dictionaries of either half of the texts are held against the other half. A document's raw score is the
+sum of its windows' log odds, calibrated by isotonic regression on the same half; its score is the mean of both models.
+
+Training is on the driver and on bounded samples (``SAMPLE``, ``TRAIN_WINDOWS``).
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import random
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -27,12 +32,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.labelled import documents, held_out, samples
 
-#: Most training texts of each class. Half of them train the dictionaries, the others calibrate.
-SAMPLE = {1: 4_000, 0: 8_000}
-#: Dictionary sizes in bytes, and the compression level of all windows.
-TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 8_192, 400_000, 9
-#: An n-gram marks toxic windows if it has this many contexts, over PURITY times as many as ordinary occurrences.
-GRAMS, CONTEXTS, PURITY = (5, 6, 7), 6, 20
+#: Most training texts of each class, and most windows that a dictionary is trained on (a random sample beyond that).
+SAMPLE, TRAIN_WINDOWS = {1: 4_000, 0: 8_000}, 200_000
+#: Dictionary sizes in bytes, segment lengths, and how often a window counts at most; the compression level of all windows.
+TOXIC, ORDINARY, LEVEL = (8_192, 32, 30), (400_000, 64, 8), 9
+#: Windows too few for the trainer are a dictionary themselves, up to this many bytes.
+SMALL_BYTES = 4_096
+#: N-grams that set toxic windows apart: their lengths, least contexts, and least ratio of the rates.
+GRAMS, CONTEXTS, RATIO = (5, 6, 7), 4, 20
+#: Margins are counted in bins of two bytes, up to the last one; one window of each bin is added to either class.
+BIN, BINS = 2, 21
 #: Words above this many characters are windows of this width that overlap by half.
 WIDTH = 48
 #: Margins that a scoring task remembers.
@@ -40,13 +49,12 @@ CACHE = 1_000_000
 THRESHOLD = 0.3
 
 
-def windows(text: str) -> set[str]:
-    """Distinct windows of a text, in lower case."""
-    found = set(text.lower().split())
-    for w in [w for w in found if len(w) > WIDTH]:
-        found.remove(w)
-        found.update(w[i : i + WIDTH] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2))
-    return found
+def windows(text: str) -> list[str]:
+    """Windows of a text in their order, in lower case."""
+    ws = text.lower().split()
+    if all(len(w) <= WIDTH for w in ws):
+        return ws
+    return [p for w in ws for p in ([w] if len(w) <= WIDTH else [w[i : i + WIDTH] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2)])]
 
 
 class PairCode:
@@ -73,48 +81,70 @@ def _grams(window: str) -> set[str]:
     return {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
 
 
-def toxic_windows(toxic: list[str], ordinary: Counter) -> Counter:
-    """Windows of the toxic texts that a telling n-gram marks, with their counts."""
+def telling_windows(toxic: list[str], ordinary: Counter) -> Counter:
+    """Windows of the toxic texts that an n-gram sets apart from ordinary ones, with their counts."""
     contexts: dict[str, set[int]] = defaultdict(set)
     counts: Counter = Counter()
     for text in toxic:
-        ws = text.lower().split()
+        ws = windows(text)
         for before, w, after in zip(["", *ws], ws, [*ws[1:], ""]):
-            if len(w) <= WIDTH and w not in ordinary:
-                counts[w] += 1
-                at = hash((before, after))
-                for g in _grams(w):
-                    contexts[g].add(at)
-    contexts = {g: c for g, c in contexts.items() if len(c) >= CONTEXTS}
+            counts[w] += 1
+            at = hash((before, after))
+            for g in _grams(w):
+                contexts[g].add(at)
+    found = {g: len(c) for g, c in contexts.items() if len(c) >= CONTEXTS}
     plain: Counter = Counter()
     for w, n in ordinary.items():
         for g in _grams(w):
-            if g in contexts:
+            if g in found:
                 plain[g] += n
-    telling = {g for g, c in contexts.items() if len(c) > PURITY * plain[g]}
+    scale = RATIO * counts.total() / max(1, ordinary.total())
+    telling = {g for g, c in found.items() if c >= scale * (plain[g] + 1)}
     return Counter({w: n for w, n in counts.items() if not telling.isdisjoint(_grams(w))})
 
 
+def _dictionary(counts: Counter, size: int, segment: int, most: int) -> bytes:
+    code = PairCode()
+    made = [code(w) for w in sorted(counts) for _ in range(min(counts[w], most))]
+    random.Random(7).shuffle(made)
+    made = made[:TRAIN_WINDOWS]
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, made, k=segment, d=8).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2  # too few samples for a dictionary of this size
+    return b"".join(dict.fromkeys(made))[-SMALL_BYTES:]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
+    """(toxic, ordinary) dictionaries; None where no window sets the toxic texts apart."""
+    known: Counter = Counter()
+    for text in ordinary:
+        known.update(windows(text))
+    marked = telling_windows(toxic, known)
+    return (_dictionary(marked, *TOXIC), _dictionary(known, *ORDINARY)) if marked else None
+
+
 class CompressionModel:
-    """Two dictionaries and a calibration; small enough to ship with a task (under 1 MB)."""
+    """Two dictionaries, the log odds of margins and a calibration; small enough to ship with a task (under 1 MB)."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, calibration: list[tuple[float, float]]):
-        self.toxic, self.ordinary, self.calibration = toxic, ordinary, calibration
+    def __init__(self, toxic: bytes, ordinary: bytes, odds: list[float], calibration: list[tuple[float, float]]):
+        self.toxic, self.ordinary, self.odds, self.calibration = toxic, ordinary, odds, calibration
         self._ready = False
 
     def __getstate__(self) -> tuple:
-        return self.toxic, self.ordinary, self.calibration
+        return self.toxic, self.ordinary, self.odds, self.calibration
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
     def _start(self) -> None:
-        def lengths(dictionary: bytes):
+        def lengths(dictionary: bytes) -> Callable[[bytes], bytes]:
             held = zstandard.ZstdCompressionDict(dictionary)
             held.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-        self._code, self._by_toxic, self._by_ordinary, self._margins, self._ready = PairCode(), lengths(self.toxic), lengths(self.ordinary), {}, True
+        self._code, self._by_toxic, self._by_ordinary, self._bins, self._ready = PairCode(), lengths(self.toxic), lengths(self.ordinary), {}, True
 
     def margin(self, window: str) -> int:
         """Bytes that the toxic dictionary saves over the ordinary one."""
@@ -123,33 +153,34 @@ class CompressionModel:
         coded = self._code(window)
         return len(self._by_ordinary(coded)) - len(self._by_toxic(coded))
 
-    def margins(self, text: str) -> tuple[int, int]:
-        """The two largest margins of a text's distinct windows; a missing one is the smallest that counts, 0."""
+    def bins(self, text: str) -> list[int]:
+        """Windows of a text in each bin of margins."""
         if not self._ready:
             self._start()
-        known, first, second = self._margins, 0, 0
+        known, out = self._bins, [0] * BINS
         for w in windows(text):
-            m = known.get(w)
-            if m is None:
+            b = known.get(w)
+            if b is None:
                 if len(known) >= CACHE:
                     known.clear()
-                m = known[w] = self.margin(w)
-            if m > second:
-                first, second = (m, first) if m > first else (first, m)
-        return first, second
+                b = known[w] = min(BINS - 1, max(0, self.margin(w)) // BIN)
+            out[b] += 1
+        return out
 
-    def raw(self, text: str) -> float:
-        first, second = self.margins(text)
-        return first + 0.25 * second
+    def raw(self, bins: list[int]) -> float:
+        return math.fsum(n * o for n, o in zip(bins, self.odds, strict=True) if n)
 
     def score(self, text: str) -> float:
-        """Probability by linear interpolation over the calibration points."""
+        """Probability by linear interpolation over the calibration points; the least of them for a text without windows."""
         at, p = zip(*self.calibration, strict=True)
-        return float(np.interp(self.raw(text), at, p))
+        if len(at) == 1:
+            return p[0]
+        bins = self.bins(text)
+        return float(np.interp(self.raw(bins), at, p)) if any(bins) else p[0]
 
 
 def _isotonic(raws: list[float], ys: list[int]) -> list[tuple[float, float]]:
-    """Pool adjacent violators on (raw, y), with one smoothing row of either class in each pool."""
+    """Pool adjacent violators on (raw, y), with one smoothing row of the common rate in each pool."""
     pools: list[list[float]] = []
     for x, y in sorted(zip(raws, ys, strict=True)):
         if pools and pools[-1][2] == x:
@@ -171,42 +202,43 @@ def _isotonic(raws: list[float], ys: list[int]) -> list[tuple[float, float]]:
     return points or [(0.0, 0.0)]
 
 
-def train(toxic: list[str], ordinary: list[str], toxic_bytes: int = TOXIC_BYTES, ordinary_bytes: int = ORDINARY_BYTES) -> CompressionModel:
-    """Train dictionaries on the first half of each list and calibrate on the second. Without toxic text all score 0."""
-    rng = random.Random(7)
-    code = PairCode()
-    first = [t[: max(1, (len(t) + 1) // 2)] for t in (ordinary, toxic)]
-    known: Counter = Counter()
-    for text in first[0]:
-        known.update(windows(text))
-    marked = toxic_windows(first[1], known)
-
-    def dictionary(counts: Counter, size: int, most: int, segment: int) -> bytes:
-        samples = [code(w) for w in sorted(counts) for _ in range(min(counts[w], most))]
-        rng.shuffle(samples)
-        samples = samples[:400_000]
-        while size >= 256:
-            try:
-                return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
-            except zstandard.ZstdError:
-                size //= 2  # too few samples for a dictionary of this size
-        return b"".join(dict.fromkeys(samples))[-4096:]
-
-    if not marked:
-        return CompressionModel(b"", b"", [(0.0, 0.0)])
-    model = CompressionModel(dictionary(marked, toxic_bytes, 30, 32), dictionary(known, ordinary_bytes, 8, 64), [(0.0, 0.0)])
-    rest = [(t, y) for y, texts in ((0, ordinary), (1, toxic)) for t in texts[len(texts) // 2 :]]
-    model.calibration = _isotonic([model.raw(t) for t, _ in rest], [y for _, y in rest])
+class Committee:
+    """Models whose scores are averaged."""
+
+    def __init__(self, members: list[CompressionModel]):
+        self.members = members
+
+    def score(self, text: str) -> float:
+        return math.fsum(m.score(text) for m in self.members) / max(1, len(self.members))
+
+
+#: Scores every text 0.
+NOTHING = Committee([])
+
+
+def _calibrated(trained: tuple[bytes, bytes], toxic: list[str], ordinary: list[str]) -> CompressionModel:
+    """Odds of margins and calibration from texts that the dictionaries weren't trained on."""
+    model = CompressionModel(*trained, [0.0] * BINS, [(0.0, 0.0)])
+    rows = [(model.bins(t), y) for y, texts in ((0, ordinary), (1, toxic)) for t in texts]
+    counts = [np.sum([b for b, y in rows if y == label] or [[0] * BINS], axis=0) + 1.0 for label in (0, 1)]
+    model.odds = (np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())).tolist()
+    model.calibration = _isotonic([model.raw(b) for b, _ in rows], [y for _, y in rows])
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: dict[int, int] | None = None) -> CompressionModel:
+def train(toxic: list[str], ordinary: list[str]) -> Committee:
+    """Two models, each with dictionaries of one half of the texts and calibrated on the other. Without toxic text all score 0."""
+    found = [(i, dictionaries(toxic[i::2], ordinary[i::2])) for i in (0, 1)]
+    return Committee([_calibrated(d, toxic[1 - i :: 2], ordinary[1 - i :: 2]) for i, d in found if d is not None])
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: dict[int, int] | None = None) -> Committee:
     """Train on bounded samples of the labelled rows outside the held-out fold."""
     texts = samples(docs, labels, label, most or SAMPLE, doc_id, text)
     return train(texts[1], texts[0])
 
 
-def scorer(docs: DataFrame, model: CompressionModel):
+def scorer(docs: DataFrame, model: Committee):
     """The model as an Arrow-batched column function; each task unpacks it once."""
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
@@ -219,15 +251,15 @@ def scorer(docs: DataFrame, model: CompressionModel):
     return scored
 
 
-def keep(docs: DataFrame, model: CompressionModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep(docs: DataFrame, model: Committee, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows whose score stays below the threshold, with all their columns; null texts count as empty."""
     return docs.where(scorer(docs, model)(F.col(text)) < threshold)
 
 
-def score(docs: DataFrame, model: CompressionModel, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Committee, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null texts count as empty; an empty text has no window and gets the lowest score. Repeated rows and ties are
+    Null texts count as empty; an empty text has no window and gets the lowest calibrated score. Repeated rows and ties are
     scored alike. An empty table gives no rows. Columns beside doc_id and text are not read.
     """
     rows = documents(docs, doc_id, text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(docs, model)("text").alias("score"))
