@@ -1,4 +1,10 @@
-"""Corpus pipeline: quality, toxicity, exact dedup, near dedup, packing. Part of the training-data operators."""
+"""Corpus pipeline: quality, toxicity, exact dedup, near dedup, packing. Part of the training-data operators.
+
+Every stage takes documents with any further columns and nulls in any of them. A null text counts as empty: it is
+scored like any text without words, all such texts are one group of exact copies, and they link with nothing in near
+dedup. A null doc_id is a document of its own: exact copies of it go, near copies of it stay. Of rows that are copies
+one stays, also of repeated rows; ties go to the smallest doc_id. An empty table passes through as an empty table.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import exact_dedup, near_dedup, packing, quality, toxicity
-from weftgraph.session import ensure_checkpoint_dir, table
+from weftgraph.session import Scratch, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +48,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each stage's rows are written to the shared folder and read again."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``; each stage's rows are written to the shared folder and read again.
+
+    A stage's table is deleted once the next one is written; the last one stays, for the result reads it.
+    """
+    scratch = Scratch(spark)
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{scratch.folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            scratch.drop(before)
+        before = path
     return docs
