@@ -21,7 +21,8 @@ from __future__ import annotations
 import math
 import pickle
 import random
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from weftgraph.llm.labelled import documents, held_out, samples
 
 #: Most training texts of each class, and most windows that a dictionary is trained on (a random sample beyond that).
-SAMPLE, TRAIN_WINDOWS = {1: 4_000, 0: 8_000}, 200_000
+SAMPLE, TRAIN_WINDOWS = {1: 4_000, 0: 8_000}, 100_000
 #: Dictionary sizes in bytes, segment lengths, and how often a window counts at most; the compression level of all windows.
 TOXIC, ORDINARY, LEVEL = (8_192, 32, 30), (400_000, 64, 8), 9
 #: Windows too few for the trainer are a dictionary themselves, up to this many bytes.
@@ -76,38 +77,54 @@ class PairCode:
         return b"".join(out)
 
 
-def _grams(window: str) -> set[str]:
+def _grams(window: str, n: int) -> set[str]:
     w = f" {window} "
-    return {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
+    return {w[i : i + n] for i in range(len(w) - n + 1)}
+
+
+def _contexts(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct windows, how often each occurs, and between how many distinct pairs of neighbours."""
+    ids: dict[str, int] = {}
+    seq = array("q", [-1])
+    for text in texts:
+        seq.extend(ids.setdefault(w, len(ids)) for w in windows(text))
+        seq.append(-1)
+    s = np.frombuffer(seq, dtype=np.int64)
+    at = np.flatnonzero(s >= 0)
+    here, before, after = s[at].astype(np.uint64), s[at - 1].astype(np.uint64), s[at + 1].astype(np.uint64)
+    around = (before * np.uint64(0x9E3779B97F4A7C15) + after) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(28)
+    places = np.unique(here << np.uint64(36) | around) >> np.uint64(36)
+    return list(ids), np.bincount(here.astype(np.int64), minlength=len(ids)), np.bincount(places.astype(np.int64), minlength=len(ids))
 
 
 def telling_windows(toxic: list[str], ordinary: Counter) -> Counter:
     """Windows of the toxic texts that an n-gram sets apart from ordinary ones, with their counts."""
-    contexts: dict[str, set[int]] = defaultdict(set)
-    counts: Counter = Counter()
-    for text in toxic:
-        ws = windows(text)
-        for before, w, after in zip(["", *ws], ws, [*ws[1:], ""]):
-            counts[w] += 1
-            at = hash((before, after))
-            for g in _grams(w):
-                contexts[g].add(at)
-    found = {g: len(c) for g, c in contexts.items() if len(c) >= CONTEXTS}
-    plain: Counter = Counter()
-    for w, n in ordinary.items():
-        for g in _grams(w):
-            if g in found:
-                plain[g] += n
-    scale = RATIO * counts.total() / max(1, ordinary.total())
-    telling = {g for g, c in found.items() if c >= scale * (plain[g] + 1)}
-    return Counter({w: n for w, n in counts.items() if not telling.isdisjoint(_grams(w))})
+    names, counts, contexts = _contexts(toxic)
+    scale = RATIO * int(counts.sum()) / max(1, ordinary.total())
+    marked: set[str] = set()
+    for n in GRAMS:  # one length at a time, for memory
+        found: Counter = Counter()
+        for w, c in zip(names, contexts.tolist(), strict=True):
+            for g in _grams(w, n):
+                found[g] += c
+        telling = {g: c for g, c in found.items() if c >= max(CONTEXTS, scale)}
+        del found
+        plain: Counter = Counter()
+        for w, c in ordinary.items():
+            for g in _grams(w, n):
+                if g in telling:
+                    plain[g] += c
+        apart = {g for g, c in telling.items() if c >= scale * (plain[g] + 1)}
+        marked.update(w for w in names if not apart.isdisjoint(_grams(w, n)))
+    return Counter({w: c for w, c in zip(names, counts.tolist(), strict=True) if w in marked})
 
 
 def _dictionary(counts: Counter, size: int, segment: int, most: int) -> bytes:
     code = PairCode()
-    made = [code(w) for w in sorted(counts) for _ in range(min(counts[w], most))]
-    random.Random(7).shuffle(made)
-    made = made[:TRAIN_WINDOWS]
+    picked = [w for w in sorted(counts) for _ in range(min(counts[w], most))]
+    random.Random(7).shuffle(picked)
+    made = [code(w) for w in picked[:TRAIN_WINDOWS]]
+    del picked
     while size >= 256:
         try:
             return zstandard.train_dictionary(size, made, k=segment, d=8).as_bytes()
@@ -223,7 +240,7 @@ def _calibrated(trained: tuple[bytes, bytes], toxic: list[str], ordinary: list[s
     counts = [np.sum([b for b, y in rows if y == label] or [[0] * BINS], axis=0) + 1.0 for label in (0, 1)]
     model.odds = (np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())).tolist()
     model.calibration = _isotonic([model.raw(b) for b, _ in rows], [y for _, y in rows])
-    return model
+    return CompressionModel(*model.__getstate__())  # without what it remembers
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Committee:
