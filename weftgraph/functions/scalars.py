@@ -43,7 +43,7 @@ def display_symbol(symbol: Column, case: Column) -> Column:
 
 
 def normalised_warning(message: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(message, "0x[0-9a-fA-F]+", "0x?"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(message, "0x[0-9a-fA-F]+", "0x<addr>"), r"\s+", " "))
 
 
 def is_import(name: Column, kind: Column) -> Column:

@@ -36,9 +36,11 @@ def direct_target(sites: DataFrame, functions: DataFrame) -> DataFrame:
     return placed.withColumn("function", F.when(~F.coalesce(tail, F.lit(False)), F.col("function")))
 
 
-def operand_kind(text: Column, is_jump: Column) -> Column:
-    operand = F.trim(F.regexp_extract(text, r"^\S+\s+(.*)$", 1))
-    return F.when(operand.contains("["), "memory").when((operand != "") & ~operand.rlike("^0x") & ~operand.rlike(r"^\d+$"), "register").when(operand.rlike(r"^(0x|\d)"), "immediate").otherwise("unknown")
+def operand_kind(text: Column, has_target: Column) -> Column:
+    """memory for a bracketed operand, register for any other that isn't hex; immediate where the jump has a target."""
+    operand = F.regexp_extract(text, r"^\s*\S+ \s*(.*)$", 1)
+    other = (operand != "") & ~operand.startswith("0x")
+    return F.when(operand.contains("["), "memory").when(other, "register").when(F.coalesce(has_target, F.lit(False)), "immediate").otherwise("unknown")
 
 
 def with_terminal(ops: DataFrame) -> DataFrame:

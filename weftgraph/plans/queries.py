@@ -426,18 +426,19 @@ def first_per_key(spark, sf_dir):
 # Label audit
 
 _AUDIT = with_views("label_rows") + """, cat AS (SELECT DISTINCT printf('FUN_%08x', doc_id + 1048576) AS member, source AS origin, CASE WHEN toxic = 0 THEN 'std' ELSE 'app' END AS owner FROM labels JOIN documents USING (doc_id)),
-    lab AS (SELECT printf('FUN_%08x', address + 1048576) AS member, owner, canonical_origin FROM label_rows WHERE owner = 'std' OR owner < 'src5')"""
+    lab AS (SELECT printf('FUN_%08x', address + 1048576) AS member, owner, canonical_origin FROM label_rows)"""
 
 
 def _labels(spark, sf_dir):
-    labels = view(spark, sf_dir, "label_rows").where("owner = 'std' or owner < 'src5'").select("address", "owner", "canonical_origin", F.lit(audit.DIRECT).alias("evidence"))
+    labels = view(spark, sf_dir, "label_rows").select("address", "owner", "canonical_origin", F.lit(audit.DIRECT).alias("evidence"))
+    labels = labels.unionByName(labels.where("owner = 'std'").withColumn("address", -1 - F.col("address")))  # at no known function
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "doc_id")
     catalog = rows.select(scalars.node_id(F.col("doc_id")).alias("member"), F.col("source").alias("origin"), F.when(F.col("toxic") == 0, "std").otherwise("app").alias("owner")).distinct()
     joined = audit.join_labels(labels, rows.select(F.col("doc_id").alias("address")))
     return joined, catalog, audit.label_members(joined, catalog)
 
 
-@query(with_views("label_rows") + " SELECT address, owner, TRUE AS matched FROM label_rows WHERE owner = 'std' OR owner < 'src5'")
+@query(with_views("label_rows") + ", l AS (SELECT address, owner FROM label_rows UNION ALL SELECT -1 - address, owner FROM label_rows WHERE owner = 'std') SELECT address, owner, address IN (SELECT doc_id FROM documents) AS matched FROM l")
 def label_join(spark, sf_dir):
     return _labels(spark, sf_dir)[0].select("address", "owner", "matched")
 
@@ -490,11 +491,14 @@ def violations_transfers(spark, sf_dir):
     return checks.violations_transfers(transfers, functions).select("rule", "key")
 
 
-@query(with_views("geo_nodes", "geo_truth") + """ SELECT coalesce(n.id, t.member) AS id, CASE WHEN n.id IS NULL THEN 'only truth' ELSE 'only graph' END AS side FROM (SELECT id FROM geo_nodes WHERE scored AND id >= 'C2') n
-    FULL JOIN (SELECT member FROM geo_truth WHERE member < 'S3') t ON n.id = t.member WHERE n.id IS NULL OR t.member IS NULL""")
+@query(with_views("geo_nodes", "geo_truth") + """, g AS (SELECT id FROM geo_nodes WHERE scored UNION SELECT 'Y' || id FROM geo_nodes WHERE scored UNION SELECT 'X' || member FROM geo_truth WHERE member >= 'C2'), t AS (SELECT member FROM geo_truth UNION SELECT 'X' || member FROM geo_truth)
+    (SELECT id, 'only graph' AS side FROM (SELECT id FROM g EXCEPT SELECT member FROM t)) UNION ALL (SELECT member, 'only truth' FROM (SELECT member FROM t EXCEPT SELECT id FROM g))""")
 def universe_diff(spark, sf_dir):
+    """Whole tables, and foreign ids on either side; some of the truth's are abstained from, so they aren't missing."""
     nodes, labels = _bind(spark, sf_dir)("geo_nodes", "geo_truth")
-    return checks.universe_diff(nodes.where("id >= 'C2'"), nodes.select("graph_id", "id").limit(0), labels.where("member < 'S3'")).select("id", "side")
+    foreign = labels.withColumn("member", F.concat(F.lit("X"), "member"))
+    graph = nodes.unionByName(nodes.withColumn("id", F.concat(F.lit("Y"), "id")))
+    return checks.universe_diff(graph, foreign.where("member >= 'XC2'").select("graph_id", F.col("member").alias("id")), labels.unionByName(foreign)).select("id", "side")
 
 
 # Scalars
@@ -509,3 +513,22 @@ def node_ids(spark, sf_dir):
 @query("SELECT p_partkey, sha256(concat_ws('|', p_name, p_brand, p_type)) AS digest FROM part")
 def content_hash(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.sha2(F.concat_ws("|", "p_name", "p_brand", "p_type"), 256).alias("digest"))
+
+
+# Decoded operands and warnings
+
+_TEXTS = ["call 0x4010", "jmp rax", "call  qword [rip + 0x20]", "ret", "call 4198400", "jmp 0x40", "ret ", "push rbx, [rsp]"]
+_KINDS = [("unknown", "immediate"), ("register", "register"), ("memory", "memory"), ("unknown", "immediate"), ("register", "register"), ("unknown", "immediate"), ("unknown", "immediate"), ("memory", "memory")]
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN {[k[1] for k in _KINDS]}[p_partkey % {len(_KINDS)} + 1] ELSE {[k[0] for k in _KINDS]}[p_partkey % {len(_KINDS)} + 1] END AS kind FROM part""")
+def operand_kinds(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("text", F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("p_partkey") % len(_TEXTS) + 1).cast("int")))
+    return rows.select("p_partkey", evidence.operand_kind(F.col("text"), F.col("p_partkey") % 3 == 0).alias("kind"))
+
+
+@query("SELECT p_size, concat('at 0x<addr> in ', p_brand, ' 0xZZ') AS message, count(*) AS n FROM part GROUP BY p_size, p_brand")
+def warning_texts(spark, sf_dir):
+    noisy = F.concat(F.lit("  at 0x"), F.lower(F.hex("p_partkey")), F.lit(" in \t "), "p_brand", F.lit(" 0xZZ\n"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").alias("component"), noisy.alias("message"))
+    return diagnostics.warning_counts(rows).select(F.col("component").alias("p_size"), "message", "n")
