@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from weftgraph.schemas import ID_BIAS
@@ -50,8 +51,21 @@ def is_import(name: Column, kind: Column) -> Column:
     return F.coalesce(name.startswith("sym.imp."), F.lit(False)) | F.coalesce(kind == "sym", F.lit(False))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value, ties to even.
+
+    The JVM's formatter rounds the shortest decimal form half up (0.125 to 0.13), so cells go through Python in batches.
+    """
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.{digits}f}")
+
+    return F.when(value.isNotNull(), shown(value.cast("double")))
+
+
 def metric_text(value: Column) -> Column:
-    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.2f", value))
+    return F.coalesce(fixed(value, 2), F.lit("N/A"))
 
 
 def is_sha256(text: Column) -> Column:
@@ -60,3 +74,17 @@ def is_sha256(text: Column) -> Column:
 
 def linked_address(mapped: Column, mapped_base: Column, linked_base: Column) -> Column:
     return mapped - mapped_base + linked_base
+
+
+def value_text(value: Column, kind: str) -> Column:
+    """A table cell: ``-`` for null, yes and no, thousands with commas, four decimals, other text as it is."""
+    if kind == "double":
+        return F.coalesce(fixed(value, 4), F.lit("-"))
+    shown = F.when(value, "yes").otherwise("no") if kind == "boolean" else F.format_number(value, 0) if kind == "bigint" else value.cast("string")
+    return F.coalesce(F.when(value.isNotNull(), shown), F.lit("-"))
+
+
+def nested(record: Column, *keys: str, default: str | None = None) -> Column:
+    """A field of nested JSON text; the default where a level is missing or no object."""
+    found = F.get_json_object(record, "$" + "".join(f"['{k}']" for k in keys))
+    return found if default is None else F.coalesce(found, F.lit(default))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.functions.scalars import node_id, ratio
-from weftgraph.schemas import AUDIT_STD_OWNERS, ID_BIAS
+from weftgraph.schemas import AUDIT_STD_OWNERS, ID_BIAS, STAGES
 
 DIRECT = "direct-flirt"
 
@@ -32,7 +32,7 @@ def label_members(labels: DataFrame, catalog: DataFrame, bias: int = ID_BIAS) ->
 def std_confusion(members: DataFrame, catalog: DataFrame) -> DataFrame:
     """Label says standard library against the owner says so, over all catalog members."""
     said = members.where(F.col("label_owner").isin(*AUDIT_STD_OWNERS)).select("member").distinct().withColumn("said", F.lit(True))
-    rows = catalog.join(said, "member", "left").fillna(False, ["said"]).withColumn("is_std", F.coalesce(F.col("owner").isin(*AUDIT_STD_OWNERS), F.lit(False)))
+    rows = catalog_members(catalog).join(said, "member", "left").fillna(False, ["said"])
     tests = {"tp": F.col("said") & F.col("is_std"), "fp": F.col("said") & ~F.col("is_std"), "fn": ~F.col("said") & F.col("is_std"), "tn": ~F.col("said") & ~F.col("is_std")}
     rows = rows.agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
     return rows.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
@@ -56,3 +56,21 @@ def mixed_families(members: DataFrame, catalog: DataFrame) -> DataFrame:
 def probe_from_labels(labels: DataFrame) -> DataFrame:
     """The probe's relation again: every label, matched or not, by stage."""
     return labels.drop("matched").dropDuplicates(["address", "evidence"])
+
+
+def probe_stages(labels: DataFrame) -> dict[str, DataFrame]:
+    """The probe's relations by stage, of label tables of many graphs, as a probe's document lists them."""
+    return {stage: labels.where(F.col("evidence") == stage).drop("matched") for stage in STAGES}
+
+
+def join_stages(labels: DataFrame, functions: DataFrame) -> DataFrame:
+    """Labels of every stage by graph, with ``matched``, origin and owner derived anew: what a label document holds."""
+    from weftgraph.sources.documents import renormalised
+
+    known = functions.select("graph_id", "address").distinct().withColumn("matched", F.lit(True))
+    return renormalised(labels.drop("matched").join(known, ["graph_id", "address"], "left").fillna(False, ["matched"]))
+
+
+def catalog_members(catalog: DataFrame) -> DataFrame:
+    """Catalog rows with ``is_std``: whether the audit counts the owner as standard library."""
+    return catalog.withColumn("is_std", F.coalesce(F.col("owner").isin(*AUDIT_STD_OWNERS), F.lit(False)))

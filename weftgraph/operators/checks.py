@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftgraph.schemas import ANCHOR_KINDS, INDIRECT, INFERRED, KINDS, OPERANDS, RESOLVERS, STATUSES
+from weftgraph.schemas import ABSTAIN_REASON, ANCHOR_KINDS, BOUNDARY_MODES, INDIRECT, INFERRED, KINDS, OPERANDS, RESOLVERS, STAGES, STATUSES, TOP_KEYS
 
 
 def _broken(df: DataFrame, rule: str, test: Column, key: Column) -> DataFrame:
@@ -58,8 +58,12 @@ def violations_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def violations_abstentions(abstentions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Ids unique and none of them a node."""
-    return _all([_repeated(abstentions, "abstention repeats", "id"), _listed(abstentions.join(nodes, ["graph_id", "id"], "left_semi"), "abstained id is a node", "id")])
+    """Ids unique and not blank, none of them a node; status and reason are the fixed ones."""
+    node = F.col("id")
+    return _all([
+        _repeated(abstentions, "abstention repeats", "id"), _listed(abstentions.join(nodes, ["graph_id", "id"], "left_semi"), "abstained id is a node", "id"), _broken(abstentions, "abstained id is blank", F.trim("id") != "", node),
+        _broken(abstentions, "abstention status", F.col("status") == "abstain", node), _broken(abstentions, "abstention reason", F.col("reason") == ABSTAIN_REASON, node),
+    ])
 
 
 def violations_functions(functions: DataFrame, roots: DataFrame) -> DataFrame:
@@ -114,6 +118,16 @@ def violations_summary(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     return differ.select("graph_id", F.lit("stored summary differs").alias("rule"), F.lit(None).cast("string").alias("key"))
 
 
+def violations_run_status(status: DataFrame, transfers: DataFrame) -> DataFrame:
+    """A run that didn't happen decides nothing; a completed one leaves nothing open. status: (graph_id, analysis_status)."""
+    from weftgraph.operators.evidence import indirect
+
+    rows = indirect(transfers).join(status, "graph_id")
+    ran, open_ = F.col("analysis_status"), F.col("indirect_status") == "not_run"
+    wrong = F.when((ran == "not_run") & ~open_, "not run, yet decided").when((ran == "completed") & open_, "completed, yet open")
+    return rows.withColumn("rule", wrong).where("rule is not null").select("graph_id", "rule").distinct().withColumn("key", F.lit(None).cast("string"))
+
+
 def violations_selection(candidates: DataFrame, bounds: DataFrame) -> DataFrame:
     """Every target has one extent of positive size, and is listed once."""
     return _all([
@@ -139,8 +153,74 @@ def universe_diff(nodes: DataFrame, abstentions: DataFrame, truth: DataFrame) ->
     return both.select("graph_id", "id", F.when(F.col("a").isNull(), "only truth").otherwise("only graph").alias("side"))
 
 
-def violations_provenance(rows: DataFrame, digests: list[str]) -> DataFrame:
-    return _all([_broken(rows, f"{d} is a digest", F.col(d).rlike("^[0-9a-f]{64}$"), F.col(d)) for d in digests])
+def violations_universe(nodes: DataFrame, abstentions: DataFrame, truth: DataFrame) -> DataFrame:
+    """``universe_diff`` as violations."""
+    return universe_diff(nodes, abstentions, truth).select("graph_id", F.col("side").alias("rule"), F.col("id").alias("key"))
+
+
+def violations_pairing(graphs: DataFrame, others: DataFrame, name: str) -> DataFrame:
+    """Documents to be joined have the same case, build and profile, and the same provenance.
+
+    Both sides: (graph_id, provenance), a row per document. A graph without its other document has another identity.
+    """
+    left, right = graphs.select("graph_id", F.col("provenance").alias("here")).withColumn("a", F.lit(True)), others.select("graph_id", F.col("provenance").alias("there")).withColumn("b", F.lit(True))
+    rows = left.join(right, "graph_id", "full_outer")
+    rule = F.when(F.col("b").isNull(), f"no {name} of this identity").when(F.col("a").isNull(), f"{name} without a graph").when(~F.col("here").eqNullSafe(F.col("there")), f"{name} of another provenance")
+    return rows.withColumn("rule", rule).where("rule is not null").select("graph_id", "rule", F.lit(None).cast("string").alias("key"))
+
+
+def violations_provenance(rows: DataFrame, digests: list[str], texts: list[str] = ()) -> DataFrame:
+    """Digests are 64 lower-case hex digits; texts aren't blank."""
+    digest = [_broken(rows, f"{d} is a digest", F.col(d).rlike("^[0-9a-f]{64}$"), F.col(d)) for d in digests]
+    return _all(digest + [_broken(rows, f"{t} is blank", F.trim(t) != "", F.col(t)) for t in texts])
+
+
+def violations_build(docs: DataFrame) -> DataFrame:
+    """Provenance of documents (graph_id, provenance): a build id and three digests."""
+    parts = ("source_sha256", "non_stripped_sha256", "stripped_sha256")
+    return violations_provenance(docs.select("graph_id", F.col("provenance.build_id").alias("build_id"), *[F.col(f"provenance.{d}").alias(d) for d in parts]), [*parts], ["build_id"])
+
+
+def violations_raw(docs: DataFrame) -> DataFrame:
+    """Raw graph documents: boundary input's digest, the binary's digest against the build's, boundary mode, texts, some function."""
+    key = F.col("graph_id")
+    return _all([
+        _broken(docs, "boundary input is a digest", F.col("analysis.boundary_input_sha256").rlike("^[0-9a-f]{64}$"), key), _broken(docs, "binary is of another build", F.col("binary.stripped_sha256") == F.col("provenance.stripped_sha256"), key),
+        _broken(docs, "boundary mode", F.col("extraction.boundary_mode").isin(*BOUNDARY_MODES), key), _broken(docs, "functions are empty", F.size("functions") > 0, key),
+        *[_broken(docs, f"{t} is blank", F.trim(t) != "", key) for t in ("analysis.backend", "analysis.extractor_version", "analysis.oracle_level", "binary.path")],
+    ])
+
+
+def violations_boundaries(bounds: DataFrame) -> DataFrame:
+    """Extents (graph_id, address, size): each address once, sizes positive."""
+    return _all([_repeated(bounds, "extent repeats", "address"), _broken(bounds, "address is no number", F.col("address").isNotNull(), F.col("address")), _broken(bounds, "extent is empty", F.col("size") > 0, F.col("address"))])
+
+
+def violations_catalog(catalog: DataFrame) -> DataFrame:
+    """Catalog rows (graph_id, member, origin, owner): a member once, no blank origin or owner."""
+    member = F.col("member")
+    return _all([_repeated(catalog, "member repeats", "member"), _broken(catalog, "origin is blank", F.trim("origin") != "", member), _broken(catalog, "owner is blank", F.trim("owner") != "", member)])
+
+
+def violations_labels(labels: DataFrame) -> DataFrame:
+    """Label rows (graph_id, address, evidence, name): stages are closed, and a stage has an address once."""
+    at = F.concat_ws(" ", F.col("evidence"), F.col("address").cast("string"))
+    return _all([_repeated(labels, "label repeats", "address", "evidence"), _broken(labels, "stage", F.col("evidence").isin(*STAGES), at), _broken(labels, "label has an address", F.col("address").isNotNull(), at), _broken(labels, "label has a name", F.col("name") != "", at)])
+
+
+def violations_probe(docs: DataFrame, labels: DataFrame, builds: DataFrame) -> DataFrame:
+    """A probe's output is of the expected build and declares that it saw the stripped binary only; its labels are valid.
+
+    docs: (graph_id, schema_version, stripped_sha256, input); labels: ``violations_labels``' with mapped_address; builds:
+    (graph_id, stripped_sha256).
+    """
+    key, known = F.col("graph_id"), builds.select("graph_id", F.col("stripped_sha256").alias("expected__"))
+    rows = docs.join(known, "graph_id", "left")
+    return _all([
+        _broken(rows, "probe of an unknown build", F.col("expected__").isNotNull(), key), _broken(rows, "probe of another binary", F.col("stripped_sha256") == F.coalesce("expected__", "stripped_sha256"), key),
+        _broken(rows, "probe version", F.col("schema_version") == 1, key), _broken(rows, "probe saw more than the stripped binary", F.col("input") == "stripped-only", key),
+        _broken(labels, "label has a mapped address", F.col("mapped_address").isNotNull(), F.col("address")), violations_labels(labels),
+    ])
 
 
 def violations_keys(documents: DataFrame, required: list[str], allowed: list[str], json: str = "json") -> DataFrame:
@@ -150,6 +230,15 @@ def violations_keys(documents: DataFrame, required: list[str], allowed: list[str
     return _all([documents.select("graph_id", F.lit(rule).alias("rule"), F.explode(found).alias("key")) for rule, found in lists])
 
 
+def violations_top_level(documents: DataFrame, json: str = "json") -> DataFrame:
+    """Graph documents (graph_id, json) have their version's keys and ``note`` at most; other versions are violations."""
+    version = F.get_json_object(json, "$.schema_version").try_cast("int")
+    rows = documents.withColumn("version__", version)
+    unknown = rows.where(F.col("version__").isNull() | ~F.col("version__").isin(*TOP_KEYS))
+    parts = [violations_keys(rows.where(F.col("version__") == v), [*keys], [*keys, "note"], json) for v, keys in TOP_KEYS.items()]
+    return _all([*parts, unknown.select("graph_id", F.lit("unsupported version").alias("rule"), F.get_json_object(json, "$.schema_version").alias("key"))])
+
+
 def assert_valid(violations: DataFrame, show: int = 5) -> None:
     found = violations.take(show)
     if found:

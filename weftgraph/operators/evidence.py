@@ -44,8 +44,8 @@ def operand_kind(text: Column, has_target: Column) -> Column:
 
 
 def with_terminal(ops: DataFrame) -> DataFrame:
-    """``terminal``: only padding follows the instruction in its function."""
-    after = Window.partitionBy("graph_id", "source").orderBy("callsite").rowsBetween(1, Window.unboundedFollowing)
+    """``terminal``: only padding follows the instruction in its function, at later addresses; repeated rows don't follow each other."""
+    after = Window.partitionBy("graph_id", "source").orderBy("callsite").rangeBetween(1, Window.unboundedFollowing)
     more = F.max(F.when(F.lower("mnemonic").isin(*PADDING), 0).otherwise(1)).over(after)
     return ops.withColumn("terminal", F.coalesce(more, F.lit(0)) == 0)
 

@@ -123,6 +123,11 @@ def project_frozen(functions: DataFrame, transfers: DataFrame, candidates: DataF
     return {"nodes": nodes, "edges": _inside(graph, selected, bias)}
 
 
+def boundary_record(extraction: DataFrame, bounds: DataFrame) -> DataFrame:
+    """What a projected graph records of its boundaries: mode and mismatches (graph_id, boundary_mode, address, ...), of selected extents only."""
+    return extraction.join(bounds.select(*KEY).distinct(), KEY, "left_semi")
+
+
 def _inside(graph: DataFrame, selected: DataFrame, bias: int) -> DataFrame:
     ends = lambda side: selected.withColumnRenamed("address", side)
     inner = graph.join(ends("source"), ["graph_id", "source"], "left_semi").join(ends("target"), ["graph_id", "target"], "left_semi")

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftgraph.schemas import MODES
+from weftgraph.operators.numbering import numbered
 from weftgraph.session import cut
 
 GRAPH = ["graph_id", "mode"]
@@ -116,13 +117,13 @@ def with_class(colors: DataFrame, keys: tuple[str, ...] = tuple(GRAPH)) -> DataF
     return colors.join(named, [*keys, "color"])
 
 
-def scored_clusters(colors: DataFrame) -> DataFrame:
-    """One row per cluster of scored nodes: cluster (0-based by first member), first member, members, size."""
-    from pyspark.sql.window import Window
+def scored_clusters(colors: DataFrame, listed: bool = True) -> DataFrame:
+    """One row per cluster of scored nodes: cluster (0-based by first member), color, first member, size.
 
-    groups = colors.where("scored").groupBy(*GRAPH, "color").agg(F.array_sort(F.collect_list("id")).alias("members"))
-    groups = groups.withColumn("first", F.element_at("members", 1)).withColumn("size", F.size("members").cast("bigint"))
-    return groups.withColumn("cluster", (F.row_number().over(Window.partitionBy(*GRAPH).orderBy("first", "size")) - 1).cast("bigint")).drop("color")
+    ``listed`` adds the sorted members as an array, the form that documents hold; a cluster has to fit in a row then.
+    """
+    parts = [F.min("id").alias("first"), F.count("*").alias("size")] + ([F.array_sort(F.collect_list("id")).alias("members")] if listed else [])
+    return numbered(colors.where("scored").groupBy(*GRAPH, "color").agg(*parts), GRAPH, ["first"], "cluster")
 
 
 def same_partition(first: DataFrame, second: DataFrame) -> bool:

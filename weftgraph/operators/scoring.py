@@ -37,17 +37,17 @@ def with_metrics(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": precision, "recall": recall, "f1": f1, "ari": ari})
 
 
-def coverage(scored: DataFrame, abstained: DataFrame, truth: DataFrame, counts: DataFrame) -> DataFrame:
-    """Target, pair-decision and same-family coverage and effective recall, by graph.
+def coverage(scored: DataFrame, abstained: DataFrame, truth: DataFrame, counts: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """Target, pair-decision and same-family coverage and effective recall, by keys.
 
-    scored, abstained: (graph_id, id); truth: (graph_id, origin, member); counts: pair_counts by graph.
+    scored, abstained: (keys, id); truth: (keys, origin, member); counts: pair_counts by keys.
     """
-    grouped, left = scored.groupBy("graph_id").agg(F.count("*").alias("grouped")), abstained.groupBy("graph_id").agg(F.count("*").alias("abstained"))
-    families = truth.groupBy("graph_id", "origin").agg(F.count("*").alias("n")).groupBy("graph_id").agg(F.sum(pairs(F.col("n"))).alias("family_pairs"))
-    rows = families.join(grouped, "graph_id", "left").join(left, "graph_id", "left").join(counts.select("graph_id", "tp", "fn"), "graph_id", "left")
+    grouped, left = scored.groupBy(*keys).agg(F.count("*").alias("grouped")), abstained.groupBy(*keys).agg(F.count("*").alias("abstained"))
+    families = truth.groupBy(*keys, "origin").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum(pairs(F.col("n"))).alias("family_pairs"))
+    rows = families.join(grouped, [*keys], "left").join(left, [*keys], "left").join(counts.select(*keys, "tp", "fn"), [*keys], "left")
     rows = rows.fillna(0, ["grouped", "abstained", "tp", "fn"]).withColumn("targets", F.col("grouped") + F.col("abstained"))
     return rows.select(
-        "graph_id", "targets", "grouped", "abstained", pairs(F.col("targets")).alias("target_pairs"), "family_pairs", (F.col("tp") + F.col("fn")).alias("scored_family_pairs"),
+        *keys, "targets", "grouped", "abstained", pairs(F.col("targets")).alias("target_pairs"), "family_pairs", (F.col("tp") + F.col("fn")).alias("scored_family_pairs"),
         F.try_divide(F.col("grouped").cast("double"), F.col("targets")).alias("target_coverage"),
         F.try_divide(pairs(F.col("grouped")).cast("double"), pairs(F.col("targets"))).alias("pair_decision_coverage"),
         F.try_divide((F.col("tp") + F.col("fn")).cast("double"), F.col("family_pairs")).alias("same_family_pair_coverage"),
@@ -55,45 +55,48 @@ def coverage(scored: DataFrame, abstained: DataFrame, truth: DataFrame, counts:
     )
 
 
-def origin_scores(truth: DataFrame, members: DataFrame, abstained: DataFrame) -> DataFrame:
-    """One row per origin: sizes, clusters, recovered and total pairs, coverage, recall, colliding origins.
+def origin_scores(truth: DataFrame, members: DataFrame, abstained: DataFrame, keys: tuple[str, ...] = ("graph_id",), named: bool = True) -> DataFrame:
+    """One row per origin: sizes, clusters, recovered and total pairs, coverage, recall, collisions.
 
-    truth: (graph_id, origin, member); members: (graph_id, id, cluster, origin) of scored nodes; abstained: (graph_id, id).
+    truth: (keys, origin, member); members: (keys, id, cluster, origin) of scored nodes; abstained: (keys, id).
+    ``collides`` comes from counts. ``named`` adds the colliding origins by name: only cells of clusters with several
+    origins meet for that, and the list is as long as the answer.
     """
-    sizes = truth.groupBy("graph_id", "origin").agg(F.count("*").alias("instances"))
-    gone = truth.join(abstained.select("graph_id", F.col("id").alias("member")), ["graph_id", "member"], "left_semi").groupBy("graph_id", "origin").agg(F.count("*").alias("abstained"))
-    cells = contingency(members, ("graph_id",))
-    found = cells.groupBy("graph_id", "origin").agg(F.sum("n").alias("scored"), F.count("*").alias("clusters"), F.sum(pairs(F.col("n"))).alias("recovered_pairs"))
-    other = cells.select("graph_id", "cluster", F.col("origin").alias("other"))
-    clash = cells.join(other, ["graph_id", "cluster"]).where("origin <> other").groupBy("graph_id", "origin").agg(F.array_sort(F.collect_set("other")).alias("colliding"))
-    rows = sizes.join(gone, ["graph_id", "origin"], "left").join(found, ["graph_id", "origin"], "left").join(clash, ["graph_id", "origin"], "left").fillna(0, ["abstained", "scored", "clusters", "recovered_pairs"])
+    keys = [*keys]
+    sizes = truth.groupBy(*keys, "origin").agg(F.count("*").alias("instances"))
+    gone = truth.join(abstained.select(*keys, F.col("id").alias("member")), [*keys, "member"], "left_semi").groupBy(*keys, "origin").agg(F.count("*").alias("abstained"))
+    cells = contingency(members, tuple(keys))
+    shared = cells.groupBy(*keys, "cluster").agg(F.count("*").alias("origins__")).where("origins__ > 1").select(*keys, "cluster", F.lit(True).alias("shared"))
+    cells = cells.join(shared, [*keys, "cluster"], "left").fillna(False, ["shared"])
+    found = cells.groupBy(*keys, "origin").agg(F.sum("n").alias("scored"), F.count("*").alias("clusters"), F.sum(pairs(F.col("n"))).alias("recovered_pairs"), F.max("shared").alias("collides"))
+    rows = sizes.join(gone, [*keys, "origin"], "left").join(found, [*keys, "origin"], "left")
+    rows = rows.fillna(0, ["abstained", "scored", "clusters", "recovered_pairs"]).fillna(False, ["collides"])
+    more = ["collides"]
+    if named:
+        mixed = cells.where("shared")
+        clash = mixed.join(mixed.select(*keys, "cluster", F.col("origin").alias("other")), [*keys, "cluster"]).where("origin <> other")
+        rows = rows.join(clash.groupBy(*keys, "origin").agg(F.array_sort(F.collect_set("other")).alias("colliding")), [*keys, "origin"], "left")
+        more.append(F.coalesce("colliding", F.array().cast("array<string>")).alias("colliding"))
     many = pairs(F.col("instances"))
     return rows.select(
-        "graph_id", "origin", "instances", "scored", "abstained", "clusters", "recovered_pairs", pairs(F.col("scored")).alias("total_pairs"), many.alias("target_pairs"),
-        F.try_divide(pairs(F.col("scored")).cast("double"), many).alias("scored_pair_coverage"), F.try_divide(F.col("recovered_pairs").cast("double"), many).alias("effective_recall"),
-        F.coalesce("colliding", F.array().cast("array<string>")).alias("colliding"),
+        *keys, "origin", "instances", "scored", "abstained", "clusters", "recovered_pairs", pairs(F.col("scored")).alias("total_pairs"), many.alias("target_pairs"),
+        F.try_divide(pairs(F.col("scored")).cast("double"), many).alias("scored_pair_coverage"), F.try_divide(F.col("recovered_pairs").cast("double"), many).alias("effective_recall"), *more,
     )
 
 
-def family_status(origins: DataFrame) -> DataFrame:
-    """Families (origins with target pairs) by evidence, recovery and collision; one row per graph."""
+def family_status(origins: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """Families (origins with target pairs) by evidence, recovery and collision; one row per keys."""
     rows = origins.where("target_pairs > 0")
     none, part = F.col("total_pairs") == 0, F.col("abstained") > 0
     tests = {
         "evidence_full": ~none & ~part, "evidence_partial": ~none & part, "evidence_insufficient": none,
         "recovery_complete": ~none & (F.col("recovered_pairs") == F.col("total_pairs")), "recovery_partial": ~none & (F.col("recovered_pairs") > 0) & (F.col("recovered_pairs") < F.col("total_pairs")),
-        "recovery_missed": ~none & (F.col("recovered_pairs") == 0), "recovery_na": none, "collision": F.size("colliding") > 0,
+        "recovery_missed": ~none & (F.col("recovered_pairs") == 0), "recovery_na": none, "collision": F.col("collides"),
     }
-    return rows.groupBy("graph_id").agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
+    return rows.groupBy(*keys).agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
 
 
 def cluster_members(colors: DataFrame, truth: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """Scored members with their cluster (colour), origin and, where given, display names."""
     rows = colors.where("scored").select("graph_id", "mode", "id", F.col("color").alias("cluster")).join(truth.withColumnRenamed("member", "id"), ["graph_id", "id"], "left")
     return rows if symbols is None else rows.join(symbols.withColumnRenamed("member", "id"), ["graph_id", "id"], "left")
-
-
-def format_report(row: dict) -> str:
-    """One metrics row as text; two decimals, N/A for what is undefined."""
-    show = lambda v: "N/A" if v is None else f"{v:.2f}"
-    return f"{row['graph_id']} [{row['mode']}] rounds={row.get('rounds')} TP={row['tp']} FP={row['fp']} FN={row['fn']} TN={row['tn']} PR={show(row['precision'])} RE={show(row['recall'])} F1={show(row['f1'])} ARI={show(row['ari'])}"

@@ -42,22 +42,23 @@ def rounds(graph: str, most: int) -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({refined(graph, m, most)} SELECT '{m}' AS mode, min(round) AS rounds FROM trace WHERE state = 'fixpoint')" for m in ("full", "out", "in", "out-in"))
 
 
-def _members() -> str:
+def _members(mode: str = "full") -> str:
     from weftgraph.sources.bridges import VIEWS
 
-    return refined("geo", "full", 6) + f", truth AS ({VIEWS['geo_truth'].replace('{', '').replace('}', '')}), m AS (SELECT id, c, origin FROM last JOIN truth ON member = id WHERE scored)"
+    return refined("geo", mode, 6) + f", truth AS ({VIEWS['geo_truth'].replace('{', '').replace('}', '')}), m AS (SELECT id, c, origin FROM last JOIN truth ON member = id WHERE scored)"
 
 
-def pair_counts() -> str:
+def pair_counts(mode: str = "full") -> str:
     """Every unordered pair, one by one."""
-    return _members() + """, pairs AS (SELECT count(*) FILTER (a.c = b.c AND a.origin = b.origin) AS tp, count(*) FILTER (a.c = b.c AND a.origin <> b.origin) AS fp,
+    return _members(mode) + """, pairs AS (SELECT count(*) FILTER (a.c = b.c AND a.origin = b.origin) AS tp, count(*) FILTER (a.c = b.c AND a.origin <> b.origin) AS fp,
         count(*) FILTER (a.c <> b.c AND a.origin = b.origin) AS fn, count(*) FILTER (a.c <> b.c AND a.origin <> b.origin) AS tn FROM m a JOIN m b ON a.id < b.id)"""
 
 
 METRICS = """, x AS (SELECT CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn, CAST(tn AS DOUBLE) AS tn FROM pairs), y AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r, (tp + fp) * (tp + fn) / (tp + fp + fn + tn) AS e FROM x)
     SELECT p AS precision, r AS recall, 2 * p * r / (p + r) AS f1, (tp - e) / (0.5 * ((tp + fp) + (tp + fn)) - e) AS ari FROM y"""
 
-_ORIGIN_ROWS = _members() + """, z AS (SELECT a.origin, count(*) FILTER (a.c = b.c) AS recovered, count(*) AS pairs FROM m a JOIN m b ON a.id < b.id AND a.origin = b.origin GROUP BY a.origin),
+MEMBERS = _members()
+_ORIGIN_ROWS = MEMBERS + """, z AS (SELECT a.origin, count(*) FILTER (a.c = b.c) AS recovered, count(*) AS pairs FROM m a JOIN m b ON a.id < b.id AND a.origin = b.origin GROUP BY a.origin),
     clash AS (SELECT a.origin, string_agg(DISTINCT b.origin, ',' ORDER BY b.origin) AS colliding FROM m a JOIN m b ON a.c = b.c AND a.origin <> b.origin GROUP BY a.origin),
     rows AS (SELECT s.origin, s.n AS instances, s.n AS scored, CAST(0 AS BIGINT) AS abstained, s.clusters, coalesce(z.recovered, 0) AS recovered_pairs, coalesce(z.pairs, 0) AS total_pairs, coalesce(z.pairs, 0) AS target_pairs,
         CASE WHEN z.pairs > 0 THEN CAST(1.0 AS DOUBLE) END AS scored_pair_coverage, CASE WHEN z.pairs > 0 THEN z.recovered / z.pairs END AS effective_recall, coalesce(clash.colliding, '') AS colliding

@@ -10,6 +10,7 @@ from weftgraph.functions import scalars, symbols
 from weftgraph.operators import audit, checks, closure, diagnostics, evidence, projection, refine, scoring, truth
 from weftgraph.plans import oracle
 from weftgraph.schemas import MODES
+from weftgraph.sources import sinks
 from weftgraph.sources.bridges import view, with_views
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +122,7 @@ def refine_trace(spark, sf_dir):
 @query(oracle.refined("geo", "full", 6) + """ SELECT CAST(row_number() OVER (ORDER BY first, size) - 1 AS BIGINT) AS cluster, first, size
     FROM (SELECT min(id) AS first, count(*) AS size FROM last WHERE scored GROUP BY c)""")
 def scored_clusters(spark, sf_dir):
-    return refine.scored_clusters(_refined(spark, sf_dir, "geo")[0]).select("cluster", "first", "size")
+    return refine.scored_clusters(_refined(spark, sf_dir, "geo")[0], listed=False).select("cluster", "first", "size")
 
 
 @query("SELECT * FROM (" + oracle.refined("trade", "full", 4) + " SELECT 'role' AS policy, id, c AS class_id FROM last WHERE scored) UNION ALL SELECT * FROM (" + oracle.refined("trade", "full", 4, "CAST(NULL AS STRING)") + " SELECT 'address' AS policy, id, c AS class_id FROM last WHERE scored)")
@@ -160,7 +161,7 @@ def _origin_scores(spark, sf_dir):
 
 @query(oracle.ORIGINS)
 def origin_scores(spark, sf_dir):
-    return _origin_scores(spark, sf_dir).withColumn("colliding", F.array_join("colliding", ",")).drop("graph_id")
+    return _origin_scores(spark, sf_dir).withColumn("colliding", F.array_join("colliding", ",")).drop("graph_id", "collides")
 
 
 @query(oracle.FAMILIES)
@@ -510,9 +511,9 @@ def node_ids(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", scalars.node_id(address).alias("id"), scalars.to_hex(address).alias("hex"), scalars.parse_hex(scalars.to_hex(address)).alias("back"))
 
 
-@query("SELECT p_partkey, sha256(concat_ws('|', p_name, p_brand, p_type)) AS digest FROM part")
+@query("""SELECT p_partkey, sha256(concat('{"p_brand":"', p_brand, '","p_name":"', p_name, '","p_size":', CAST(p_size AS STRING), ',"p_type":"', p_type, '"}')) AS digest FROM part""")
 def content_hash(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.sha2(F.concat_ws("|", "p_name", "p_brand", "p_type"), 256).alias("digest"))
+    return sinks.document_digests(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
 
 
 # Decoded operands and warnings

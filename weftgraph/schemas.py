@@ -35,3 +35,10 @@ ABSTAIN_REASON = "no_resolved_nonself_in_or_out_edge"
 SCOPE_STD_OWNERS = ("core", "alloc", "std", "__rustc")
 AUDIT_STD_OWNERS = ("core", "alloc", "std")
 ID_BIAS = 0x100000
+BOUNDARY_MODES = ("radare2", "symbol-extent")
+STAGES = ("direct-flirt", "propagated-wrapper", "cleanup-heuristic")
+TOP_KEYS = {
+    4: ("case", "build", "profile", "schema_version", "provenance", "extraction", "nodes"),
+    5: ("case", "build", "profile", "schema_version", "provenance", "extraction", "nodes", "analysis"),
+    6: ("case", "build", "profile", "schema_version", "provenance", "extraction", "nodes", "analysis", "abstentions"),
+}

@@ -56,6 +56,16 @@ VIEWS = {
     # Symbols: parts as compiled functions; a rounded price is the address, so some addresses are shared.
     "symbols": """SELECT CAST(floor(p_retailprice * 4) AS BIGINT) AS address, CAST(p_size AS BIGINT) AS size, 't' AS kind,
         concat(CASE WHEN p_size < 5 THEN 'core' WHEN p_size < 8 THEN 'std' ELSE replace(lower(p_brand), '#', '_') END, '::', replace(lower(p_type), ' ', '_'), '::make::<u', CAST(p_size AS STRING), '>') AS name, p_partkey FROM {part}""",
+    # Code: orders as functions of 64 bytes, lines as instructions; parts as relocation slots.
+    "code_functions": "SELECT 'code' AS graph_id, o_orderkey * 64 AS address, CAST(64 AS BIGINT) AS size, 'symbol-oracle' AS boundary_source, o_orderpriority = '5-LOW' AS is_import FROM {orders}",
+    "code_ops": """SELECT 'code' AS graph_id, l_orderkey * 64 AS source, l_orderkey * 64 + l_linenumber * 8 AS callsite, CAST(CASE WHEN l_linenumber = 3 THEN 4 ELSE 8 END AS BIGINT) AS length,
+        CASE WHEN l_quantity > 45 THEN 'nop' WHEN l_linestatus = 'O' THEN 'call' WHEN l_returnflag = 'A' THEN 'jmp' ELSE 'mov' END AS mnemonic, 'x' AS text,
+        CASE WHEN l_partkey % 5 < 2 THEN 'memory' WHEN l_partkey % 5 < 4 THEN 'register' ELSE 'unknown' END AS operand, l_quantity <= 45 AND l_linestatus = 'O' AS is_call, l_quantity <= 45 AND l_linestatus <> 'O' AND l_returnflag = 'A' AS is_jump,
+        CASE WHEN l_quantity <= 20 THEN CASE WHEN l_discount < 0.05 THEN l_suppkey * 64 ELSE l_partkey * 64 + 8 END END AS imm_target, CASE WHEN l_quantity > 20 AND l_quantity <= 35 THEN l_partkey END AS slot FROM {lineitem}""",
+    "code_slots": "SELECT 'code' AS graph_id, p_partkey AS slot, p_partkey * 64 + CASE WHEN p_size < 10 THEN 8 ELSE 0 END AS slot_target FROM {part} WHERE p_size < 40",
+    # Names with brackets in brackets.
+    "bracket_names": """SELECT p_partkey, replace(lower(p_brand), '#', '_') AS brand, CASE p_partkey % 4 WHEN 0 THEN concat('<', replace(lower(p_brand), '#', '_'), '::T as core::fmt::Debug>::fmt') WHEN 1 THEN concat(replace(lower(p_brand), '#', '_'), '::f::<Vec<u8>, B<C>>::g::<D>')
+        WHEN 2 THEN concat(replace(lower(p_brand), '#', '_'), '::_::<impl serde::De for ', replace(lower(p_brand), '#', '_'), '::X>::de') ELSE concat(replace(lower(p_brand), '#', '_'), '::<impl Foo>::g::h0123456789abcdef') END AS name FROM {part}""",
     # Labels: quality as the label, toxicity as the truth.
     "label_rows": "SELECT doc_id AS address, CASE WHEN quality = 1 THEN 'std' ELSE lower(source) END AS owner, lang AS canonical_origin FROM {labels} JOIN {documents} USING (doc_id)",
 }

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.functions.scalars import address, parse_hex
 
-FIXTURE = """case string, build string, profile string, schema_version int,
- analysis struct<track:string,candidate_scope:string,anchor_policy:string>,
+PROVENANCE = "provenance struct<build_id:string,source_sha256:string,non_stripped_sha256:string,stripped_sha256:string>"
+FIXTURE = f"""case string, build string, profile string, schema_version int, {PROVENANCE},
+ analysis struct<track:string,candidate_scope:string,backend:string,extractor_version:string,raw_graph_sha256:string,candidate_selection_sha256:string,
+  projection_config_sha256:string,anchor_policy:string,edge_policy:array<string>,oracle_level:string>,
  nodes array<struct<id:string,type:string,scored:boolean,anchor_kind:string,color_class:string,
   observability:struct<resolved_out_calls:bigint,unresolved_indirect_out_callsites:bigint,address_taken_references:bigint,resolved_in_callers:bigint>,
   calls:array<struct<target:string,count:bigint>>>>,
  abstentions array<struct<id:string,status:string,reason:string>>"""
-TRUTH = """case string, build string, profile string, schema_version int, origins array<struct<origin:string,members:array<string>>>,
+TRUTH = f"""case string, build string, profile string, schema_version int, {PROVENANCE}, origins array<struct<origin:string,members:array<string>>>,
  symbols map<string,array<string>>, cross_origin_aliases array<struct<member:string,origins:array<string>>>, owners map<string,string>"""
-SELECTION = """case string, build string, profile string, schema_version int, candidate_scope string, root_namespace string, namespaces array<string>,
+SELECTION = f"""case string, build string, profile string, schema_version int, {PROVENANCE}, candidate_scope string, root_namespace string, namespaces array<string>,
  excluded_namespaces array<string>, addresses array<string>, function_bounds array<struct<address:string,size:bigint>>, functions array<struct<address:string,size:bigint>>"""
-RAW = """case string, build string, profile string, schema_version int, root string,
+RAW = f"""case string, build string, profile string, schema_version int, root string, {PROVENANCE},
+ analysis struct<backend:string,extractor_version:string,oracle_level:string,boundary_input_sha256:string>, binary struct<path:string,stripped_sha256:string>,
+ extraction struct<boundary_mode:string,boundary_mismatches:array<struct<id:string,address:string,symbol_size:bigint,radare2_size:bigint>>>, indirect_call_summary struct<analysis_status:string>,
  functions array<struct<address:string,name:string,size:bigint,boundary_source:string,discovered_by_radare2:boolean>>,
  transfers array<struct<source:string,callsite:string,instruction:string,kind:string,operand_kind:string,status:string,target:string,resolver:string,
   confidence:string,filter_reason:string,angr_status:string,angr_targets:array<string>,angr_target_names:map<string,string>>>"""
-LABELS = """case string, build string, profile string, matches array<struct<address:string,name:string,canonical_origin:string,owner:string,evidence:string>>,
- unmatched_addresses array<struct<address:string,name:string,canonical_origin:string,owner:string,evidence:string>>"""
+_LABEL = "array<struct<address:string,mapped_address:string,name:string,canonical_origin:string,owner:string,evidence:string>>"
+LABELS = f"""case string, build string, profile string, schema_version int, stripped_sha256 string, {PROVENANCE}, analysis struct<input:string>,
+ matches {_LABEL}, propagated_wrappers {_LABEL}, cleanup_heuristics {_LABEL}, unmatched_addresses {_LABEL}"""
+BOUNDARIES = f"case string, build string, profile string, schema_version int, {PROVENANCE}, source string, function_bounds array<struct<address:string,size:bigint>>"
 
 #: Versions that a reader accepts.
 VERSIONS = {"fixture": (4, 5, 6), "raw": (3, 5), "truth": (5, 6), "selection": (4, 5, 6)}
@@ -77,9 +85,39 @@ def evidence(docs: DataFrame) -> dict[str, DataFrame]:
 
 
 def labels(docs: DataFrame) -> DataFrame:
-    """Labels of a document, matched or not."""
-    sides = [docs.select("graph_id", F.explode(c).alias("l"), F.lit(m).alias("matched")) for c, m in (("matches", True), ("unmatched_addresses", False))]
-    return sides[0].unionByName(sides[1]).select("graph_id", address(F.col("l.address")).alias("address"), "l.name", "l.canonical_origin", "l.owner", "l.evidence", "matched")
+    """Labels of documents, of every stage, matched or not."""
+    lists = {"matches": True, "propagated_wrappers": True, "cleanup_heuristics": True, "unmatched_addresses": False}
+    rows = reduce(DataFrame.unionByName, [docs.select("graph_id", F.explode(c).alias("l"), F.lit(m).alias("matched")) for c, m in lists.items()])
+    return rows.select("graph_id", address(F.col("l.address")).alias("address"), address(F.col("l.mapped_address")).alias("mapped_address"), "l.name", "l.canonical_origin", "l.owner", "l.evidence", "matched")
+
+
+def boundaries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Extents (graph_id, address, size) of boundary documents, checked."""
+    from weftgraph.operators.checks import assert_valid, violations_boundaries, violations_build
+
+    docs = read(spark, paths, BOUNDARIES)
+    rows = docs.select("graph_id", F.explode("function_bounds").alias("b")).select("graph_id", address(F.col("b.address")).alias("address"), F.col("b.size").alias("size"))
+    assert_valid(violations_boundaries(rows).unionByName(violations_build(docs)))
+    return rows
+
+
+def catalog(docs: DataFrame) -> DataFrame:
+    """(graph_id, member, origin, owner) of catalog documents, checked."""
+    from weftgraph.operators.checks import assert_valid, violations_catalog
+
+    found = truths(docs)
+    rows = found["truth"].join(found["owners"], ["graph_id", "member"], "left")
+    assert_valid(violations_catalog(rows))
+    return rows
+
+
+def label_rows(docs: DataFrame) -> DataFrame:
+    """``labels``, checked: stages are closed and hold an address once."""
+    from weftgraph.operators.checks import assert_valid, violations_labels
+
+    rows = labels(docs)
+    assert_valid(violations_labels(rows))
+    return rows
 
 
 def renormalised(rows: DataFrame) -> DataFrame:

@@ -50,3 +50,16 @@ def artifact_path(kind: str, case: str, build: str, profile: str = "plain", scop
     scope = normalise("scope", scope)
     more = ["angr"] if kind == "raw" and inferred else [scope] if kind in ("gt", "users") and scope != "subject" else []
     return "/".join([folder, *more, normalise("profile", profile), f"{case}.{normalise('build', build)}.{end}"])
+
+
+def result_path(case: str, name: str, profile: str = "plain") -> str:
+    """A result file of a case; only the last part of either name counts."""
+    parts = [text.rstrip("/").rpartition("/")[2] for text in (case, name)]
+    for text, part in zip((case, name), parts):
+        if part in ("", ".", ".."):
+            raise ValueError(f"no name for a result: {text!r}")
+    return "/".join(["results", parts[0], normalise("profile", profile), parts[1] if parts[1].endswith(".json") else parts[1] + ".json"])
+
+
+def baseline_path(profile: str = "plain", every_mode: bool = False) -> str:
+    return result_path("micro-corpus", "all_modes" if every_mode else "baseline", profile)

@@ -19,6 +19,12 @@ def as_documents(df: DataFrame, key: str = "graph_id") -> DataFrame:
     return df.select(key, F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def document_digests(df: DataFrame, key: str = "graph_id") -> DataFrame:
+    """(key, digest): SHA-256 of each row as canonical JSON (texts, whole numbers, booleans), as ``canonical_digest`` has it."""
+    json = F.to_json(F.struct(*sorted(c for c in df.columns if c != key)), {"ignoreNullFields": "false"})
+    return df.select(key, F.sha2(json, 256).alias("digest"))
+
+
 def selection_document(candidates: DataFrame, bounds: DataFrame) -> DataFrame:
     """One row per graph: sorted hex addresses and extents, as selection documents hold them."""
     from weftgraph.functions.scalars import to_hex
@@ -45,3 +51,20 @@ def ordered_digest(rows: list[tuple[str, bytes]]) -> str:
         for part in (name.encode(), content):
             out.update(len(part).to_bytes(8, "big") + part)
     return out.hexdigest()
+
+
+def inputs_digest(rows: list[tuple[str, bytes]]) -> str:
+    """Digest of build inputs (relative path, content), in path order: each path with its length, then its content."""
+    out = hashlib.sha256()
+    for name, content in sorted(dict(rows).items()):
+        out.update(len(name.encode()).to_bytes(8, "big") + name.encode() + content)
+    return out.hexdigest()
+
+
+def stable_text(document: dict) -> str:
+    """Raw graph documents as text: keys as given, indented by two, a final line break."""
+    return json.dumps(document, indent=2, ensure_ascii=False) + "\n"
+
+
+def stable_digest(document: dict) -> str:
+    return hashlib.sha256(stable_text(document).encode()).hexdigest()
