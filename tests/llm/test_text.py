@@ -66,6 +66,43 @@ def test_bpe_counts(coder, text):
         assert coder.count(t) == len(coder.encode(t))
 
 
+def test_bpe_plain_text_is_not_composed(monkeypatch):
+    """Symbols below the combining marks, and common dashes and quotation marks, are lower-cased at once: their normal form is their own, also side by side."""
+    plain = [chr(c) for c in range(0x110000) if not bpe._COMPOSING.search(chr(c))]
+    pairs = "".join(a + b for a in plain for b in plain)
+    assert len(plain) > 768 and bpe.unicodedata.normalize("NFC", pairs) == pairs and not any(map(bpe.unicodedata.combining, plain))
+    assert not any(ord(c) in bpe._SMALL or bpe._LATER.search(c) or bpe._UNORDERED.search(c) for c in plain)
+    monkeypatch.setattr(bpe, "unicodedata", None)
+    assert bpe.normal("Größe ŒUVRE – „Ä“ 5 € …") == "größe œuvre – „ä“ 5 € …"
+
+
+def test_bpe_words_with_blanks():
+    """A split pattern whose words hold blanks: texts are not cut there, and counts are those of the library."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(bpe.vocabulary())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}+ \p{L}+|\S"
+    other, theirs = bpe.WordBpe(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    for text in ("", "the cat sat on it", "It's a b, c d!", "x<|endoftext|>the end"):
+        assert other.count(text) == len(other.encode(text)) and other.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_memory_is_bounded(coder):
+    """A full memory forgets what was not used lately, keeps its bound and changes no result; long arguments aren't kept."""
+    made = []
+    known = bpe.Remembered(lambda w: made.append(w) or len(w), 20)
+    for i in range(200):
+        assert known["often"] == 5 and known[f"w{i}"] == len(f"w{i}") and known["x" * 100] == 100
+        assert len(known) + len(known.older) <= 20 and "x" * 100 not in known
+    assert made.count("often") == 1
+    text = " ".join(f"Größe{i}, it's the {i % 7}nd" for i in range(300))
+    small = bpe.WordBpe(bpe.vocabulary())
+    small.counts.half = small.fits.half = 5
+    assert small.count(text) == small.count(text) == len(coder.encode(text))
+
+
 def test_bpe_documents(spark, coder):
     rows = spark.createDataFrame([(1, "the cat sat", "x"), (2, None, "y"), (2, "", "y")], "doc_id bigint, text string, ids string")
     got = bpe.encode_documents(rows, with_ids=True).collect()

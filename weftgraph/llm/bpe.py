@@ -3,7 +3,8 @@
 A sequence of tokens is the merge result of its text exactly if every two neighbours are compatible: merging the text
 of the two alone gives the two back. So a word is encoded left to right: at each place take the longest token that
 starts there (one Aho-Corasick pass finds all tokens) and is compatible with the one before; if none is, the place is
-dead and the token before it is shortened. No place is tried twice after it died, which keeps the time linear.
+dead and the token before it is shortened. No place is tried twice after it died, which keeps the time linear. Shorter
+tokens at a place are prefixes of the longest one there, so a pass keeps that one and a table leads to the next.
 
 Compatibility is looked up in a table that fills as pairs turn up. An entry is computed by walking the merges at the
 boundary in rank order: if a merge across the boundary comes due before the two tokens are complete, they don't fit.
@@ -15,8 +16,9 @@ symbol of a word is another symbol than the same one inside.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -29,8 +31,10 @@ from weftgraph.llm.labelled import documents
 
 #: Words that an encoder remembers, and the longest that it does. Both bound memory, not results.
 CACHE, CACHED_CHARS = 600_000, 64
-#: Words and pieces whose number of tokens an encoder remembers.
-COUNTED = 1_200_000
+#: Words and pieces whose number of tokens an encoder remembers, and pairs of tokens of which it does whether they fit.
+COUNTED, FITS = 1_200_000, 2_000_000
+#: The split pattern whose words hold no white space and don't depend on what stands beside it: text can be cut there.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Distance of the alphabet of last symbols from that of inner ones.
 LAST = 0x10000
 #: Place reached by no rank.
@@ -59,13 +63,15 @@ def _class(ranges: tuple[tuple[int, int], ...]) -> str:
     return "[" + "".join(f"{regex.escape(chr(a))}-{regex.escape(chr(b))}" for a, b in ranges) + "]"
 
 
+#: Any symbol but those below the combining marks, and dashes, quotation marks, dots and the euro sign: these are in normal form in any company.
+_COMPOSING = re.compile("[^\0-\u02ff\u2010-\u2027\u20ac]")
 _LATER, _UNORDERED = regex.compile(_class(LATER)), regex.compile("(" + _class(UNORDERED) + ")")
 _SMALL = {c: c + d for a, b, d in CAPITALS for c in range(a, b + 1)}
 
 
 def normal(text: str) -> str:
     """The library's normal form, but for white space: NFC, then lower case symbol by symbol."""
-    if text.isascii():
+    if text.isascii() or not _COMPOSING.search(text):
         return text.lower()
     parts = _UNORDERED.split(text)  # such a mark parts what stands before it from what follows
     joined = "".join(unicodedata.normalize("NFC", p) for p in parts) if len(parts) > 1 else unicodedata.normalize("NFC", text)
@@ -84,6 +90,25 @@ def byte_symbols() -> list[str]:
     return table
 
 
+class Remembered(dict):
+    """What a function gave for arguments of at most CACHED_CHARS symbols: ``most`` of them, those used lately when more turn up."""
+
+    def __init__(self, function: Callable, most: int):
+        super().__init__()
+        self.function, self.half, self.older = function, most // 2, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.function(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class WordBpe:
     """A word-level BPE tokenizer read from the JSON that the tokenizers library writes.
 
@@ -100,7 +125,7 @@ class WordBpe:
         if model["type"] != "BPE" or model["dropout"] or model["continuing_subword_prefix"] or model["ignore_merges"] or steps != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"] or spec["decoder"]:
             raise ValueError("unsupported tokenizer file")
         self.suffix = model["end_of_word_suffix"] or ""
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.words, self.apart = regex.compile(split["pattern"]["Regex"]), split["pattern"]["Regex"] == APART
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.symbols = byte_symbols()
@@ -109,7 +134,7 @@ class WordBpe:
         self._merges(vocab, pairs)
         self._offsets({**vocab, **self.special})
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.counts: dict[str, int] = {}
+        self.counts = Remembered(self._count_piece, COUNTED)
 
     def _inner(self, token: str) -> str:
         """A token over the two alphabets."""
@@ -124,7 +149,7 @@ class WordBpe:
         self.rank: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int] | None] = [None] * size
         self.made: list[int] = [-1] * size
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits = Remembered(lambda pair: self._crossing(*pair) is None, FITS)
         reached = [False] * size
         merged = set()
         for rank, (a, b) in enumerate(pairs):
@@ -139,11 +164,12 @@ class WordBpe:
         for a, b in pairs:
             i, l, r = vocab[a + b], vocab[a], vocab[b]
             reached[i] = reached[i] or (reached[l] and reached[r] and self._crossing(l, r) == (l, r))
-        self.trie = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            if reached[i]:
-                inner = self._inner(token)
-                self.trie.add_word(inner, (len(inner), i))
+        self.trie, inners = ahocorasick.Automaton(), {self._inner(token): i for token, i in vocab.items() if reached[i]}
+        self.length, self.shorter = [0] * size, [-1] * size
+        for inner, i in inners.items():
+            self.trie.add_word(inner, (len(inner) - 1, i))
+            self.length[i] = len(inner)
+            self.shorter[i] = next((inners[inner[:n]] for n in range(len(inner) - 1, 0, -1) if inner[:n] in inners), -1)
         self.trie.make_automaton()
 
     def _crossing(self, left: int, right: int) -> tuple[int, int] | None:
@@ -167,14 +193,6 @@ class WordBpe:
             else:
                 j -= 1
 
-    def compatible(self, left: int, right: int) -> bool:
-        found = self.fits.get((left, right))
-        if found is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            found = self.fits[left, right] = self._crossing(left, right) is None
-        return found
-
     def _offsets(self, vocab: dict[str, int]) -> None:
         """Token texts in one buffer: token i is at buffer[offset[i]:offset[i + 1]]."""
         texts = [b""] * (max(vocab.values()) + 1)
@@ -187,39 +205,38 @@ class WordBpe:
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Token ids of one word of normalised text."""
-        symbols = self.symbols
-        s = "".join([symbols[b] for b in word.encode("utf-8")])
+        if word.isascii() and word.isprintable() and " " not in word:
+            s = word  # these symbols stand for themselves
+        else:
+            symbols = self.symbols
+            s = "".join([symbols[b] for b in word.encode("utf-8")])
         if self.suffix:
             s = s[:-1] + chr(ord(s[-1]) + LAST)
-        starts: list[list[tuple[int, int]]] = [[] for _ in s]  # tokens at each place; they come shortest first, for ends ascend
-        for end, (n, i) in self.trie.iter(s):
-            starts[end - n + 1].append((n, i))
-        at, path = 0, []  # path: (place, index into starts[place])
-        dead = bytearray(len(s) + 1)
-        choice = len(starts[0]) - 1
-        while at < len(s):
-            before = starts[path[-1][0]][path[-1][1]][1] if path else -1
-            options = starts[at]
-            while choice >= 0:
-                n, i = options[choice]
-                if not dead[at + n] and (before < 0 or self.compatible(before, i)):
-                    break
-                choice -= 1
-            if choice >= 0:
-                path.append((at, choice))
-                at += n
-                choice = len(starts[at]) - 1 if at < len(s) else -1
+        longest = {end - n: i for end, (n, i) in self.trie.iter(s)}  # token at each place; ends ascend, so the longest comes last
+        length, shorter, fits = self.length, self.shorter, self.fits
+        at, size, before, path = 0, len(s), -1, []
+        dead: set[int] = set()
+        token = longest.get(0, -1)
+        while at < size:
+            while token >= 0 and (before >= 0 and not fits[before, token] or at + length[token] in dead):
+                token = shorter[token]
+            if token >= 0:
+                path.append(token)
+                at, before = at + length[token], token
+                token = longest.get(at, -1)
             elif path:
-                dead[at] = 1
-                at, choice = path.pop()
-                choice -= 1
+                dead.add(at)
+                last = path.pop()
+                at, before, token = at - length[last], path[-1] if path else -1, shorter[last]
             else:
                 raise ValueError(f"no encoding of {word!r}")
-        return tuple([starts[p][c][1] for p, c in path])
+        return tuple(path)
 
     def _words(self, text: str) -> list[str]:
         """Words of normalised text."""
-        if text.isascii() or not _LATER.search(text):
+        if self.apart and text.isascii() and text.isalpha():
+            return [text]
+        if text.isascii() or not _COMPOSING.search(text) or not _LATER.search(text):  # the first is quicker
             return self.words.findall(text)
         masked = _LATER.sub("\ue000", text)  # neither letter, number nor blank, as they are to the library
         return [text[m.start() : m.end()] for m in self.words.finditer(masked)]
@@ -249,37 +266,21 @@ class WordBpe:
                 ids += self._segment(normal(part))
         return ids
 
-    def _count(self, text: str) -> int:
-        """Tokens of text without special tokens, by pieces between blanks and line ends: the split pattern matches neither.
-
-        A word alone is a piece that the pattern matches whole, so pieces and words share the memory.
-        """
-        known, total = self.counts, 0
-        for piece in normal(text).replace("\n", " ").split(" "):
-            n = known.get(piece)
-            if n is None:
-                n = 0
-                for w in self._words(piece):
-                    got = known.get(w)
-                    if got is None:
-                        got = len(self.encode_word(w))
-                        self._remember(w, got)
-                    n += got
-                self._remember(piece, n)
-            total += n
-        return total
-
-    def _remember(self, piece: str, n: int) -> None:
-        if len(piece) <= CACHED_CHARS:
-            if len(self.counts) >= COUNTED:
-                self.counts.clear()
-            self.counts[piece] = n
+    def _pieces(self, text: str) -> list[str]:
+        """Text without special tokens, normalised and cut between blanks and line ends; for other split patterns its words."""
+        text = normal(text)
+        return text.replace("\n", " ").split(" ") if self.apart else self._words(text)
+
+    def _count_piece(self, piece: str) -> int:
+        """Tokens of a piece. A word alone is a piece that the pattern matches whole, so pieces and words share the memory."""
+        words = self._words(piece) if self.apart else [piece]
+        return len(self.encode_word(piece)) if words == [piece] else sum(map(self.counts.__getitem__, words))
 
     def count(self, text: str) -> int:
         """The length of ``encode(text)``, without its ids."""
         if self.specials is None or not any(t in text for t in self.special):
-            return self._count(text)
-        return sum(1 if part in self.special else self._count(part) for part in self.specials.split(text))
+            return sum(map(self.counts.__getitem__, self._pieces(text)))
+        return sum(1 if part in self.special else sum(map(self.counts.__getitem__, self._pieces(part))) for part in self.specials.split(text))
 
     def decode(self, ids: list[int]) -> bytes:
         buffer, offset = self.buffer, self.offset
