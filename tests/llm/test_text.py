@@ -103,6 +103,20 @@ def test_bpe_memory_is_bounded(coder):
     assert small.count(text) == small.count(text) == len(coder.encode(text))
 
 
+def test_bpe_pieces_are_split_once(library, monkeypatch):
+    """Pieces that an encoder remembers cost no further matching, and a memory of a few pieces gives the same ids."""
+    text = "It's  the Größe,\n\tof 12 ünd<|endoftext|> it's the\x1cend\u2009of\u3000it. " + "x" * 200 + "!" * 80 + " and " + "y,z" * 50
+    ids = library.encode(text, add_special_tokens=False).ids
+    mine = bpe.WordBpe(bpe.vocabulary())
+    words = text.split("x" * 200)[0]
+    first = mine.encode(words)
+    monkeypatch.setattr(mine, "_words", None)
+    assert mine.encode(words) == first == ids[: len(first)]
+    small = bpe.WordBpe(bpe.vocabulary())
+    small.cache.half = 3
+    assert small.encode(text) == small.encode(text) == ids
+
+
 def test_bpe_documents(spark, coder):
     rows = spark.createDataFrame([(1, "the cat sat", "x"), (2, None, "y"), (2, "", "y")], "doc_id bigint, text string, ids string")
     got = bpe.encode_documents(rows, with_ids=True).collect()

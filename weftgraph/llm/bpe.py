@@ -21,6 +21,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.labelled import documents
 
-#: Words that an encoder remembers, and the longest that it does. Both bound memory, not results.
-CACHE, CACHED_CHARS = 600_000, 64
+#: Words and pieces whose ids an encoder remembers, and the longest that it does. Both bound memory, not results.
+CACHE, CACHED_CHARS = 800_000, 64
 #: Words and pieces whose number of tokens an encoder remembers, and pairs of tokens of which it does whether they fit.
 COUNTED, FITS = 1_200_000, 2_000_000
 #: The split pattern whose words hold no white space and don't depend on what stands beside it: text can be cut there.
@@ -133,7 +134,7 @@ class WordBpe:
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self._merges(vocab, pairs)
         self._offsets({**vocab, **self.special})
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = Remembered(self._encode_piece, CACHE)
         self.counts = Remembered(self._count_piece, COUNTED)
 
     def _inner(self, token: str) -> str:
@@ -241,29 +242,24 @@ class WordBpe:
         masked = _LATER.sub("\ue000", text)  # neither letter, number nor blank, as they are to the library
         return [text[m.start() : m.end()] for m in self.words.finditer(masked)]
 
+    def _encode_piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece. A word alone is a piece that the pattern matches whole, so pieces and words share the memory."""
+        words = self._words(piece) if self.apart else [piece]
+        return self.encode_word(piece) if words == [piece] else tuple(chain.from_iterable(map(self.cache.__getitem__, words)))
+
     def _segment(self, text: str) -> list[int]:
-        """Ids of normalised text without special tokens."""
-        known, ids = self.cache, []
-        for w in self._words(text):
-            got = known.get(w)
-            if got is None:
-                got = self.encode_word(w)
-                if len(w) <= CACHED_CHARS:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[w] = got
-            ids += got
-        return ids
+        """Ids of text without special tokens."""
+        return list(chain.from_iterable(map(self.cache.__getitem__, self._pieces(text))))
 
     def encode(self, text: str) -> list[int]:
         if self.specials is None or not any(t in text for t in self.special):
-            return self._segment(normal(text))
+            return self._segment(text)
         ids: list[int] = []
         for part in self.specials.split(text):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                ids += self._segment(normal(part))
+                ids += self._segment(part)
         return ids
 
     def _pieces(self, text: str) -> list[str]:
@@ -272,7 +268,7 @@ class WordBpe:
         return text.replace("\n", " ").split(" ") if self.apart else self._words(text)
 
     def _count_piece(self, piece: str) -> int:
-        """Tokens of a piece. A word alone is a piece that the pattern matches whole, so pieces and words share the memory."""
+        """Tokens of a piece, remembered as its ids would be."""
         words = self._words(piece) if self.apart else [piece]
         return len(self.encode_word(piece)) if words == [piece] else sum(map(self.counts.__getitem__, words))
 
@@ -320,13 +316,13 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and ``ids`` where asked for.
 
     Null texts count as empty and have no tokens. Repeated rows are encoded alike. An empty table gives no rows. Long
-    texts are encoded whole; a task holds one batch of texts and one document's ids. The vocabulary (under 2 MB, fixed)
-    is read on the driver and broadcast. Other columns are not read.
+    texts are encoded whole; a task holds one batch of texts and one document's ids, and a Python worker keeps its encoder
+    for the next task. The vocabulary (under 2 MB, fixed) is read on the driver and broadcast. Other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = WordBpe(held.value)
+        bpe = shared(held.value)
         digits = bpe.digits
         for frame in frames:
             counts, hashes, back, kept = [], [], [], []
