@@ -281,6 +281,42 @@ def test_toxicity_soft_marks(spark):
     assert model.score(long) < 0.3 and toxicity.windows("a" * 100) == ["a" * 48, "a" * 48, "a" * 48, "a" * 28]
 
 
+def test_toxicity_windows_are_scored_once(monkeypatch):
+    """A text is cut once for both models, known windows aren't compressed again, chunks and a small memory change no score."""
+    import pickle
+
+    import zstandard
+
+    toxic, clean = [prose(60, ["stupidhead", "wretchling"]) for _ in range(120)], [prose(60) for _ in range(240)]
+    model = toxicity.train(toxic, clean)
+    texts = [*toxic[:20], "", prose(400) + " é" + "x" * 200, *clean[:20], toxic[0]]
+    code, want, windows, cuts = toxicity.PairCode(), [], toxicity.windows, []
+    monkeypatch.setattr(toxicity, "windows", lambda t: cuts.append(t) or windows(t))
+    scores = [model.score(t) for t in texts]
+    assert len(model.members) == 2 and cuts == texts
+    for t in texts:  # window by window, without any memory
+        each = []
+        for m in model.members:
+            by = [zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (m.ordinary, m.toxic)]
+            bins = [0] * toxicity.BINS
+            for w in windows(t):
+                plain, marked = (len(c.compress(code(w))) for c in by)
+                bins[min(toxicity.BINS - 1, max(0, plain - marked) // toxicity.BIN)] += 1
+            each.append(bins)
+        want.append(each)
+    assert model.bins(texts) == want and any(sum(b[1:]) for each in want for b in each)
+    with monkeypatch.context() as known:
+        known.setattr(toxicity.CompressionModel, "margins", None)
+        assert model.scores(texts) == scores
+    packed = pickle.dumps(model)
+    monkeypatch.setattr(toxicity, "CACHE", 20)
+    monkeypatch.setattr(toxicity, "CHUNK", 30)
+    small = toxicity.shared(packed)
+    assert small is toxicity.shared(packed) and small.bins(texts) == small.bins(texts[::-1])[::-1] == want and small.scores(texts) == scores
+    assert len(small._known) + len(small._older) <= 20 + 4 * 30
+    assert toxicity.NOTHING.scores(["a", ""]) == pickle.loads(pickle.dumps(toxicity.NOTHING)).scores(["a", ""]) == [0.0, 0.0]
+
+
 def test_held_out_rows(spark):
     """held_out and predicted are what the contract says, ids that are null or no numbers included."""
     import zlib

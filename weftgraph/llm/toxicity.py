@@ -23,8 +23,10 @@ import pickle
 import random
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -45,36 +47,32 @@ GRAMS, CONTEXTS, RATIO = (5, 6, 7), 4, 20
 BIN, BINS = 2, 21
 #: Words above this many characters are windows of this width that overlap by half.
 WIDTH = 48
-#: Margins that a scoring task remembers.
-CACHE = 1_000_000
+#: Windows whose margins a Python worker remembers (and two chunks' above that), those used lately when more turn up, and
+#: windows that make a chunk: texts are scored together up to it, longer texts piece by piece.
+CACHE, CHUNK = 600_000, 100_000
 THRESHOLD = 0.3
 
 
 def windows(text: str) -> list[str]:
     """Windows of a text in their order, in lower case."""
     ws = text.lower().split()
-    if all(len(w) <= WIDTH for w in ws):
+    if max(map(len, ws), default=0) <= WIDTH:
         return ws
     return [p for w in ws for p in ([w] if len(w) <= WIDTH else [w[i : i + WIDTH] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2)])]
 
 
-class PairCode:
+class PairCode(dict):
     """The window's character pairs, each as four bytes of its hash."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, bytes] = {}
+    def __missing__(self, pair: str) -> bytes:
+        if len(self) > 1 << 18:
+            self.clear()
+        code = self[pair] = blake2b(pair.encode("utf-8", "surrogatepass"), digest_size=4).digest()
+        return code
 
     def __call__(self, window: str) -> bytes:
-        w, known, out = f" {window} ", self.known, []
-        for i in range(len(w) - 1):
-            pair = w[i : i + 2]
-            code = known.get(pair)
-            if code is None:
-                if len(known) > 1 << 18:
-                    known.clear()
-                code = known[pair] = blake2b(pair.encode("utf-8", "surrogatepass"), digest_size=4).digest()
-            out.append(code)
-        return b"".join(out)
+        w = f" {window} "
+        return b"".join(map(self.__getitem__, map(add, w, w[1:])))
 
 
 def _grams(window: str, n: int) -> set[str]:
@@ -156,44 +154,31 @@ class CompressionModel:
         self.__init__(*state)
 
     def _start(self) -> None:
-        def lengths(dictionary: bytes) -> Callable[[bytes], bytes]:
+        def lengths(dictionary: bytes) -> Callable[[list[bytes]], np.ndarray]:
             held = zstandard.ZstdCompressionDict(dictionary)
             held.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+            by = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+            return lambda coded: np.fromiter(map(len, by.multi_compress_to_buffer(coded, threads=1)), np.int64, len(coded))
 
-        self._code, self._by_toxic, self._by_ordinary, self._bins, self._ready = PairCode(), lengths(self.toxic), lengths(self.ordinary), {}, True
+        self._by_toxic, self._by_ordinary, self._ready = lengths(self.toxic), lengths(self.ordinary), True
 
-    def margin(self, window: str) -> int:
-        """Bytes that the toxic dictionary saves over the ordinary one."""
+    def margins(self, coded: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves over the ordinary one, for windows written as pairs. All go through one
+        dictionary before the other: taken in turns they'd push each other out of the processor's cache."""
         if not self._ready:
             self._start()
-        coded = self._code(window)
-        return len(self._by_ordinary(coded)) - len(self._by_toxic(coded))
+        return self._by_ordinary(coded) - self._by_toxic(coded)
 
-    def bins(self, text: str) -> list[int]:
-        """Windows of a text in each bin of margins."""
-        if not self._ready:
-            self._start()
-        known, out = self._bins, [0] * BINS
-        for w in windows(text):
-            b = known.get(w)
-            if b is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                b = known[w] = min(BINS - 1, max(0, self.margin(w)) // BIN)
-            out[b] += 1
-        return out
+    def bins(self, coded: list[bytes]) -> np.ndarray:
+        return np.minimum(BINS - 1, np.maximum(0, self.margins(coded)) // BIN)
 
     def raw(self, bins: list[int]) -> float:
         return math.fsum(n * o for n, o in zip(bins, self.odds, strict=True) if n)
 
-    def score(self, text: str) -> float:
-        """Probability by linear interpolation over the calibration points; the least of them for a text without windows."""
+    def probability(self, bins: list[int]) -> float:
+        """Linear interpolation over the calibration points; the least of them for a text without windows."""
         at, p = zip(*self.calibration, strict=True)
-        if len(at) == 1:
-            return p[0]
-        bins = self.bins(text)
-        return float(np.interp(self.raw(bins), at, p)) if any(bins) else p[0]
+        return float(np.interp(self.raw(bins), at, p)) if len(at) > 1 and any(bins) else p[0]
 
 
 def _isotonic(raws: list[float], ys: list[int]) -> list[tuple[float, float]]:
@@ -220,23 +205,79 @@ def _isotonic(raws: list[float], ys: list[int]) -> list[tuple[float, float]]:
 
 
 class Committee:
-    """Models whose scores are averaged."""
+    """Models whose scores are averaged. Texts are cut into windows once, and what all models make of one is remembered."""
 
     def __init__(self, members: list[CompressionModel]):
         self.members = members
+        self._code, self._known, self._older = PairCode(), {}, {}
+
+    def __reduce__(self) -> tuple:
+        return Committee, (self.members,)  # without what it remembers
+
+    def _kinds(self, distinct: set[str]) -> dict[str, int]:
+        """Windows' bins in all models as one number, the first model's its lowest digit; these windows are among the keys."""
+        if len(self._known) >= CACHE // 2:
+            self._known, self._older = {}, self._known
+        known, older, new = self._known, self._older, []
+        for w in distinct.difference(known):
+            kind = older.get(w)
+            if kind is None:
+                new.append(w)
+            else:
+                known[w] = kind
+        if new:
+            new.sort()  # alike ones meet the same places of a dictionary
+            coded = [self._code(w) for w in new]
+            known.update(zip(new, sum(m.bins(coded) * BINS**i for i, m in enumerate(self.members)).tolist(), strict=True))
+        return known
+
+    def _count(self, chunk: list[tuple[list[list[int]], list[str]]]) -> None:
+        kinds = self._kinds(set().union(*(ws for _, ws in chunk)))
+        for row, ws in chunk:
+            for kind, n in Counter(map(kinds.__getitem__, ws)).items():
+                for bins in row:
+                    kind, b = divmod(kind, BINS)
+                    bins[b] += n
+
+    def bins(self, texts: Iterable[str]) -> list[list[list[int]]]:
+        """For each text and each model, the windows in each bin of margins."""
+        rows, chunk, n = [], [], 0
+        for text in texts:
+            rows.append([[0] * BINS for _ in self.members])
+            ws = windows(text)
+            for i in range(0, len(ws), CHUNK):
+                chunk.append((rows[-1], ws[i : i + CHUNK]))
+                n += len(chunk[-1][1])
+                if n >= CHUNK:
+                    self._count(chunk)
+                    chunk, n = [], 0
+        self._count(chunk)
+        return rows
+
+    def scores(self, texts: Iterable[str]) -> list[float]:
+        if not self.members:
+            return [0.0 for _ in texts]
+        return [math.fsum(m.probability(b) for m, b in zip(self.members, bins, strict=True)) / len(self.members) for bins in self.bins(texts)]
 
     def score(self, text: str) -> float:
-        return math.fsum(m.score(text) for m in self.members) / max(1, len(self.members))
+        return self.scores([text])[0]
 
 
 #: Scores every text 0.
 NOTHING = Committee([])
 
 
+@lru_cache(maxsize=1)
+def shared(packed: bytes) -> Committee:
+    """One committee for all tasks of a Python worker, with what it remembers."""
+    return pickle.loads(packed)
+
+
 def _calibrated(trained: tuple[bytes, bytes], toxic: list[str], ordinary: list[str]) -> CompressionModel:
     """Odds of margins and calibration from texts that the dictionaries weren't trained on."""
     model = CompressionModel(*trained, [0.0] * BINS, [(0.0, 0.0)])
-    rows = [(model.bins(t), y) for y, texts in ((0, ordinary), (1, toxic)) for t in texts]
+    alone = Committee([model])
+    rows = [(bins, y) for y, texts in ((0, ordinary), (1, toxic)) for (bins,) in alone.bins(texts)]
     counts = [np.sum([b for b, y in rows if y == label] or [[0] * BINS], axis=0) + 1.0 for label in (0, 1)]
     model.odds = (np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())).tolist()
     model.calibration = _isotonic([model.raw(b) for b, _ in rows], [y for _, y in rows])
@@ -256,14 +297,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def scorer(docs: DataFrame, model: Committee):
-    """The model as an Arrow-batched column function; each task unpacks it once."""
+    """The model as an Arrow-batched column function; each Python worker unpacks it once."""
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = pickle.loads(held.value)
+        own = shared(held.value)
         for texts in batches:
-            yield pd.Series([own.score(t) for t in texts.fillna("")], dtype=float)
+            yield pd.Series(own.scores(texts.fillna("")), dtype=float)
 
     return scored
 
