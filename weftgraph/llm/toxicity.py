@@ -24,7 +24,6 @@ import random
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from hashlib import blake2b
 from operator import add
 
@@ -47,7 +46,7 @@ GRAMS, CONTEXTS, RATIO = (5, 6, 7), 4, 20
 BIN, BINS = 2, 21
 #: Words above this many characters are windows of this width that overlap by half.
 WIDTH = 48
-#: Windows whose margins a Python worker remembers (and two chunks' above that), those used lately when more turn up, and
+#: Windows whose margins a scoring task remembers (and two chunks' above that), those used lately when more turn up, and
 #: windows that make a chunk: texts are scored together up to it, longer texts piece by piece.
 CACHE, CHUNK = 600_000, 100_000
 THRESHOLD = 0.3
@@ -267,12 +266,6 @@ class Committee:
 NOTHING = Committee([])
 
 
-@lru_cache(maxsize=1)
-def shared(packed: bytes) -> Committee:
-    """One committee for all tasks of a Python worker, with what it remembers."""
-    return pickle.loads(packed)
-
-
 def _calibrated(trained: tuple[bytes, bytes], toxic: list[str], ordinary: list[str]) -> CompressionModel:
     """Odds of margins and calibration from texts that the dictionaries weren't trained on."""
     model = CompressionModel(*trained, [0.0] * BINS, [(0.0, 0.0)])
@@ -297,12 +290,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def scorer(docs: DataFrame, model: Committee):
-    """The model as an Arrow-batched column function; each Python worker unpacks it once."""
+    """The model as an Arrow-batched column function; each task unpacks it once, and its memory goes with the task."""
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared(held.value)
+        own = pickle.loads(held.value)
         for texts in batches:
             yield pd.Series(own.scores(texts.fillna("")), dtype=float)
 
