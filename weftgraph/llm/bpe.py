@@ -19,16 +19,17 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.labelled import documents
+from weftgraph.llm.workers import left, strings, task
 
 #: Words and pieces whose ids an encoder remembers, and the longest that it does. Both bound memory, not results.
 CACHE, CACHED_CHARS = 600_000, 64
@@ -293,23 +294,21 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-@lru_cache(maxsize=1)
 def shared(source: str) -> WordBpe:
-    """One encoder for all tasks of a Python worker, with what it remembers."""
-    return WordBpe(source)
+    """One encoder for tasks that encode one after another in a Python worker, with what it remembers."""
+    return left("bpe", source, lambda: WordBpe(source))
 
 
 def token_counter(docs: DataFrame, path: str | None = None):
-    """Tokens of a text as an Arrow-batched column function; nulls count as empty. Each worker builds the encoder once."""
+    """Tokens of a text as an Arrow-batched column function; nulls count as empty. A worker keeps the encoder for the next such task."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
-    @F.pandas_udf("long")
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = shared(held.value)
         for texts in batches:
-            yield pd.Series([bpe.count(t) for t in texts.fillna("")], dtype="int64")
+            yield pa.array([bpe.count(t) for t in strings(texts)], pa.int64())
 
-    return counted
+    return F.arrow_udf(task(counted, "bpe"), "long")
 
 
 def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -317,7 +316,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Null texts count as empty and have no tokens. Repeated rows are encoded alike. An empty table gives no rows. Long
     texts are encoded whole; a task holds one batch of texts and one document's ids, and a Python worker keeps its encoder
-    for the next task. The vocabulary (under 2 MB, fixed) is read on the driver and broadcast. Other columns are not read.
+    for the next such task. The vocabulary (under 2 MB, fixed) is read on the driver and broadcast. Other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
@@ -340,4 +339,4 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     rows = documents(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(encoded, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInPandas(task(encoded, "bpe"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

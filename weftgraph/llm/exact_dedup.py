@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftgraph.llm.skew import look_up, text_tag, without
+from weftgraph.llm.workers import task
 from weftgraph.session import Scratch, cut
 
 #: The characters that normalisation deletes: space and the controls 9 to 13.
@@ -93,9 +94,10 @@ def flush_runs(memtable_bytes: int):
                 yield from table.flush()
         yield from table.flush()
 
-    return flush
+    return task(flush)
 
 
+@task
 def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge entries that arrive in the order of their keys; one entry is held at a time."""
     out: list[tuple] = []
@@ -193,9 +195,10 @@ def _gathered(memtable_bytes: int):
         for i in range(0, len(rows), 256):
             yield _batch(rows[i : i + 256], BODY)
 
-    return gathered
+    return task(gathered)
 
 
+@task
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of bodies that were held against another one; they arrive in the order of their keys."""
     last = known = None

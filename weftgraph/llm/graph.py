@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.skew import look_up
+from weftgraph.llm.workers import task
 from weftgraph.session import Scratch
 
 
+@task
 def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stars (node, root) of a partition's links, root the smallest node; held in memory, at most two rows a link."""
     parent: dict[int, int] = {}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType
 
 #: Rows whose crc32(doc_id as text) leaves HELD_OUT modulo FOLDS are never learnt from.
 FOLDS, HELD_OUT = 4, 2
@@ -29,19 +32,23 @@ def _picked(ids: DataFrame, most: int, rows: int) -> list[int]:
     return [r[0] for r in near.orderBy("h", "doc_id").limit(most).collect()]
 
 
+def _local(spark: SparkSession, **columns: tuple[list, DataType]) -> DataFrame:
+    """Bounded lists as a table that the driver holds; from rows Spark would make one in Python workers of their own."""
+    return spark.createDataFrame(pa.table({name: pa.array(values, to_arrow_type(kind)) for name, (values, kind) in columns.items()}))
+
+
 def _texts(docs: DataFrame, ids: list[int]) -> list[str]:
     """Distinct texts of these ids (a bounded list, so it is broadcast), in the order of the ids."""
     if not ids:
         return []
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = docs.sparkSession.createDataFrame([(i, n) for n, i in enumerate(ids)], f"doc_id {kind}, place__ long")
+    wanted = _local(docs.sparkSession, doc_id=(ids, docs.schema["doc_id"].dataType), place__=(list(range(len(ids))), LongType()))
     near = docs.join(F.broadcast(wanted), "doc_id").select("place__", "doc_id", "text")
     left, fits = SAMPLE_BYTES, []
     for place, size in sorted((r[0], r[1]) for r in near.groupBy("place__").agg(F.sum(F.octet_length("text"))).collect()):
         if size <= left:
             left -= size
-            fits.append((place,))
-    fitting = docs.sparkSession.createDataFrame(fits, "place__ long")
+            fits.append(place)
+    fitting = _local(docs.sparkSession, place__=(fits, LongType()))
     found = near.join(F.broadcast(fitting), "place__").select("place__", "text").collect()
     return list(dict.fromkeys(t for _, t in sorted((r[0], r[1]) for r in found)))
 
@@ -66,8 +73,7 @@ def unlabelled(docs: DataFrame, labels: DataFrame, most: int, doc_id: str = "doc
     tried = _picked(ids, 4 * most, rows.count())
     if not tried:
         return []
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    near = docs.sparkSession.createDataFrame([(i,) for i in tried], f"doc_id {kind}")
+    near = _local(docs.sparkSession, doc_id=(tried, rows.schema["doc_id"].dataType))
     known = {r[0] for r in labels.select(F.col(doc_id).alias("doc_id")).join(F.broadcast(near), "doc_id", "left_semi").distinct().collect()}
     return _texts(rows, [i for i in dict.fromkeys(tried) if i not in known][:most])
 

@@ -35,6 +35,7 @@ from pyspark.sql.window import Window
 from weftgraph.llm.graph import components
 from weftgraph.llm.labelled import documents
 from weftgraph.llm.skew import HEAVY, look_up, text_tag, without
+from weftgraph.llm.workers import strings, task
 from weftgraph.session import Scratch, cut
 
 #: Words in a shingle, and the similarity of a link in hundredths.
@@ -164,7 +165,7 @@ def _signed(words: int):
         shingler = Shingler(words)
         for batch in batches:
             counts, digests, signatures = [], [], []
-            for t in batch.column("text").to_pylist():
+            for t in strings(batch.column("text")):
                 s = shingler(t)
                 counts.append(len(s))
                 digests.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -172,7 +173,7 @@ def _signed(words: int):
             made = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
             yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), *made], names=["doc_id", "tag", "n_shingles", "digest", "sig"])
 
-    return signed
+    return task(signed)
 
 
 def _sets(words: int):
@@ -192,9 +193,10 @@ def _sets(words: int):
             part = batch.take(pa.array(take, pa.int64()))
             yield pa.record_batch([part.column("cid"), part.column("sig"), pa.array(out, pa.binary())], names=["cid", "sig", "shingles"])
 
-    return sets
+    return task(sets)
 
 
+@task
 def _prune(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     bounds = batch_bounds()
     for frame in frames:
@@ -208,7 +210,7 @@ def _verify(percent: int):
             good = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(frame["set_a"], frame["set_b"], strict=True)]
             yield frame.loc[np.array(good, dtype=bool), ["a", "b"]]
 
-    return verify
+    return task(verify)
 
 
 def _across(percent: int):
@@ -269,7 +271,7 @@ def _across(percent: int):
         if out:
             yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
 
-    return across
+    return task(across)
 
 
 def _sides(pairs: DataFrame, info: DataFrame, column: str, name: str) -> DataFrame:

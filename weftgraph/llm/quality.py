@@ -20,10 +20,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.labelled import documents, held_out, hidden, samples, unlabelled
+from weftgraph.llm.workers import strings, task
 
 #: Most training texts of each sample.
 POSITIVES, UNLABELLED = 6_000, 9_000
@@ -175,13 +176,12 @@ def scorer(docs: DataFrame, model: QualityModel):
     """The model as an Arrow-batched column function; each task unpacks it once."""
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = pickle.loads(held.value)
         for texts in batches:
-            yield pd.Series(own.scores(np.array([features(t) for t in texts.fillna("")])) if len(texts) else [], dtype=float)
+            yield pa.array(own.scores(np.array([features(t) for t in strings(texts)])) if len(texts) else [], pa.float64())
 
-    return scored
+    return F.arrow_udf(task(scored), "double")
 
 
 def keep(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

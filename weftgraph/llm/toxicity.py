@@ -28,11 +28,12 @@ from hashlib import blake2b
 from operator import add
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.labelled import documents, held_out, samples
+from weftgraph.llm.workers import strings, task
 
 #: Most training texts of each class, and most windows that a dictionary is trained on (a random sample beyond that).
 SAMPLE, TRAIN_WINDOWS = {1: 4_000, 0: 8_000}, 100_000
@@ -293,13 +294,12 @@ def scorer(docs: DataFrame, model: Committee):
     """The model as an Arrow-batched column function; each task unpacks it once, and its memory goes with the task."""
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = pickle.loads(held.value)
         for texts in batches:
-            yield pd.Series(own.scores(texts.fillna("")), dtype=float)
+            yield pa.array(own.scores(strings(texts)), pa.float64())
 
-    return scored
+    return F.arrow_udf(task(scored), "double")
 
 
 def keep(docs: DataFrame, model: Committee, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
