@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import bpe, chat, embedding_dedup, exact_dedup, html_text, near_dedup, packing, quality, sharding, toxicity
+from weftgraph.llm import bpe, chat, embedding_dedup, exact_dedup, html_text, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
 from weftgraph.session import table
 
 
@@ -51,6 +51,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_sharding": op10_sharding,
+        "op11_suffix_dedup": op11_suffix_dedup,
     }
 
 
