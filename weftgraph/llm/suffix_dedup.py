@@ -37,7 +37,7 @@ LENGTH, GRAM, CHARACTER, SHALLOW = 50, 16, 8, 3
 #: Strings of one stretch at most.
 STRINGS = 64
 #: Bytes of text of a bucket of anchors, and of text or stretches that a task holds before it deals them out.
-BUCKET_BYTES, HELD_BYTES = 16 << 20, 16 << 20
+BUCKET_BYTES, HELD_BYTES = 4 << 20, 16 << 20
 #: Order of a null doc_id: after all others.
 LAST = 2**63 - 1
 #: Bytes of a hash that step 1 moves.
@@ -102,6 +102,8 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _buckets(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Anchors are small hashes, so they are mixed again."""
+    x = (x ^ (x >> np.uint64(31))) * _MULTIPLIER
     return (((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
