@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import bpe, chat, embedding_dedup, exact_dedup, html_text, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from weftgraph.llm import bpe, chat, embedding_dedup, exact_dedup, html_text, lexical_search, near_dedup, packing, quality, sharding, suffix_dedup, toxicity, vector_codes
 from weftgraph.session import table
 
 
@@ -55,6 +55,14 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -68,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": op9_chat_format,
         "op10_sharding": op10_sharding,
         "op11_suffix_dedup": op11_suffix_dedup,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -75,4 +85,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_chat_format": chat.ORACLE_SQL,
+        "op12_lexical_search": lexical_search.ORACLE_SQL,
+        "op13_vector_codes": vector_codes.ORACLE_SQL,
     }
