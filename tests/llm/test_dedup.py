@@ -69,12 +69,25 @@ def test_exact_keep_loses_no_text(spark):
     assert kept([(5, "a b"), (5, "b"), (5, "ab"), (5, " b"), (5, "a b")]) == [(5, " b"), (5, "a b")]
 
 
+@pytest.mark.parametrize("keep", [exact_dedup.keep, near_dedup.keep])
+def test_keep_reserves_no_column(spark, keep):
+    names = ["row_tag", "ITS_ID", "its_tag", "found", "row_tag__", "id__", "tag__", "found__", "stays", "copied"]
+    body = "one two three four five six seven eight"
+    rows = [(i, t, *[f"{n} {i}" for n in names]) for i, t in [(1, body), (2, body), (3, "other " + body[4:]), (None, "own words here"), (5, body), (5, body)]]
+    out = keep(spark.createDataFrame(rows, ", ".join(["doc_id bigint", "text string", *[f"{n} string" for n in names]])))
+    assert out.columns == ["doc_id", "text", *names]
+    got = {tuple(r) for r in out.collect()}
+    assert got <= set(rows) and (None, "own words here") in {r[:2] for r in got} and len([r for r in got if r[1] == body]) == 1
+
+
 def test_key_filter(spark):
     rows = [(i, f"text {i}") for i in range(4000)]
     held = exact_dedup.digested(docs(spark, rows[:1000]))
     built = exact_dedup.key_filter(held, 1000)
     passed = {r["doc_id"] for r in exact_dedup.passing(exact_dedup.digested(docs(spark, rows)), built).collect()}
     assert set(range(1000)) <= passed and len(passed) < 1300 and built[0].count() <= built[1] == 250
+    may, surely = exact_dedup.parted(exact_dedup.digested(docs(spark, rows)), built)
+    assert {r["doc_id"] for r in may.collect()} == passed and {r["doc_id"] for r in surely.collect()} == set(range(4000)) - passed
     full = exact_dedup.key_filter(held, 4)  # one word for all: lets too much through, loses nothing
     assert exact_dedup.passing(held, full).count() == 1000
 

@@ -169,6 +169,14 @@ def passing(rows: DataFrame, held: tuple[DataFrame, int]) -> DataFrame:
     return probed.where(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select(*rows.columns)
 
 
+def parted(rows: DataFrame, held: tuple[DataFrame, int]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key the filter may hold, and those whose key it surely does not."""
+    bits, words = held
+    probed = rows.withColumn("word", _word(F.col("key"), words)).join(F.broadcast(bits), "word", "left")
+    may = F.coalesce(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")), F.lit(False))
+    return probed.where(may).select(*rows.columns), probed.where(~may).select(*rows.columns)
+
+
 def _same(key: bytes, one: bytes, other: bytes) -> None:
     if one != other:
         raise ValueError(f"different texts under one digest: {key.hex()}")

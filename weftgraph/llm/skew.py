@@ -30,20 +30,32 @@ def text_tag(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` has none of, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that ``decided`` (doc_id, tag, stays) drops, by doc_id and ``text_tag``.
 
     So a row that stays isn't lost with another one of its doc_id, and null ids drop like others. Of rows that repeat
     the doc_id and text of a row in a group of copies (``copied``), one stays. Only the dropped keys are joined: the
-    text moves at most once, and not at all where they are few.
+    text moves at most once, and not at all where they are few. No column name of ``docs`` is reserved.
     """
-    same = lambda keys: keys.select(F.col("doc_id").alias("id__"), F.col("tag").alias("tag__"), F.lit(True).alias("found__"))
-    key = F.col(doc_id).cast("long").eqNullSafe(F.col("id__")) & (F.col("row_tag__") == F.col("tag__"))
-    tagged = docs.withColumn("row_tag__", text_tag(F.col(text)))
+    row_tag, its_id, its_tag, found = unused(docs, "row_tag", "its_id", "its_tag", "found")
+    same = lambda keys: keys.select(F.col("doc_id").alias(its_id), F.col("tag").alias(its_tag), F.lit(True).alias(found))
+    key = F.col(doc_id).cast("long").eqNullSafe(F.col(its_id)) & (F.col(row_tag) == F.col(its_tag))
+    tagged = docs.withColumn(row_tag, text_tag(F.col(text)))
     rest = tagged.join(same(decided.where("not stays").distinct()), key, "left_anti")
     repeated = decided.where("stays and copied").groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
         repeats = same(repeated)
-        single = rest.join(repeats, key, "left_semi").dropDuplicates([doc_id, "row_tag__"])
+        single = rest.join(repeats, key, "left_semi").dropDuplicates([doc_id, row_tag])
         rest = rest.join(repeats, key, "left_anti").unionByName(single)
     return rest.select(*docs.columns)

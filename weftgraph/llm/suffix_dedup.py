@@ -14,8 +14,9 @@ anchor make a stretch.
    no smaller doc_id takes there go on, dealt out by their own bytes, and are settled again: the owner wins each time.
 4. Removed spans meet their texts again and are cut out.
 
-Equal texts need no suffixes: all but the one with the smallest doc_id go whole. All comparisons end at bytes, but for
-SHA-256 of whole texts. Cut hashes in step 1 only open more anchors.
+Equal texts need no suffixes: all but the one with the smallest doc_id go whole, found by SHA-256, and take no part in the
+steps above. Rows that a blocked Bloom filter of such copies may hold are shuffled to find out; a filter that is too
+small for them sends more rows there, and changes nothing else. Cut hashes in step 1 only open more anchors.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftgraph.llm.exact_dedup import key_filter, passing
+from weftgraph.llm.exact_dedup import key_filter, parted, passing
 from weftgraph.llm.skew import HEAVY, look_up
 from weftgraph.llm.workers import task
 from weftgraph.session import Scratch, cut
@@ -489,12 +490,15 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("at", "row", F.xxhash64("at", "row").bitwiseAND(F.lit((1 << 8 * CUT) - 1)).alias("text_key"), "body")
 
 
-def removed_spans(docs: DataFrame, scratch: Scratch, total: int, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, heavy: int = HEAVY) -> DataFrame:
-    """(at, row, first, end): byte spans that go from texts; of equal texts, those of the smallest doc_id only count."""
+def removed_spans(docs: DataFrame, copies: DataFrame, scratch: Scratch, total: int, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, heavy: int = HEAVY) -> DataFrame:
+    """(at, row, first, end): byte spans that go from texts, those of ``copies`` (at, row) left aside."""
     texts = _texts(docs, doc_id, text)
     buckets = max(1, total // bucket_bytes)
     dealt = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
-    anchors = texts.select("text_key", "row", "body").mapInArrow(anchors_of(buckets), ANCHORS_DDL)
+    gone = copies.select(F.xxhash64("at", "row").alias("key")).distinct()
+    maybe, surely = parted(texts.withColumn("key", F.xxhash64("at", "row")), key_filter(gone, gone.count()))
+    own = surely.unionByName(maybe.join(copies, ["at", "row"], "left_anti").select(*surely.columns)).select("text_key", "row", "body")
+    anchors = own.mapInArrow(anchors_of(buckets), ANCHORS_DDL)
     found = scratch.table(dealt(anchors).mapInArrow(open_anchors, OPEN_DDL))
     bound = max(2, found.count() // heavy)
     hot = [r["anchor"] for r in found.groupBy("anchor").count().where(F.col("count") > bound).collect()]  # under ``heavy``, by counting
@@ -511,13 +515,14 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     table gives no rows, other columns are not read, and texts of any length are read whole.
     """
     with Scratch(docs.sparkSession) as scratch:
-        all_rows = docs.withColumn("body", F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).select(
-            F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("at"), F.xxhash64("body").alias("row"), F.unhex(F.sha2("body", 256)).alias("sha"), F.length("body").cast("long").alias("n_bytes")
-        )
+        all_rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("body"))
+        all_rows = all_rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("at"), F.xxhash64("body").alias("row"), F.unhex(F.sha2("body", 256)).alias("sha"), F.length("body").cast("long").alias("n_bytes"))
         rows = scratch.table(all_rows)
         total, n = rows.agg(F.sum("n_bytes"), F.count("*")).first()
         index = scratch.table(rows.groupBy("sha").agg(F.min("at").alias("smallest"), F.count("*").alias("size")))
-        spans = scratch.table(removed_spans(docs, scratch, total or 0, doc_id, text, bucket_bytes, heavy))
+        known = scratch.table(look_up(rows, index.where("size > 1"), "sha", "size", n))
+        copies = known.where("at > smallest").select("at", "row").distinct()
+        spans = scratch.table(removed_spans(docs, copies, scratch, total or 0, doc_id, text, bucket_bytes, heavy))
         per_text = spans.groupBy("at", "row").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
         per_text = per_text.select("at", "row", F.col("spans.first").alias("firsts"), F.col("spans.end").alias("ends"))
         key = F.xxhash64("at", "row")
@@ -525,7 +530,6 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
         held = spans.select(key.alias("key")).distinct()
         with_spans = passing(texts.withColumn("key", key), key_filter(held, held.count())).select("at", "row", "body")
         cuts = with_spans.join(per_text, ["at", "row"]).mapInArrow(cut_out, CUTS_DDL).dropDuplicates(["at", "row"])
-        known = look_up(rows, index.where("size > 1"), "sha", "size", n)
         copy = F.coalesce(F.col("at") > F.col("smallest"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
         out = known.join(cuts, ["at", "row"], "left")
         pick = lambda whole, part, none: F.when(copy, whole).otherwise(F.coalesce(part, none))
