@@ -169,7 +169,12 @@ def test_sites_and_bounds(spark):
 
 
 def test_flow_resolutions(spark):
-    sites = calls(spark, [(1, None, OPEN)])
-    flow = table(spark, [(2, "call", 1, 7), (2, "call", 5, 8), (2, "tail-call", 1, 9)], "callsite bigint, jump_kind string, source bigint, target bigint")
-    row = evidence.cfg_resolutions(sites, flow).first()
-    assert row["targets"] == [7, 8] and row["ambiguous_source"]
+    """Ownership is counted over the raw sources of a callsite, before any kind is looked at."""
+    sites = calls(spark, [(1, None, OPEN)]).select("graph_id", "kind").limit(1)
+    sites = sites.crossJoin(spark.createDataFrame([(10, 100), (20, 100), (30, 300), (40, 400), (50, 500), (60, 500), (70, 700)], "source bigint, callsite bigint"))
+    flow = table(spark, [(100, "Ijk_Call", 500), (300, "Ijk_Call", 7), (300, "Ijk_Boring", 8), (300, "Ijk_Call", None), (700, "Ijk_Ret", 1)], "callsite bigint, jump_kind string, target bigint")
+    jumps = table(spark, [(300, "Ijk_Call", [9, 7, None]), (400, "Ijk_Call", [5]), (400, "Ijk_Boring", [6]), (500, "Ijk_Ret", []), (700, "Ijk_Call", None)], "callsite bigint, jump_kind string, targets array<bigint>")
+    got = {r["source"]: (r["targets"], r["ambiguous_source"]) for r in evidence.cfg_resolutions(sites, flow, jumps).collect()}
+    assert got == {10: ([], True), 20: ([], True), 30: ([7, 9], False), 40: ([5], False), 50: ([], True), 60: ([], True), 70: ([], False)}
+    bare = {r["source"]: (r["targets"], r["ambiguous_source"]) for r in evidence.cfg_resolutions(sites, flow).collect()}
+    assert bare[10] == ([], True) and bare[50] == ([], False) and bare[30] == ([7], False)

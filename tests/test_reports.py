@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators import assembly, audit, casebook, checks, evidence, projection, refine, reports
 from weftgraph.operators.numbering import numbered
 from weftgraph.schemas import ABSTAIN_REASON, ABSTENTIONS, TRANSFERS
+from weftgraph.session import StepLog
 from weftgraph.sources import binaries, documents, layout, manifests, sinks
 
 BUILD = {"build_id": "b1", "source_sha256": "1" * 64, "non_stripped_sha256": "2" * 64, "stripped_sha256": "3" * 64}
@@ -210,8 +211,13 @@ def test_extraction(spark):
     ], "graph_id string, source bigint, callsite bigint, length bigint, mnemonic string, text string, operand string, is_call boolean, is_jump boolean, imm_target bigint, slot bigint, pointer bigint, is_end boolean, whole boolean")
     slots = spark.createDataFrame([("g", 7, 48)], "graph_id string, slot bigint, target bigint")
     candidates = bounds.where("address > 16").select("graph_id", "address")
-    flow = spark.createDataFrame([("g", 32, "call", 32, 48)], "graph_id string, callsite bigint, jump_kind string, source bigint, target bigint")
-    got = assembly.extract(ops, found, bounds, candidates, slots, projection.policy("angr"), flow=flow)
+    flow = spark.createDataFrame([("g", 32, "Ijk_Call", 48)], "graph_id string, callsite bigint, jump_kind string, target bigint")
+    log = StepLog()
+    got = assembly.extract(ops, found, bounds, candidates, slots, projection.policy("angr"), flow=flow, log=log)
+    assert [s[1:3] for s in log.steps] == [("functions", 3), ("roots", 1), ("transfers", 3), ("inference", 3)]
+    jumps = spark.createDataFrame([("g", 32, "Ijk_Call", [48])], "graph_id string, callsite bigint, jump_kind string, targets array<bigint>")
+    by_table = assembly.extract(ops, found, bounds, candidates, slots, projection.policy("angr"), flow=flow.limit(0), jumps=jumps)
+    assert by_table["edges"].exceptAll(got["edges"]).isEmpty() and by_table["edges"].count() == got["edges"].count()
     assert {(r["address"], r["name"], r["size"], r["boundary_source"], r["discovered"]) for r in got["functions"].collect()} == {(16, "main", 16, "symbol-oracle", True), (32, "f", 16, "symbol-oracle", True), (48, "symbol.bound.0x30", 16, "symbol-oracle", False)}
     assert {(r["callsite"], r["status"], r["target"], r["resolver"]) for r in got["transfers"].collect()} == {(16, "resolved", 32, "direct-immediate"), (20, "resolved", 48, "elf-relocation"), (32, "resolved", 48, "angr-cfg")}
     assert {(r["src"][-2:], r["dst"][-2:]) for r in got["edges"].collect()} == {("10", "20"), ("10", "30"), ("20", "30")}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftgraph.operators import checks, evidence, projection, roots
 from weftgraph.operators.projection import KEY
-from weftgraph.session import cut
+from weftgraph.session import StepLog
 
 # Names that stand for open targets, and names that say nothing.
 OPEN_TARGETS = ("UnresolvableCallTarget", "UnresolvableJumpTarget")
@@ -42,30 +42,32 @@ def code_target(jump: Column) -> Column:
 
 def extract(
     ops: DataFrame, discovered: DataFrame, bounds: DataFrame, candidates: DataFrame, relocations: DataFrame, rules: projection.Policy,
-    imports: DataFrame | None = None, explicit_root: DataFrame | None = None, flow: DataFrame | None = None, about: DataFrame | None = None, score_root: bool = False,
+    imports: DataFrame | None = None, explicit_root: DataFrame | None = None, flow: DataFrame | None = None, about: DataFrame | None = None, score_root: bool = False, jumps: DataFrame | None = None, log: StepLog | None = None,
 ) -> dict[str, DataFrame]:
     """The raw graph (functions, mismatches, roots, transfers) and its projection (nodes, edges, abstentions).
 
     ops: ``evidence.classify`` and ``roots.resolve_roots``; imports: (graph_id, address) of imported functions. With
-    ``flow`` (control-flow edges) open sites get inferred targets; about: ``target_metadata``.
-    Candidates without a function, repeated extents and graphs without a root are refused.
+    ``flow`` (control-flow edges), and ``jumps`` (indirect-jump tables), open sites get inferred targets; about:
+    ``target_metadata``.
+    ``log`` gets the rows and seconds of each step. Candidates without a function, repeated extents and graphs without a root are refused.
     """
+    log = log or StepLog()
     checks.assert_valid(checks.violations_boundaries(bounds))
-    functions = cut(raw_functions(discovered, bounds))
+    functions = log.cut("functions", raw_functions(discovered, bounds))
     missing = projection.unknown_candidates(functions, candidates)
     checks.assert_valid(missing.select("graph_id", F.lit("candidate is no function").alias("rule"), F.col("address").cast("string").alias("key")))
-    root = cut(roots.resolve_roots(functions, ops, explicit_root))
+    root = log.cut("roots", roots.resolve_roots(functions, ops, explicit_root))
     rootless = functions.select("graph_id").distinct().join(root, "graph_id", "left_anti")
     checks.assert_valid(rootless.select("graph_id", F.lit("no root").alias("rule"), F.lit(None).cast("string").alias("key")))
     imported = functions.withColumn("is_import", F.lit(False)) if imports is None else functions.join(imports.select(*KEY).distinct().withColumn("is_import", F.lit(True)), KEY, "left").fillna(False, ["is_import"])
     slots, conflicts = evidence.relocation_targets(relocations)
     checks.assert_valid(conflicts.select("graph_id", F.lit("slot has several targets").alias("rule"), F.col("slot").cast("string").alias("key")))
-    transfers = cut(evidence.default_indirect(evidence.dedup_callsites(evidence.classify(ops, imported, slots))))
+    transfers = log.cut("transfers", evidence.default_indirect(evidence.dedup_callsites(evidence.classify(ops, imported, slots))))
     if flow is not None:
         waiting = transfers.where("indirect_status = 'not_run'")
-        found = evidence.cfg_resolutions(waiting, flow)
+        found = evidence.cfg_resolutions(waiting, flow, jumps)
         found = with_metadata(found, about) if about is not None else found.withColumn("target_metadata", F.array().cast("array<struct<address:bigint,category:string,name:string>>"))
-        transfers = cut(evidence.merge_resolutions(transfers, found, functions))
+        transfers = log.cut("inference", evidence.merge_resolutions(transfers, found, functions))
     place = root.select("graph_id", "address")
     raw = {"functions": functions, "mismatches": evidence.boundary_mismatches(bounds, discovered.withColumn("discovered", F.lit(True))), "roots": root, "transfers": transfers}
     return raw | projection.project(functions, transfers, candidates, place, rules, score_root)

@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftgraph.schemas import ABSTAIN_REASON, ANCHOR_KINDS, BOUNDARY_MODES, INDIRECT, INFERRED, KINDS, OPERANDS, RESOLVERS, STAGES, STATUSES, TOP_KEYS
+from weftgraph.schemas import ABSTAIN_REASON, ANCHOR_KINDS, BOUNDARY_MODES, INDIRECT, INFERRED, KINDS, NESTED_KEYS, OPERANDS, RESOLVERS, STAGES, STATUSES, TOP_KEYS
+
+from weftgraph.session import cut
 
 
 def _broken(df: DataFrame, rule: str, test: Column, key: Column) -> DataFrame:
@@ -239,6 +241,50 @@ def violations_top_level(documents: DataFrame, json: str = "json") -> DataFrame:
     return _all([*parts, unknown.select("graph_id", F.lit("unsupported version").alias("rule"), F.get_json_object(json, "$.schema_version").alias("key"))])
 
 
+def _members(objects: DataFrame, name: str, listed: bool) -> tuple[DataFrame, DataFrame]:
+    """(what a member holds, by path; violations) of ``objects`` (graph_id, version, path, v); lists row by row."""
+    at = F.concat_ws(".", "path", F.lit(name))
+    held = objects.select("graph_id", "version", at.alias("path"), F.variant_get("v", f"$.{name}", "variant").alias("v")).where("v is not null")
+    if not listed:
+        return held, held.limit(0).select("graph_id", F.lit("").alias("rule"), F.lit("").alias("key"))
+    is_list = F.schema_of_variant("v").startswith("ARRAY")
+    bare = held.where(~is_list).select("graph_id", F.lit("not a list").alias("rule"), F.col("path").alias("key"))
+    every = held.sparkSession.sql("SELECT h.graph_id, h.version, concat(h.path, '[', e.pos, ']') AS path, e.value AS v FROM {held} h, LATERAL variant_explode(h.v) e", held=held.where(is_list))
+    return every, bare
+
+
+def violations_nested_keys(documents: DataFrame, json: str = "json") -> DataFrame:
+    """Objects inside graph documents (graph_id, json) have exactly their keys; ``key`` is the path, such as nodes[3].calls[0].count.
+
+    A table with an explicit schema would drop a foreign key and read a misspelt one as null. So documents are parsed once
+    as variants, lists are exploded as lateral tables, level by level, and each object's own keys are held against those of
+    its path and version. A member that isn't there is a missing key of its parent, and not descended into; a member of the
+    wrong kind is a violation itself. Documents of other versions are left to ``violations_top_level``.
+    """
+    version = F.get_json_object(json, "$.schema_version").try_cast("int")
+    roots = documents.select("graph_id", version.alias("version"), F.lit(None).cast("string").alias("path"), F.try_parse_json(json).alias("v")).where(F.col("version").isin(*TOP_KEYS) & F.col("v").isNotNull())
+    levels, parts = {"": cut(roots)}, []
+    for path, kind, keys in NESTED_KEYS:
+        above, _, name = path.rpartition(".")
+        every, bare = _members(levels[above], name, kind == "list")
+        is_object = F.schema_of_variant("v").startswith("OBJECT")
+        levels[path] = every.where(is_object)
+        wanted = reduce(lambda so_far, v: F.when(F.col("version") >= v, F.array(*map(F.lit, keys[v]))).otherwise(so_far), sorted(keys), F.lit(None).cast("array<string>"))
+        closed = levels[path].select("graph_id", "path", wanted.alias("wanted"), F.json_object_keys(F.to_json("v")).alias("has")).where("wanted is not null")
+        known = F.col("version") >= min(keys)
+        parts += [bare, every.where(~is_object & known).select("graph_id", F.lit("not an object").alias("rule"), F.col("path").alias("key"))]
+        for rule, found in (("missing key", F.array_except("wanted", "has")), ("unexpected key", F.array_except("has", "wanted"))):
+            parts.append(closed.select("graph_id", F.lit(rule).alias("rule"), F.explode(found).alias("name"), "path").select("graph_id", "rule", F.concat_ws(".", "path", "name").alias("key")))
+    return _all(parts)
+
+
+def violations_edge_policy(docs: DataFrame) -> DataFrame:
+    """Analysis of graph documents (graph_id, analysis): the edge policy is a list of texts, some, none empty, none twice."""
+    policy = F.col("analysis.edge_policy")
+    fine = (F.size(policy) > 0) & ~F.exists(policy, lambda x: x.isNull() | (x == "")) & (F.size(F.array_distinct(policy)) == F.size(policy))
+    return _broken(docs, "edge policy", fine, F.col("graph_id"))
+
+
 def assert_valid(violations: DataFrame, show: int = 5) -> None:
     found = violations.take(show)
     if found:

@@ -94,3 +94,27 @@ def warning_counts(warnings: DataFrame) -> DataFrame:
     from weftgraph.functions.scalars import normalised_warning
 
     return warnings.groupBy("component", normalised_warning(F.col("message")).alias("message")).agg(F.count("*").alias("n"))
+
+
+def execution_summary(steps: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """One row of how a run went: status, seconds and rows by step, peak memory of the driver's process, versions, warnings.
+
+    steps: ``StepLog.table``; warnings: ``warning_counts``. The lists are as long as the steps' and warnings' kinds.
+    """
+    import platform
+    import resource
+    import sys
+
+    rows = steps.agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.round("seconds", 6).alias("seconds"))))).alias("duration_seconds"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "rows")))).alias("rows"),
+    )
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / (1024 * 1024 if sys.platform == "darwin" else 1024)
+    versions = {"python": platform.python_version(), "spark": steps.sparkSession.version}
+    rows = rows.withColumns({"peak_rss_mb": F.round(F.lit(peak), 3), "versions": F.create_map(*[F.lit(x) for kv in versions.items() for x in kv])})
+    told = F.array().cast("array<struct<component:string,message:string,n:bigint>>")
+    if warnings is None:
+        rows = rows.withColumn("warnings", told)
+    else:
+        rows = rows.crossJoin(warnings.agg(F.array_sort(F.collect_list(F.struct("component", "message", "n"))).alias("warnings")))  # one row by one
+    return rows.select(F.when(F.size("warnings") > 0, "completed_with_warnings").otherwise("completed").alias("status"), "duration_seconds", "rows", "peak_rss_mb", "versions", "warnings")

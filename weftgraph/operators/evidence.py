@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.operators.sweep import first_holding
 from weftgraph.schemas import INFERRED, REJECTIONS, RELOCATION
 
 SITE = ["graph_id", "source", "callsite"]
-#: Width of an address bucket for interval joins.
-BUCKET = 4096
+#: Jump kinds of control flow, by kind of transfer. Fixed values.
+JUMP_KINDS = {"call": "Ijk_Call", "tail-call": "Ijk_Boring"}
 #: Instructions that may follow a terminal jump.
 PADDING = ("nop", "int3", "trap")
 
@@ -17,15 +18,12 @@ PADDING = ("nop", "int3", "trap")
 def containing_function(points: DataFrame, functions: DataFrame, point: str = "target") -> DataFrame:
     """``points`` with ``function``: the function that starts at the point, else the first, by address, whose extent holds it.
 
-    Extents are spread over the address buckets that they touch, so the interval join is an equi-join on (graph_id,
-    bucket) with a filter, and not a nested loop.
+    Extents are swept in the order of their addresses, see ``sweep.first_holding``: each costs one row, however long it is.
     """
     starts = functions.select("graph_id", F.col("address").alias(point), F.col("address").alias("exact"))
     joined = points.join(starts, ["graph_id", point], "left")
     extents = functions.where("size > 0").select("graph_id", F.col("address").alias("start"), (F.col("address") + F.col("size")).alias("stop"))
-    extents = extents.withColumn("bucket__", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("stop") - 1) / BUCKET))))
-    asked = joined.where("exact is null").select("graph_id", point).distinct().withColumn("bucket__", F.floor(F.col(point) / BUCKET))
-    inside = asked.join(extents, ["graph_id", "bucket__"]).where((F.col("start") <= F.col(point)) & (F.col(point) < F.col("stop"))).groupBy("graph_id", point).agg(F.min("start").alias("around"))
+    inside = first_holding(joined.where("exact is null").select("graph_id", point).distinct(), extents, "graph_id", point)
     return joined.join(inside, ["graph_id", point], "left").withColumn("function", F.coalesce("exact", "around")).drop("exact", "around")
 
 
@@ -123,21 +121,35 @@ def relocation_targets(relocations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("n = 1").drop("n"), rows.where("n > 1").select("graph_id", "slot")
 
 
-def cfg_resolutions(sites: DataFrame, flow: DataFrame) -> DataFrame:
-    """Resolutions of open sites from control-flow edges (graph_id, callsite, jump_kind, source, target) of equal kind."""
-    edges = flow.withColumnRenamed("jump_kind", "kind").withColumnRenamed("source", "flow_source")
-    found = sites.select(*SITE, "kind").join(edges, ["graph_id", "callsite", "kind"])
-    return found.groupBy(*SITE).agg(F.array_sort(F.collect_set("target")).alias("targets"), (F.count_distinct("flow_source") > 1).alias("ambiguous_source"))
+def cfg_resolutions(sites: DataFrame, flow: DataFrame, jumps: DataFrame | None = None) -> DataFrame:
+    """Resolutions of all open sites: (graph_id, source, callsite, targets, ambiguous_source).
+
+    sites: open transfers; flow: control-flow edges (graph_id, callsite, jump_kind, target); jumps: indirect-jump tables
+    (graph_id, callsite, jump_kind, targets), an array that may be null or empty. A callsite belongs to the raw sources
+    that have an open transfer there. Where there are several, any edge or table at the callsite, of whatever kind, makes
+    their sites ambiguous, and they get no target. A sole owner gets the targets of edges and tables of its own kind
+    together. Sites without any stay, with no targets.
+    """
+    sites = sites.select(*SITE, "kind").distinct()
+    owned = sites.groupBy("graph_id", "callsite").agg(F.count_distinct("source").alias("owners"))
+    seen = flow.where("callsite is not null and target is not null").select("graph_id", "callsite", "jump_kind", "target")
+    if jumps is not None:
+        seen = seen.unionByName(jumps.where("callsite is not null").select("graph_id", "callsite", "jump_kind", F.explode_outer("targets").alias("target")))
+    seen = seen.distinct().withColumn("seen", F.lit(True))
+    found = sites.join(owned, ["graph_id", "callsite"]).join(seen, ["graph_id", "callsite"], "left")
+    mine = (F.col("owners") == 1) & (F.col("jump_kind") == F.when(F.col("kind") == "call", JUMP_KINDS["call"]).otherwise(JUMP_KINDS["tail-call"]))
+    return found.groupBy(*SITE).agg(F.array_sort(F.collect_set(F.when(mine, F.col("target")))).alias("targets"), F.coalesce(F.bool_or((F.col("owners") > 1) & F.col("seen")), F.lit(False)).alias("ambiguous_source"))
 
 
 def merge_resolutions(transfers: DataFrame, resolutions: DataFrame, functions: DataFrame) -> DataFrame:
     """Give sites that wait (``not_run``) their inferred targets.
 
     How many targets there are is tested before what they are: one known and one unknown target are ``multiple_targets``.
+    Of repeated metadata of a target the last counts.
     """
-    flat = resolutions.select(*SITE, "ambiguous_source", F.explode_outer("targets").alias("t"), "target_metadata")
-    about = F.filter("target_metadata", lambda m: m["address"] == F.col("t"))
-    flat = flat.select(*SITE, "ambiguous_source", "t", F.try_element_at(about, F.lit(-1))["category"].alias("category"), F.try_element_at(about, F.lit(-1))["name"].alias("name"))
+    flat = resolutions.select(*SITE, "ambiguous_source", F.explode_outer("targets").alias("t"))
+    about = resolutions.select(*SITE, F.posexplode("target_metadata").alias("nth", "m")).groupBy(*SITE, F.col("m.address").alias("t")).agg(F.max_by("m", "nth").alias("m"))
+    flat = flat.join(about, [*SITE, "t"], "left").select(*SITE, "ambiguous_source", "t", "m.category", "m.name")
     merged = flat.groupBy(*SITE).agg(
         F.array_sort(F.collect_set("t")).alias("found"), F.max("ambiguous_source").alias("ambiguous"), F.max("category").alias("category"), F.max("name").alias("name"),
         F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("name").isNotNull() & (F.col("name") != ""), F.struct(F.col("t"), F.col("name")))))).alias("names"),

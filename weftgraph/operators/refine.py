@@ -1,9 +1,15 @@
 """Colour refinement of weighted directed graphs, for many graphs and all relation modes in one loop.
 
-A round gives every node the digest of (its colour, its OUT multiset, its IN multiset), where a multiset holds the edge
-counts summed by neighbour colour. A multiset enters as two xor lanes of 64-bit hashes of its (colour, sum) pairs and
-its number of colours, so hubs need no long arrays and all steps combine on the map side; the digest makes it 128 bits.
-Colours are digests, hence the same on every executor, and a round has no renumbering step.
+A round splits classes by the OUT and IN multisets of their nodes, where a multiset holds the edge counts summed by
+neighbour colour. Work follows what changed: of a class that splits, the largest part keeps its colour, and a round
+digests only nodes with a neighbour whose colour is new. So a node is digested about as often as classes around it halve,
+not once a round, and the partitions are those of rounds over all nodes. Edges are laid out once by either end; a round
+shuffles colours and the edges of the nodes it digests.
+
+A multiset enters as two xor lanes of 64-bit hashes of its (colour, sum) pairs and its number of colours, so hubs need no
+long arrays and all steps combine on the map side. At the fixpoint the partition is certified without hashes: every node's
+multisets are compared with those of one node of its class, by joins. Nodes that differ leave the class, and rounds go on.
+Colours name classes by a member, so they are exact, too.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftgraph.schemas import MODES
 from weftgraph.operators.numbering import numbered
-from weftgraph.session import cut
+from weftgraph.session import Beside, Scratch, cut
 
 GRAPH = ["graph_id", "mode"]
 
@@ -48,11 +54,11 @@ def check_modes(modes: tuple[str, ...]) -> None:
             raise ValueError(f"unknown mode {mode!r}; expected one of {', '.join(MODES)}")
 
 
-def seeds(nodes: DataFrame, edges: DataFrame, modes: tuple[str, ...] = ("full",)) -> DataFrame:
-    """(graph_id, mode, id, scored, no_callee, color) of round 0."""
+def seeds(nodes: DataFrame, edges: DataFrame, modes: tuple[str, ...] = ("full",), exact: bool = False) -> DataFrame:
+    """(graph_id, mode, id, scored, no_callee, color) of round 0; the color is the seed's text itself if ``exact``, else its digest."""
     check_modes(modes)
     view = relation_view(nodes, edges).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
-    return view.select(*GRAPH, "id", "scored", (F.col("out_degree") == 0).alias("no_callee"), F.md5(seed_text(F.col("mode"))).alias("color"))
+    return view.select(*GRAPH, "id", "scored", (F.col("out_degree") == 0).alias("no_callee"), (seed_text(F.col("mode")) if exact else F.md5(seed_text(F.col("mode")))).alias("color"))
 
 
 def neighbour_multiset(colors: DataFrame, edges: DataFrame, direction: str) -> DataFrame:
@@ -63,48 +69,100 @@ def neighbour_multiset(colors: DataFrame, edges: DataFrame, direction: str) -> D
     return others.join(far, ["graph_id", "other"]).groupBy(*GRAPH, "id", "color").agg(F.sum("count").alias("weight"))
 
 
-def _digest(colors: DataFrame, edges: DataFrame, direction: str) -> DataFrame:
-    sums = neighbour_multiset(colors, edges, direction)
-    lanes = [F.bit_xor(F.xxhash64(F.lit(k), "color", "weight")) for k in (1, 2)]
-    return sums.groupBy(*GRAPH, "id").agg(F.concat_ws(",", lanes[0].cast("string"), lanes[1].cast("string"), F.count("*").cast("string")).alias(direction))
+class _Layout:
+    """The edges, laid out once by the node at either end: (graph_id, here, there, out, count); ``out`` tells the direction."""
 
+    def __init__(self, edges: DataFrame, beside: Beside):
+        others = edges.where("src <> dst")
+        ends = [others.select("graph_id", F.col(h).alias("here"), F.col(t).alias("there"), F.lit(h == "src").alias("out"), "count") for h, t in (("src", "dst"), ("dst", "src"))]
+        self.ends = beside.table(ends[0].unionByName(ends[1]), "graph_id", "here")
 
-def refine_round(colors: DataFrame, edges: DataFrame) -> DataFrame:
-    """One synchronous round over all nodes, anchors included. A component that a mode doesn't use is not joined in."""
-    uses_out, uses_in = colors.where("mode <> 'in'"), colors.where("mode in ('full', 'in', 'out-in')")
-    joined = colors.join(_digest(uses_out, edges, "out"), [*GRAPH, "id"], "left").join(_digest(uses_in, edges, "in"), [*GRAPH, "id"], "left")
-    into = F.when((F.col("mode") == "out-in") & ~F.col("no_callee"), F.lit("unused")).otherwise(F.coalesce("in", F.lit("")))
-    return joined.select(*GRAPH, "id", "scored", "no_callee", F.md5(F.concat_ws("|", "color", F.coalesce("out", F.lit("")), into)).alias("color"))
+    def profile(self, nodes: DataFrame, colors: DataFrame) -> DataFrame:
+        """(graph_id, mode, id, out, color, weight) of ``nodes`` (graph_id, mode, id, no_callee): both multisets, as far as the mode uses them."""
+        far = colors.select(*GRAPH, F.col("id").alias("there"), "color")
+        rows = nodes.select(*GRAPH, F.col("id").alias("here"), "no_callee").join(self.ends, ["graph_id", "here"]).where(_USES.format("out"))
+        return rows.join(far, [*GRAPH, "there"]).groupBy(*GRAPH, F.col("here").alias("id"), "out", "color").agg(F.sum("count").alias("weight"))
 
+    def beside_moved(self, moved: DataFrame, colors: DataFrame) -> DataFrame:
+        """(graph_id, mode, id, no_callee) of the nodes whose multisets hold a node of ``moved`` (graph_id, mode, id)."""
+        near = moved.withColumnRenamed("id", "here").join(self.ends, ["graph_id", "here"]).groupBy(*GRAPH, F.col("there").alias("id")).agg(F.bool_or(~F.col("out")).alias("by_out"), F.bool_or("out").alias("by_in"))
+        return near.join(colors.select(*GRAPH, "id", "no_callee"), [*GRAPH, "id"]).where(f"(by_out and {_USES.format('true')}) or (by_in and {_USES.format('false')})").select(*GRAPH, "id", "no_callee")
 
-def refine(nodes: DataFrame, edges: DataFrame, modes: tuple[str, ...] = ("full",), trace: bool = False, rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+
+#: Which multisets a mode uses.
+_USES = "case when {} then mode <> 'in' else mode in ('full', 'in') or (mode = 'out-in' and no_callee) end"
+
+
+def _signed(nodes: DataFrame, colors: DataFrame, layout: _Layout, bits: int) -> DataFrame:
+    """(graph_id, mode, id, now) of ``nodes`` that have a multiset: a digest of both."""
+    lanes = [F.bit_xor(F.xxhash64(F.lit(k), "out", "color", "weight")) for k in (1, 2)]
+    if bits < 128:  # for tests of colliding digests
+        text = F.pmod(lanes[0], F.lit(1 << bits)).cast("string")
+    else:
+        text = F.concat_ws(",", lanes[0].cast("string"), lanes[1].cast("string"), F.count("*").cast("string"))
+    return layout.profile(nodes, colors).groupBy(*GRAPH, "id").agg(text.alias("now"))
+
+
+def differing(colors: DataFrame, layout: _Layout) -> DataFrame:
+    """Nodes (graph_id, mode, id, color) whose multisets are not those of their class's first node. No hashes are compared.
+
+    A node agrees if each of its (direction, colour, sum) rows is one of the first node's, and there are as many.
+    """
+    classes = colors.groupBy(*GRAPH, "color").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1")
+    shared = colors.join(classes.select(*GRAPH, "color", "first"), [*GRAPH, "color"]).withColumnRenamed("color", "own")
+    rows = cut(layout.profile(shared, colors).join(shared.select(*GRAPH, "id", "own", "first"), [*GRAPH, "id"]))
+    model = rows.where("id = first").select(*GRAPH, "own", "out", "color", "weight", F.lit(1).alias("hit"))
+    held = rows.join(model, [*GRAPH, "own", "out", "color", "weight"], "left").groupBy(*GRAPH, "id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    sizes = model.groupBy(*GRAPH, "own").agg(F.count("*").alias("size"))
+    all_ = shared.select(*GRAPH, "id", "own").join(held, [*GRAPH, "id"], "left").join(sizes, [*GRAPH, "own"], "left").fillna(0, ["n", "hits", "size"])
+    return all_.where("n <> size or hits <> size").select(*GRAPH, "id", F.col("own").alias("color"))
+
+
+def refine(
+    nodes: DataFrame, edges: DataFrame, modes: tuple[str, ...] = ("full",), trace: bool = False, rounds: int | None = None, bits: int = 128, digested: list[int] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Refine to the fixpoint: (colours, rounds by graph and mode, colours of every round or None).
 
-    A partition only ever gets finer, so it is stable when its number of classes is. ``rounds`` counts the confirming
-    round. The driver sees one boolean a round; everything else stays distributed, and each round's colours are a
-    reliable checkpoint.
+    A partition only ever gets finer, so it is stable when nothing splits. ``rounds`` counts the confirming round; given
+    as an argument it is the most rounds, and a partition cut short isn't certified. The driver sees whether something
+    split; everything else stays distributed, and each round's colours are a reliable checkpoint. ``bits`` under 128 is
+    for tests of colliding digests: the partition is the same, rounds may differ. ``digested`` gets the nodes that each
+    round digested.
     """
-    edges = cut(edges.select("graph_id", "src", "dst", "count"))
-    colors = cut(seeds(nodes, edges, modes))
-    limit = rounds or max(1, nodes.count())
-    history, counted = [colors.withColumn("round", F.lit(0))], [_classes(colors, 0)]
-    for number in range(1, limit + 1):
-        colors = cut(refine_round(colors, edges))
-        now = cut(_classes(colors, number))
-        before = counted[-1]
-        counted.append(now)
-        if trace:
-            history.append(colors.withColumn("round", F.lit(number)))
-        grown = now.select(*GRAPH, "classes").join(before.select(*GRAPH, F.col("classes").alias("earlier")), GRAPH).where("classes <> earlier")
-        if grown.isEmpty():
-            break
-    else:
-        if rounds is None:
-            raise RuntimeError("no fixpoint was reached")
-    every = reduce(DataFrame.unionByName, counted)
+    with Scratch(nodes.sparkSession) as scratch, Beside(scratch) as beside:
+        layout = _Layout(edges, beside)
+        colors = cut(seeds(nodes, edges, modes, exact=True).withColumn("sign", F.lit("")))
+        counted, history, moved, number = [_classes(colors, 0)], [colors.withColumn("round", F.lit(0))], None, 0
+        while rounds is None or number < rounds:
+            number += 1
+            active = colors.select(*GRAPH, "id", "no_callee") if moved is None else layout.beside_moved(moved, colors)
+            if digested is not None:
+                digested.append(active.count())
+            signs = _signed(active, colors, layout, bits)
+            colors = cut(colors.join(signs, [*GRAPH, "id"], "left").withColumn("sign", F.coalesce("now", "sign")).drop("now"))
+            parts = cut(colors.groupBy(*GRAPH, "color", "sign").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+            counted.append(parts.groupBy(*GRAPH).agg(F.count("*").alias("classes")).withColumn("round", F.lit(number)))
+            keeps = parts.groupBy(*GRAPH, "color").agg(F.count("*").alias("parts"), F.max(F.struct("n", "first")).alias("keeps")).where("parts > 1")
+            leaving = parts.join(keeps, [*GRAPH, "color"]).where("first <> keeps.first").select(*GRAPH, "color", "sign", F.concat(F.lit(f"{number}:"), "first").alias("new"))
+            joined = None
+            if not leaving.isEmpty():
+                joined = colors.join(leaving, [*GRAPH, "color", "sign"], "left")
+            elif rounds is None and not (wrong := differing(colors, layout)).isEmpty():  # digests met; their nodes become a class
+                wrong = cut(wrong)
+                named = wrong.groupBy(*GRAPH, "color").agg(F.concat(F.lit(f"{number}!"), F.min("id")).alias("new"))
+                joined = colors.join(wrong.join(named, [*GRAPH, "color"]).select(*GRAPH, "id", "new"), [*GRAPH, "id"], "left")
+            if joined is not None:
+                joined = cut(joined)
+                moved = joined.where("new is not null").select(*GRAPH, "id")
+                colors = joined.select(*GRAPH, "id", "scored", "no_callee", F.coalesce("new", "color").alias("color"), "sign")
+            if trace:
+                history.append(colors.withColumn("round", F.lit(number)))
+            if joined is None:
+                break
+        every = cut(reduce(DataFrame.unionByName, counted))
     last = every.groupBy(*GRAPH).agg(F.max("classes").alias("classes"))
     first = every.join(last, [*GRAPH, "classes"]).groupBy(*GRAPH).agg((F.min("round") + 1).cast("int").alias("rounds"))
-    return colors, first, reduce(DataFrame.unionByName, history) if trace else None
+    return colors.drop("sign"), first, reduce(DataFrame.unionByName, history).drop("sign") if trace else None
 
 
 def _classes(colors: DataFrame, number: int) -> DataFrame:

@@ -67,7 +67,7 @@ def score(graph: dict[str, DataFrame], truth: dict[str, DataFrame], modes: tuple
     first = labels.groupBy("graph_id", "origin").agg(F.min("member").alias("first"))
     return {
         "metrics": metrics, "coverage": scoring.coverage(cells.select(*KEYS, "id"), gone, by_mode(labels), counts, KEYS), "clusters": predicted_clusters(colors, labels, truth["symbols"]),
-        "abstentions": scored_abstentions(graph["abstentions"], labels, truth["symbols"]), "origins": scoring.origin_scores(by_mode(labels), cells, gone, KEYS).join(first, ["graph_id", "origin"]),
+        "abstentions": scored_abstentions(graph["abstentions"], labels, truth["symbols"]), "origins": scoring.origin_scores(by_mode(labels), cells, gone, KEYS, named=True).join(first, ["graph_id", "origin"]),
     } | ({"history": history} if trace else {})
 
 

@@ -55,12 +55,12 @@ def coverage(scored: DataFrame, abstained: DataFrame, truth: DataFrame, counts:
     )
 
 
-def origin_scores(truth: DataFrame, members: DataFrame, abstained: DataFrame, keys: tuple[str, ...] = ("graph_id",), named: bool = True) -> DataFrame:
+def origin_scores(truth: DataFrame, members: DataFrame, abstained: DataFrame, keys: tuple[str, ...] = ("graph_id",), named: bool = False) -> DataFrame:
     """One row per origin: sizes, clusters, recovered and total pairs, coverage, recall, collisions.
 
     truth: (keys, origin, member); members: (keys, id, cluster, origin) of scored nodes; abstained: (keys, id).
-    ``collides`` comes from counts. ``named`` adds the colliding origins by name: only cells of clusters with several
-    origins meet for that, and the list is as long as the answer.
+    ``collides`` comes from counts. ``named`` adds the colliding origins by name: cells of clusters with several origins
+    meet for that, and a cluster of m origins makes m lists of m - 1 names, so it is for reports that show them.
     """
     keys = [*keys]
     sizes = truth.groupBy(*keys, "origin").agg(F.count("*").alias("instances"))

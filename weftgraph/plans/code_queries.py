@@ -94,13 +94,40 @@ def boundary_summary(spark, sf_dir):
     return diagnostics.boundary_summary(bounds, found).drop("graph_id")
 
 
-@query(with_views("flow_found", "flow_transfers") + """, s AS (SELECT DISTINCT source, callsite FROM flow_transfers WHERE indirect_status = 'not_run'), e AS (SELECT callsite, source AS f, target FROM flow_found UNION ALL SELECT callsite, source + 1, target FROM flow_found WHERE ambiguous)
-    SELECT s.source, s.callsite, count(DISTINCT e.target) AS targets, count(DISTINCT e.f) > 1 AS ambiguous FROM s JOIN e USING (callsite) GROUP BY 1, 2""")
+#: Each site by itself: who else is open at its callsite, what is seen there, and what of that is its own.
+_CFG = with_views("cfg_sites", "cfg_edges", "cfg_jumps") + """, seen AS MATERIALIZED (SELECT callsite, jump_kind, target FROM cfg_edges WHERE target IS NOT NULL
+        UNION ALL SELECT callsite, jump_kind, one FROM cfg_jumps WHERE NOT bare UNION ALL SELECT callsite, jump_kind, two FROM cfg_jumps WHERE NOT bare UNION ALL SELECT callsite, jump_kind, NULL FROM cfg_jumps WHERE bare),
+    found AS MATERIALIZED (SELECT s.source, s.callsite, s.kind,
+        EXISTS (SELECT 1 FROM cfg_sites o WHERE o.callsite = s.callsite AND o.source <> s.source) AS shared, EXISTS (SELECT 1 FROM seen WHERE seen.callsite = s.callsite) AS met FROM cfg_sites s),
+    got AS MATERIALIZED (SELECT source, callsite, shared AND met AS ambiguous, coalesce(t, []) AS targets FROM found LEFT JOIN (SELECT f.source, f.callsite, list_sort(list(DISTINCT seen.target)) AS t FROM found f JOIN seen USING (callsite)
+        WHERE NOT f.shared AND seen.target IS NOT NULL AND seen.jump_kind = CASE f.kind WHEN 'call' THEN 'Ijk_Call' ELSE 'Ijk_Boring' END GROUP BY ALL) USING (source, callsite))"""
+
+
+def _cfg(spark, sf_dir):
+    sites, flow, jumps = (view(spark, sf_dir, n) for n in ("cfg_sites", "cfg_edges", "cfg_jumps"))
+    jumps = jumps.withColumn("targets", F.when(~F.col("bare"), F.array("one", "two")))
+    return sites, evidence.cfg_resolutions(sites, flow, jumps)
+
+
+@query(_CFG + " SELECT source, callsite, ambiguous, array_to_string(targets, ',') AS targets FROM got")
 def cfg_resolutions(spark, sf_dir):
-    transfers, found = (view(spark, sf_dir, n) for n in ("flow_transfers", "flow_found"))
-    flow = found.unionByName(found.where("ambiguous").withColumn("source", F.col("source") + 1)).select(F.lit("flow").alias("graph_id"), "callsite", F.lit("call").alias("jump_kind"), "source", "target")
-    sites = transfers.where("indirect_status = 'not_run'").select("graph_id", "source", "callsite", "kind").distinct()
-    return evidence.cfg_resolutions(sites, flow).select("source", "callsite", F.size("targets").cast("bigint").alias("targets"), F.col("ambiguous_source").alias("ambiguous"))
+    found = _cfg(spark, sf_dir)[1]
+    return found.select("source", "callsite", F.col("ambiguous_source").alias("ambiguous"), F.array_join("targets", ",").alias("targets"))
+
+
+@query(_CFG + """ SELECT source, callsite, kind, CASE WHEN ambiguous THEN 'ambiguous_source' WHEN len(targets) = 0 THEN 'no_angr_result' WHEN len(targets) > 1 THEN 'multiple_targets' WHEN targets[1] % 2 = 0 AND targets[1] IN (SELECT s_suppkey FROM supplier) THEN 'resolved_internal'
+    WHEN targets[1] % 3 = 0 THEN 'resolved_import' WHEN targets[1] % 5 = 0 THEN 'unresolvable_target' ELSE 'unknown_target' END AS fate, CASE WHEN len(targets) = 1 AND ((targets[1] % 2 = 0 AND targets[1] IN (SELECT s_suppkey FROM supplier)) OR targets[1] % 3 = 0) THEN targets[1] END AS target,
+    CASE WHEN ambiguous THEN 0 ELSE len(targets) END AS n FROM got JOIN (SELECT source, callsite, kind FROM found) USING (source, callsite)""")
+def merge_cfg_resolutions(spark, sf_dir):
+    sites, found = _cfg(spark, sf_dir)
+    about = lambda t: F.struct(t.alias("address"), F.when(t % 3 == 0, "import").when(t % 5 == 0, "unresolvable").otherwise("unknown").alias("category"), F.concat(F.lit("n"), t.cast("string")).alias("name"))
+    # metadata that a later entry replaces
+    found = found.withColumn("target_metadata", F.concat(F.transform("targets", lambda t: about(t + F.lit(1)).withField("address", t)), F.transform("targets", about)))
+    nothing = F.lit(None).cast("string")
+    waiting = sites.select("graph_id", "source", "callsite", "kind", F.lit("register").alias("operand_kind"), F.lit("unresolved").alias("status"), F.lit(None).cast("bigint").alias("target"), nothing.alias("resolver"), F.lit("unknown").alias("confidence"), nothing.alias("filter_reason"), F.lit("not_run").alias("indirect_status"))
+    known = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.lit("cfg").alias("graph_id"), F.col("s_suppkey").alias("address"))
+    merged = evidence.merge_resolutions(waiting, found, known)
+    return merged.select("source", "callsite", "kind", F.col("indirect_status").alias("fate"), "target", F.size("indirect_targets").cast("bigint").alias("n"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'internal' WHEN p_size < 10 THEN 'unresolvable' WHEN p_size < 40 AND p_partkey % 2 = 0 THEN 'import' ELSE 'unknown' END AS category,

@@ -62,10 +62,10 @@ def violations_inference(spark, sf_dir):
     return _violations(checks.violations_inference(rows))
 
 
-@query(with_views("flow_lines") + """, r AS (SELECT CAST(source % 7 AS STRING) AS graph_id, source % 7 % 2 = 0 AS completed, status = 'unresolved' AS open FROM flow_lines WHERE l_quantity > 25 OR status = 'unresolved')
+@query(with_views("flow_lines") + """, r AS (SELECT CAST(source % 7 AS STRING) AS graph_id, source % 7 % 2 = 0 AS completed, status = 'unresolved' AS open FROM flow_lines)
     SELECT DISTINCT graph_id, CASE WHEN completed AND open THEN 'completed, yet open' WHEN NOT completed AND NOT open THEN 'not run, yet decided' END AS rule FROM r WHERE completed = open""")
 def violations_run_status(spark, sf_dir):
-    lines = view(spark, sf_dir, "flow_lines").where("l_quantity > 25 or status = 'unresolved'")
+    lines = view(spark, sf_dir, "flow_lines")
     transfers = lines.select((F.col("source") % 7).cast("string").alias("graph_id"), F.lit("call").alias("kind"), F.col("operand").alias("operand_kind"), F.when(F.col("status") == "unresolved", "not_run").otherwise("resolved_internal").alias("indirect_status"))
     status = spark.range(7).select(F.col("id").cast("string").alias("graph_id"), F.when(F.col("id") % 2 == 0, "completed").otherwise("not_run").alias("analysis_status"))
     return checks.violations_run_status(status, transfers).select("graph_id", "rule")
@@ -88,6 +88,40 @@ def violations_top_level(spark, sf_dir):
     return checks.violations_top_level(table(spark, sf_dir, "customer").select(key.cast("string").alias("graph_id"), json.alias("json")))
 
 
+@query("""WITH d AS (SELECT o_orderkey AS k, CAST(o_orderkey AS STRING) AS graph_id, CASE WHEN o_orderkey % 7 = 0 THEN 6 ELSE 5 END AS v FROM orders),
+    l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, l_quantity AS q FROM lineitem),
+    n AS (SELECT d.graph_id, concat('nodes[', CAST(i AS STRING), ']') AS spot, q, d.v FROM l JOIN d USING (k))
+    SELECT graph_id, 'missing key' AS rule, concat(spot, '.scored') AS key FROM n WHERE q = 10 UNION ALL SELECT graph_id, 'unexpected key', concat(spot, '.calls[0].kind') FROM n WHERE q = 20
+    UNION ALL SELECT graph_id, 'missing key', concat(spot, '.observability.resolved_in_callers') FROM n WHERE q = 30 UNION ALL SELECT graph_id, 'not an object', spot FROM n WHERE q = 40
+    UNION ALL SELECT graph_id, 'not a list', concat(spot, '.calls') FROM n WHERE q = 50 UNION ALL SELECT graph_id, 'unexpected key', 'extraction.x' FROM d WHERE k % 11 = 0
+    UNION ALL SELECT graph_id, 'missing key', 'extraction.boundary_mismatches[1].radare2_size' FROM d WHERE k % 5 = 0 UNION ALL SELECT graph_id, 'missing key', 'abstentions[0].reason' FROM d WHERE v = 6
+    UNION ALL SELECT graph_id, 'missing key', 'provenance.build_id' FROM d WHERE k % 13 = 0 UNION ALL SELECT graph_id, 'not an object', 'analysis' FROM d WHERE k % 3 = 0""")
+def violations_nested_keys(spark, sf_dir):
+    """Orders as documents, their lines as nodes, with keys left out and added at every level."""
+    q, k = F.col("l_quantity"), F.col("o_orderkey")
+    when = lambda test, text: F.when(test, text).otherwise("")
+    seen = F.concat(F.lit('{"resolved_out_calls":1,"unresolved_indirect_out_callsites":0,"address_taken_references":null'), when(q != 30, ',"resolved_in_callers":2'), F.lit("}"))
+    calls = F.when(q == 50, '"none"').otherwise(F.concat(F.lit('[{"target":"a","count":1'), when(q == 20, ',"kind":"call"'), F.lit('},{"count":2,"target":"b"}]')))
+    node = F.when(q == 40, "7").otherwise(F.concat(F.lit('{"id":"n"'), when(q != 10, ',"scored":true'), F.lit(',"type":"user","anchor_kind":null,"color_class":null,"calls":'), calls, F.lit(',"observability":'), seen, F.lit("}")))
+    nodes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", node.alias("node")))).alias("nodes"))
+    docs = table(spark, sf_dir, "orders").join(nodes, "o_orderkey", "left")
+    good = ',"'.join(f'{x}":"x"' for x in ("track", "candidate_scope", "backend", "extractor_version", "raw_graph_sha256", "candidate_selection_sha256", "projection_config_sha256", "anchor_policy", "edge_policy", "oracle_level"))
+    mismatch = lambda size: F.concat(F.lit('{"id":"a","address":"0x1","symbol_size":1'), size, F.lit("}"))
+    json = F.concat(
+        F.lit('{"schema_version":'), F.when(k % 7 == 0, '6,"abstentions":[{"id":"x","status":"abstain"}]').otherwise("5"), F.lit(',"provenance":{"source_sha256":"","non_stripped_sha256":"","stripped_sha256":""'), when(k % 13 != 0, ',"build_id":"b"'),
+        F.lit('},"analysis":'), F.when(k % 3 == 0, "[]").otherwise('{"' + good + "}"), F.lit(',"extraction":{"boundary_mode":"radare2"'), when(k % 11 == 0, ',"x":[]'), F.lit(',"boundary_mismatches":['), mismatch(F.lit(',"radare2_size":2')), F.lit(","),
+        mismatch(when(k % 5 != 0, ',"radare2_size":2')), F.lit(']},"nodes":['), F.coalesce(F.array_join(F.transform("nodes", lambda n: n["node"]), ","), F.lit("")), F.lit("]}"),
+    )
+    return checks.violations_nested_keys(docs.select(k.cast("string").alias("graph_id"), json.alias("json")))
+
+
+@query("""SELECT CAST(s_suppkey AS STRING) AS graph_id, 'edge policy' AS rule FROM supplier WHERE s_suppkey % 5 < 4""")
+def violations_edge_policy(spark, sf_dir):
+    key = F.col("s_suppkey")
+    policy = F.when(key % 5 == 0, F.array().cast("array<string>")).when(key % 5 == 1, F.array("s_name", "s_name")).when(key % 5 == 2, F.array("s_name", F.lit(""))).when(key % 5 == 4, F.array("s_name", F.lit("direct")))
+    return checks.violations_edge_policy(table(spark, sf_dir, "supplier").select(key.cast("string").alias("graph_id"), F.struct(policy.alias("edge_policy")).alias("analysis"))).select("graph_id", "rule")
+
+
 @query("""WITH a AS (SELECT c_custkey AS k, c_nationkey AS p FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_custkey AS k, c_nationkey + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS p FROM customer WHERE c_custkey % 3 <> 0)
     SELECT CAST(coalesce(a.k, b.k) AS STRING) AS graph_id, CASE WHEN b.k IS NULL THEN 'no truth of this identity' WHEN a.k IS NULL THEN 'truth without a graph' ELSE 'truth of another provenance' END AS rule FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.p <> b.p""")
 def violations_pairing(spark, sf_dir):

@@ -153,15 +153,15 @@ def pairwise_metrics(spark, sf_dir):
     return scoring.with_metrics(scoring.pair_counts(_members(spark, sf_dir))).select("precision", "recall", "f1", "ari")
 
 
-def _origin_scores(spark, sf_dir):
+def _origin_scores(spark, sf_dir, named=False):
     (labels,) = _bind(spark, sf_dir)("geo_truth")
     members = _members(spark, sf_dir).select("graph_id", "id", "cluster", "origin")
-    return scoring.origin_scores(labels, members, members.select("graph_id", "id").limit(0))
+    return scoring.origin_scores(labels, members, members.select("graph_id", "id").limit(0), named=named)
 
 
 @query(oracle.ORIGINS)
 def origin_scores(spark, sf_dir):
-    return _origin_scores(spark, sf_dir).withColumn("colliding", F.array_join("colliding", ",")).drop("graph_id", "collides")
+    return _origin_scores(spark, sf_dir, named=True).withColumn("colliding", F.array_join("colliding", ",")).drop("graph_id", "collides")
 
 
 @query(oracle.FAMILIES)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.plans import code_queries, constraint_queries, report_queries  # noqa: F401 - each adds its queries
+from weftgraph.plans import code_queries, constraint_queries, report_queries, source_queries  # noqa: F401 - each adds its queries
 from weftgraph.plans.queries import SQL, Q
 
 FLAGSHIP = "refine_full"

@@ -94,7 +94,7 @@ def family_evidence(spark, sf_dir):
     """Families where many members are abstained from; every scored node is a cluster of its own."""
     got, labels = _flow(spark, sf_dir)
     members = got["nodes"].where("scored").select("graph_id", "id", F.col("id").alias("cluster")).join(labels.withColumnRenamed("member", "id"), ["graph_id", "id"])
-    return scoring.family_status(scoring.origin_scores(labels, members, got["abstentions"], named=False)).drop("graph_id")
+    return scoring.family_status(scoring.origin_scores(labels, members, got["abstentions"])).drop("graph_id")
 
 
 @query(_EVIDENCE + " SELECT CAST(sum(k * (k - 1) // 2) AS BIGINT) AS pairs FROM o")

@@ -42,3 +42,15 @@ TOP_KEYS = {
     5: ("case", "build", "profile", "schema_version", "provenance", "extraction", "nodes", "analysis"),
     6: ("case", "build", "profile", "schema_version", "provenance", "extraction", "nodes", "analysis", "abstentions"),
 }
+#: Closed keys of the objects inside graph documents: (path from the root, how the member is held, {least version: keys}).
+#: An object of a path without a key set for its version isn't looked at.
+NESTED_KEYS = (
+    ("provenance", "object", {4: ("build_id", "source_sha256", "non_stripped_sha256", "stripped_sha256")}),
+    ("analysis", "object", {5: ("track", "candidate_scope", "backend", "extractor_version", "raw_graph_sha256", "candidate_selection_sha256", "projection_config_sha256", "anchor_policy", "edge_policy", "oracle_level")}),
+    ("extraction", "object", {4: ("boundary_mode", "boundary_mismatches")}),
+    ("extraction.boundary_mismatches", "list", {4: ("id", "address", "symbol_size", "radare2_size")}),
+    ("nodes", "list", {4: ("id", "type", "scored", "calls"), 5: ("id", "type", "scored", "calls", "anchor_kind", "color_class", "observability")}),
+    ("nodes.calls", "list", {4: ("target", "count")}),
+    ("nodes.observability", "object", {5: ("resolved_out_calls", "unresolved_indirect_out_callsites", "address_taken_references", "resolved_in_callers")}),
+    ("abstentions", "list", {6: ("id", "status", "reason")}),
+)

@@ -1,11 +1,12 @@
-"""Session helpers shared by every operator: session defaults, reliable checkpoints, scratch tables, table paths."""
+"""Session helpers shared by every operator: session defaults, reliable checkpoints, scratch tables, observed steps, table paths."""
 
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def local_session(app: str = "weftgraph", cores: int | str = "*", shuffle: int = 8, **conf: str) -> SparkSession:
@@ -54,6 +55,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class StepLog:
+    """Rows and seconds of an operator's steps. Rows are observed while a step is computed, so no step is run or read again."""
+
+    def __init__(self) -> None:
+        self.steps: list[tuple[int, str, int, float]] = []
+
+    def cut(self, name: str, df: DataFrame) -> DataFrame:
+        """``cut``, and a line in the log."""
+        seen, began = Observation(f"{name}-{uuid.uuid4().hex}"), time.monotonic()
+        out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        self.steps.append((len(self.steps), name, seen.get["rows"], time.monotonic() - began))
+        return out
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(step, name, rows, seconds), one row a step."""
+        return spark.createDataFrame(self.steps, "step int, name string, rows bigint, seconds double")
+
+
 class Scratch:
     """Intermediate tables of one operator: written to the shared folder, and deleted together when it ends.
 
@@ -82,6 +101,32 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Beside:
+    """Tables of one operator that are dealt out alike by their keys, into as many files, so that joins on these need no shuffle.
+
+    They lie in the operator's scratch folder and leave the catalog when it ends.
+    """
+
+    def __init__(self, scratch: Scratch):
+        self.spark, self.scratch, self.names = scratch.spark, scratch, []
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def __enter__(self) -> Beside:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def table(self, df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
+        """``df``, computed once; ``dealt``: its rows lie in tasks by the keys already."""
+        name = f"beside_{uuid.uuid4().hex}"
+        self.names.append(name)
+        rows = df if dealt else df.repartition(self.buckets, *keys)
+        rows.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.scratch.folder}/{name}").saveAsTable(name)
+        return self.spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark opens the path, so any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

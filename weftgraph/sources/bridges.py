@@ -53,6 +53,13 @@ VIEWS = {
         UNION ALL SELECT 'flow', CAST(2000000 + n_nationkey AS BIGINT), CAST(9100000000 + n_nationkey AS BIGINT), 'tail-call', 'immediate', 'resolved', CAST(3000000 + n_regionkey AS BIGINT), 'direct-tail', 'exact', CAST(NULL AS STRING), 'not_applicable' FROM {nation}""",
     "flow_found": """SELECT source, callsite, supplier AS target, l_discount >= 0.1 AS ambiguous FROM {flow_lines} WHERE status = 'unresolved' AND l_quantity > 5
         UNION ALL SELECT source, callsite, part, FALSE FROM {flow_lines} WHERE status = 'unresolved' AND l_quantity > 40""",
+    # Sites: parts as callsites that several customers may share; lines as control-flow edges and as jump tables of up to two targets.
+    "cfg_sites": """SELECT 'cfg' AS graph_id, o_custkey AS source, l_partkey * 8 + l_linenumber AS callsite, CASE WHEN min(l_linestatus) = 'O' THEN 'call' ELSE 'tail-call' END AS kind
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_tax < 0.02 GROUP BY o_custkey, l_partkey, l_linenumber""",
+    "cfg_edges": """SELECT 'cfg' AS graph_id, l_partkey * 8 + l_linenumber AS callsite, CASE l_returnflag WHEN 'R' THEN 'Ijk_Call' WHEN 'N' THEN 'Ijk_Boring' ELSE 'Ijk_Ret' END AS jump_kind,
+        CASE WHEN l_quantity < 48 THEN l_suppkey END AS target FROM {lineitem} WHERE l_discount > 0.08""",
+    "cfg_jumps": """SELECT 'cfg' AS graph_id, l_partkey * 8 + l_linenumber AS callsite, CASE WHEN l_linestatus = 'O' THEN 'Ijk_Call' ELSE 'Ijk_Boring' END AS jump_kind,
+        l_suppkey + 1 AS one, CASE WHEN l_quantity > 25 THEN l_suppkey + 100000 END AS two, l_quantity < 10 AS bare FROM {lineitem} WHERE l_discount < 0.02""",
     # Symbols: parts as compiled functions; a rounded price is the address, so some addresses are shared.
     "symbols": """SELECT CAST(floor(p_retailprice * 4) AS BIGINT) AS address, CAST(p_size AS BIGINT) AS size, 't' AS kind,
         concat(CASE WHEN p_size < 5 THEN 'core' WHEN p_size < 8 THEN 'std' ELSE replace(lower(p_brand), '#', '_') END, '::', replace(lower(p_type), ' ', '_'), '::make::<u', CAST(p_size AS STRING), '>') AS name, p_partkey FROM {part}""",
