@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from weftgraph.llm import vector_codes as vc
-from weftgraph.session import Scratch
+from weftgraph.session import Beside, Scratch
 
 rng = random.Random(13)
 TABLE = "vec_id bigint, embedding array<float>, label int"
@@ -70,9 +70,9 @@ def test_only_changes_are_shuffled(spark):
     """Rounds after the first contribute fewer parts, joins lie side by side, and sums stay exact."""
     rows = vectors(900)
     kept = spark.createDataFrame(rows, TABLE).selectExpr("vec_id i", "label l", "embedding v").repartition(4)
-    with Scratch(spark) as scratch, vc._Beside(scratch) as beside:
+    with Scratch(spark) as scratch, Beside(scratch) as beside:
         blocks = kept.mapInArrow(vc._blocks(8), "block string, ids array<long>, labels array<int>, vectors binary")
-        blocks = beside.table(blocks.repartition(beside.buckets, "block"))
+        blocks = beside.table(blocks, "block")
         first = np.array([[math.floor(1024 * float(np.float32(x))) for x in v] for _, v, _ in rows[:256]]).reshape(256, 4, 2).transpose(1, 0, 2)
         _, changed = vc.lloyd(blocks, first, beside)
         assert changed[0] == 4 * 900 and all(0 < c < 1800 for c in changed[1:])
@@ -82,7 +82,7 @@ def test_only_changes_are_shuffled(spark):
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert "Join" in plan and "Exchange" not in plan
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("vector_codes_")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("beside_")]
 
 
 def test_large_components():

@@ -11,7 +11,6 @@ of numbers, whatever the table's size.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.skew import look_up
 from weftgraph.llm.workers import task
-from weftgraph.session import Scratch, cut
+from weftgraph.session import Beside, Scratch, cut
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Vectors of a block.
@@ -111,28 +110,7 @@ def _coded(codebooks: np.ndarray):
     return task(coded)
 
 
-class _Beside:
-    """Tables dealt out by ``block`` into as many files, so that joins on it need no shuffle."""
-
-    def __init__(self, scratch: Scratch):
-        self.spark, self.scratch, self.names = scratch.spark, scratch, []
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def __enter__(self) -> _Beside:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-    def table(self, df: DataFrame) -> DataFrame:
-        name = f"vector_codes_{uuid.uuid4().hex}"
-        self.names.append(name)
-        df.write.bucketBy(self.buckets, "block").sortBy("block").option("path", f"{self.scratch.folder}/{name}").saveAsTable(name)
-        return self.spark.table(name)
-
-
-def lloyd(blocks: DataFrame, first: np.ndarray, beside: _Beside, rounds: int = ROUNDS) -> tuple[np.ndarray, list[int]]:
+def lloyd(blocks: DataFrame, first: np.ndarray, beside: Beside, rounds: int = ROUNDS) -> tuple[np.ndarray, list[int]]:
     """Codebooks (part, entry, position) after ``rounds`` rounds, and the changed parts of each round."""
     codebooks = first.copy()
     sums, counts = np.zeros(first.shape, np.int64), np.zeros(first.shape[:2], np.int64)
@@ -140,7 +118,7 @@ def lloyd(blocks: DataFrame, first: np.ndarray, beside: _Beside, rounds: int = R
     for _ in range(rounds):
         rows = blocks.select("block", "vectors")
         rows = rows.withColumn("codes", F.lit(None).cast("binary")) if before is None else rows.join(before, "block")
-        now = beside.table(rows.mapInArrow(_assigned(codebooks), ROUND_DDL))
+        now = beside.table(rows.mapInArrow(_assigned(codebooks), ROUND_DDL), "block", dealt=True)
         deltas = now.where("block is null").select("part", "entry", "count", F.posexplode("sums").alias("position", "value"))
         plus = 0
         for r in deltas.groupBy("part", "entry", "position").agg(F.sum("count").alias("count"), F.sum("value").alias("value")).collect():
@@ -172,13 +150,13 @@ def compress(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         raise ValueError(f"vectors of {width} components can't be cut into {PARTS} equal parts")
     first = [r["v"] for r in kept.orderBy(F.col("i").asc_nulls_last(), "v").limit(ENTRIES).collect()]
     kind = rows.schema[label].dataType.simpleString()
-    with Scratch(rows.sparkSession) as scratch, _Beside(scratch) as beside:
+    with Scratch(rows.sparkSession) as scratch, Beside(scratch) as beside:
         if not first:
             empty = F.lit(None)
             return kept.where("false").select(F.col("i").alias("vec_id"), empty.cast("string").alias("code"), empty.cast("long").alias("error"), empty.cast("long").alias("label_error"), empty.cast("string").alias("codebooks_sha256"))
         start = np.floor(np.array(first, np.float64) * SCALE).astype(np.int64).reshape(len(first), PARTS, width // PARTS).transpose(1, 0, 2)
         blocks = kept.mapInArrow(_blocks(width), f"block string, ids array<long>, labels array<{kind}>, vectors binary")
-        blocks = beside.table(blocks.repartition(beside.buckets, "block"))
+        blocks = beside.table(blocks, "block")
         codebooks, _ = lloyd(blocks, start, beside, rounds)
         coded = scratch.table(blocks.select("ids", "labels", "vectors").mapInArrow(_coded(codebooks), f"vec_id long, label {kind}, code string, error long").withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("null"))))
         index = scratch.table(coded.groupBy("key").agg(F.sum("error").alias("label_error"), F.count("*").alias("size")))
@@ -192,8 +170,8 @@ def _oracle() -> str:
     """The rounds unrolled, all distances recomputed in each."""
     steps = [
         """kept AS MATERIALIZED (
-    SELECT vec_id, label, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v
-    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), parts AS MATERIALIZED (
     SELECT vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p)
 ), c0 AS MATERIALIZED (
@@ -218,7 +196,7 @@ def _oracle() -> str:
     return f"""WITH {", ".join(steps)}, coded AS (
     SELECT vec_id, string_agg(printf('%02x', k % 256), '' ORDER BY p) AS code, CAST(sum(k // 256) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY vec_id
 ), digest AS (
-    SELECT sha256(string_agg(array_to_string(list_transform(c, y -> CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS d FROM c{ROUNDS}
+    SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS d FROM c{ROUNDS}
 )
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256
 FROM coded JOIN kept USING (vec_id), digest
