@@ -1,7 +1,9 @@
 """Symbol names, truth, constraints, audits, comparisons, documents."""
 
 import json
+import random
 
+import plain_brackets
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from weftgraph.sources import documents, layout, sinks
     [("core::fmt::write", "core"), ("<app::Thing as core::fmt::Debug>::fmt", "app"), ("<&T as core::fmt::Debug>::fmt", "core"), ("main", None), ("<unclosed::x", None), ("<alloc::vec::Vec<T> as billing::Local>::m", "billing"), (None, None)],
 )
 def test_owner(spark, name, owner):
-    assert symbols.owner_of(name) == owner
+    assert plain_brackets.owner_of(name) == owner
     assert spark.createDataFrame([(name,)], "n string").select(symbols.symbol_owner(F.col("n"))).first()[0] == owner
 
 
@@ -27,16 +29,32 @@ def test_owner(spark, name, owner):
         ("a::f::<Vec<u8>, B<C>>::g::<D>", "a::f::g"), ("a::f::<open", "a::f"), ("<alloc::vec::Vec<T> as b::L>::m", "<alloc::vec::Vec<T> as b::L>::m"),
     ],
 )
-def test_origin(name, origin):
-    assert symbols.origin_of(name) == origin
+def test_origin(spark, name, origin):
+    assert plain_brackets.origin_of(name) == origin
+    assert spark.createDataFrame([(name,)], "n string").select(symbols.normalise_origin(F.col("n"))).first()[0] == origin
 
 
 @pytest.mark.parametrize(
     ("name", "origin"),
     [("core::ptr::drop_in_place<T>", "core::ptr::drop_in_place"), ("<alloc::vec::Vec<T> as b::L>::m", "<alloc::vec::Vec as b::L>::m"), ("a::f<B<C>>::g", "a::f::g"), ("a::f<open", "a::f<open"), ("x::<A as B>", "x"), ("<<A<T> as B<U>>::C as D<E<F>>>::m::<G>", "<<A as B>::C as D>::m"), ("a<b<c>", "a<b"), ("f(<A as B<C>>::d, e<g>)", "f(<A as B>::d, e)"), ("a>b<c>d", "a>bd"), ("<&T<u8> as X>::y<Z<W>>::h0123456789abcdef", "<&T as X>::y")],
 )
-def test_catalog_origin(name, origin):
-    assert symbols.catalog_origin_of(name) == origin
+def test_catalog_origin(spark, name, origin):
+    assert plain_brackets.catalog_origin_of(name) == origin
+    assert spark.createDataFrame([(name,)], "n string").select(symbols.normalise_catalog_origin(F.col("n"))).first()[0] == origin
+
+
+def test_brackets_of_random_names(spark):
+    """Folds over tokens against plain Python, on names with unclosed, nested and stray brackets; no Python in the plan."""
+    rng = random.Random(7)
+    pieces = ["<", "<", ">", ">", "::<", "::", " as ", " ", "impl ", " for ", "core", "app", "é", "std::", "x", "::h0123456789abcdef", "::::", "&", "\t", "𝒳"]
+    names = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 16))) for _ in range(1500)] + ["", None]
+    functions = {"owner": symbols.symbol_owner, "origin": symbols.normalise_origin, "catalog": symbols.normalise_catalog_origin, "probe": symbols.probe_origin}
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", *[f(F.col("n")).alias(k) for k, f in functions.items()])
+    assert "Python" not in spark.range(1).select(*[f(F.col("id").cast("string")).alias(k) for k, f in functions.items()])._jdf.queryExecution().toString()
+    plain = {"owner": plain_brackets.owner_of, "origin": plain_brackets.origin_of, "catalog": plain_brackets.catalog_origin_of, "probe": plain_brackets.outside_brackets}
+    for r in df.collect():
+        if r["n"] is not None:
+            assert {k: r[k] for k in plain} == {k: f(r["n"]) for k, f in plain.items()}, r["n"]
 
 
 def syms(spark, rows):
