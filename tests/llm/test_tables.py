@@ -120,6 +120,14 @@ def test_chat_linking(spark):
     assert all(json.loads(r["json"]) for r in got) and got[-1]["json"] == '{"content":"{broken","role":"assistant","type":"message"}'
 
 
+def test_chat_rows_without_keys(spark):
+    """Calls without an identifier, and rows without a conversation, link with nothing, however many there are."""
+    call = lambda i: json.dumps({"content": "x", "tool_calls": [{"id": i, "name": "search", "arguments": '{"query":"a"}'}]})
+    rows = [(None, i, "assistant", call("a")) for i in range(40)] + [(None, i, "tool", json.dumps({"tool_call_id": "a", "content": "r"})) for i in range(40)] + [(1, i, "assistant", call(None)) for i in range(40)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    assert {(r["kind"], r["status"], r["count"]) for r in got.groupBy("kind", "status").count().collect()} == {("message", "plain", 80), ("call", "unanswered", 80), ("result", "orphan", 40)}
+
+
 def test_chat_edges(spark):
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.format_chats(empty).count() == 0

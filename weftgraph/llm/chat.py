@@ -76,6 +76,14 @@ def _with_positions(events: DataFrame, order: list[str]) -> DataFrame:
     return look_up(spread, index, "conv__", "size__", total).withColumn("position", (F.col("global__") - F.col("first__")).cast("long"))
 
 
+def _with_owners(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """``rows`` hash-joined to the call that owns their identifier. Rows without a full key meet nothing and stay where they are."""
+    full = "conv_id is not null and call_id is not null"
+    joined = rows.where(full).join(owners, ["conv_id", "call_id"], "left")
+    kinds = dict(owners.dtypes)
+    return joined.unionByName(rows.where(f"not ({full})").select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("owner", "replies")]))
+
+
 def format_chats(chats: DataFrame, tools: DataFrame | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per event: EVENT_COLUMNS.
 
@@ -87,8 +95,7 @@ def format_chats(chats: DataFrame, tools: DataFrame | None = None, conv_id: str
     that is no JSON object of the two shapes is plain. Ties in a turn are ordered by role and text; repeated rows are
     events of their own. An empty table gives no rows. Other columns are not read.
     """
-    spark = chats.sparkSession
-    tools = spark.createDataFrame(TOOLS, TOOLS_DDL) if tools is None else tools
+    tools = tool_schemas(chats.sparkSession, TOOLS) if tools is None else tools
     fields = tools.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("field", "kind", "required"))).alias("fields"))  # a row a tool
     said = chats.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.col(text).alias("text"))
     shaped = F.col("role").isin("assistant", "tool") & F.ltrim("text").startswith("{")
@@ -101,10 +108,10 @@ def format_chats(chats: DataFrame, tools: DataFrame | None = None, conv_id: str
     results = said.where(is_result).select("conv_id", "turn", "role", "text", "row", F.col("m.tool_call_id").alias("call_id"), F.col("m.content").alias("content"))
     place = F.struct("turn", "row", "seq")
     owners = calls.where("call_id is not null and conv_id is not null").groupBy("conv_id", "call_id").agg(F.min(place).alias("owner"))
-    replies = results.groupBy("conv_id", "call_id").agg(F.count("*").alias("replies"))
-    owners = owners.join(replies.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    replies = results.where("conv_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("replies"))
+    owners = owners.join(replies, ["conv_id", "call_id"], "left")
 
-    calls = calls.join(owners.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(fields, "tool", "left")
+    calls = _with_owners(calls, owners).join(fields, "tool", "left")
     status = F.when(F.col("owner").isNotNull() & (F.col("owner") != place), "repeated").when(F.col("replies") > 0, "answered").otherwise("unanswered")
     parsed = F.try_parse_json("arguments")
     arguments = F.coalesce(parsed, F.try_parse_json(F.to_json(F.array("arguments"))))
@@ -113,7 +120,7 @@ def format_chats(chats: DataFrame, tools: DataFrame | None = None, conv_id: str
         "conv_id", "turn", F.lit("call").alias("kind"), "role", "call_id", "tool", status.alias("status"), _errors(F.col("arguments"), parsed, F.col("fields")).alias("errors"), as_call.alias("json"),
         F.col("turn").alias("at_turn"), F.lit(0).alias("phase"), "text", "row", "seq",
     )
-    results = results.join(owners.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    results = _with_owners(results, owners)
     late = F.col("owner").isNotNull() & (F.coalesce(F.col("turn"), F.lit(-1)) <= F.col("owner.turn"))
     as_result = F.to_json(F.struct(F.col("content").alias("content"), F.col("call_id").alias("id"), F.lit("result").alias("type")))
     result_events = results.select(
@@ -132,8 +139,31 @@ def format_chats(chats: DataFrame, tools: DataFrame | None = None, conv_id: str
 
 
 def tool_schemas(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """A schema table from (tool, field, kind, required) rows."""
-    return spark.createDataFrame(rows, TOOLS_DDL)
+    """A schema table from (tool, field, kind, required) rows; from literals, for rows of Python would start Python workers."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("tool", "field", "kind", "required"), row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def with_tools(chats: DataFrame) -> DataFrame:
+    """Conversations as agents have them: an assistant's turns call tools, the next turns answer some of them.
+
+    Of an assistant's turn the remainder by 5 decides: 0 to 2 calls one of three tools, rightly or not; 3 calls two; 4 none.
+    The turn after it answers the first call, if its own remainder by 7 isn't 0; an answer to a turn that called nothing
+    is an orphan.
+    """
+    turn, said = F.col("turn"), F.col("text")
+    call = lambda suffix, name, arguments: F.struct(F.concat(F.lit("c"), turn.cast("string"), F.lit(suffix)).alias("id"), F.lit(name).alias("name"), arguments.alias("arguments"))
+    number = turn.cast("string")
+    search = call("", "search", F.concat(F.lit('{"query":"q'), number, F.lit('","limit":'), number, F.lit("}")))
+    wrong = call("", "search", F.concat(F.lit('{"limit":"'), number, F.lit('","page":1}')))
+    unknown = call("", "erase", F.lit('{"all":true}'))
+    second = call("b", "calculate", F.concat(F.lit('{"expression":"'), number, F.lit('+1"}')))
+    kind = turn % 5
+    calls = F.when(kind == 0, F.array(search)).when(kind == 1, F.array(wrong)).when(kind == 2, F.array(unknown)).when(kind == 3, F.array(search, second))
+    asks = (F.col("role") == "assistant") & (kind != 4)
+    answers = (F.col("role") != "assistant") & (turn > 0) & (turn % 7 != 0)
+    texts = F.when(asks, F.to_json(F.struct(said.alias("content"), calls.alias("tool_calls")))).when(answers, F.to_json(F.struct(F.concat(F.lit("c"), (turn - 1).cast("string")).alias("tool_call_id"), said.alias("content")))).otherwise(said)
+    return chats.select("conv_id", "turn", F.when(answers, "tool").otherwise(F.col("role")).alias("role"), texts.alias("text"))
 
 
 #: For tables without tool calls, which the test tables are: every row is a plain message.
@@ -143,3 +173,23 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRS
     CAST(NULL AS VARCHAR) AS errors, CAST(json_object('content', text, 'role', coalesce(role, 'unknown'), 'type', 'message') AS VARCHAR) AS json
 FROM conversations
 """
+
+#: For ``with_tools``: what each event is follows from its turn's number.
+TOOLS_SQL = """
+WITH c AS (SELECT conv_id, turn, role, text, role = 'assistant' AND turn % 5 <> 4 AS asks, role <> 'assistant' AND turn > 0 AND turn % 7 <> 0 AS answers FROM conversations),
+calls AS (
+    SELECT conv_id, turn, 1 AS seq, concat('c', turn) AS call_id, CASE WHEN turn % 5 = 2 THEN 'erase' ELSE 'search' END AS tool,
+        CASE turn % 5 WHEN 1 THEN 'limit: not integer; page: unexpected; query: missing' WHEN 2 THEN 'tool: unknown' ELSE '' END AS errors,
+        CASE turn % 5 WHEN 1 THEN concat('{"limit":"', turn, '","page":1}') WHEN 2 THEN '{"all":true}' ELSE concat('{"limit":', turn, ',"query":"q', turn, '"}') END AS arguments
+    FROM c WHERE asks
+    UNION ALL SELECT conv_id, turn, 2, concat('c', turn, 'b'), 'calculate', '', concat('{"expression":"', turn, '+1"}') FROM c WHERE asks AND turn % 5 = 3
+), events AS (
+    SELECT conv_id, turn, 0 AS seq, 'message' AS kind, role, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS tool, 'plain' AS status, CAST(NULL AS VARCHAR) AS errors,
+        CAST(json_object('content', text, 'role', role, 'type', 'message') AS VARCHAR) AS json FROM c WHERE NOT answers
+    UNION ALL SELECT conv_id, turn, seq, 'call', 'assistant', call_id, tool, CASE WHEN EXISTS (SELECT 1 FROM c WHERE answers AND c.conv_id = calls.conv_id AND concat('c', c.turn - 1) = calls.call_id) THEN 'answered' ELSE 'unanswered' END, errors,
+        concat('{"arguments":', arguments, ',"id":"', call_id, '","name":"', tool, '","type":"call"}') FROM calls
+    UNION ALL SELECT conv_id, turn, 0, 'result', 'tool', concat('c', turn - 1), NULL, CASE WHEN EXISTS (SELECT 1 FROM calls WHERE calls.conv_id = c.conv_id AND calls.call_id = concat('c', c.turn - 1)) THEN 'linked' ELSE 'orphan' END, NULL,
+        CAST(json_object('content', text, 'id', concat('c', turn - 1), 'type', 'result') AS VARCHAR) FROM c WHERE answers
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, seq) - 1 AS position, turn, kind, role, call_id, tool, status, errors, json FROM events
+"""

@@ -47,6 +47,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("errors", F.array_join("errors", "; "))
 
 
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op9`` on conversations whose turns call tools and answer."""
+    events = chat.format_chats(chat.with_tools(table(spark, sf_dir, "conversations")))
+    return events.withColumn("errors", F.array_join("errors", "; "))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_html_text": op7_html_text,
         "op8_near_dedup": op8_near_dedup,
         "op9_chat_format": op9_chat_format,
+        "chat_tool_calls": chat_tool_calls,
         "op10_sharding": op10_sharding,
         "op11_suffix_dedup": op11_suffix_dedup,
         "op12_lexical_search": op12_lexical_search,
@@ -85,6 +92,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_chat_format": chat.ORACLE_SQL,
+        "chat_tool_calls": chat.TOOLS_SQL,
         "op12_lexical_search": lexical_search.ORACLE_SQL,
         "op13_vector_codes": vector_codes.ORACLE_SQL,
     }

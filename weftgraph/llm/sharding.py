@@ -14,6 +14,7 @@ Because a cut is a hash value, a row finds its shard by comparing its own hash w
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -60,7 +61,8 @@ def _ranges(groups: DataFrame, atoms: list[tuple] | None) -> list[tuple]:
         inside = groups
     else:
         spark = groups.sparkSession
-        split = spark.createDataFrame([(a[0] >> (64 - a[1]), a[1]) for a in atoms], "top long, bits int")
+        listed = json.dumps([{"top": a[0] >> (64 - a[1]), "bits": a[1]} for a in atoms])
+        split = spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<top:bigint,bits:int>>")))  # no Python rows
         widths = sorted({a[1] for a in atoms})
         inside = groups.select("h", "size", F.explode(F.array(*[F.struct(F.shiftright("h", 64 - w).alias("top"), F.lit(w).alias("bits")) for w in widths])).alias("r"))
         inside = inside.select("h", "size", "r.top", "r.bits").join(F.broadcast(split), ["top", "bits"], "left_semi")  # a few thousand ranges at most
