@@ -125,13 +125,14 @@ def refine(
 
     A partition only ever gets finer, so it is stable when nothing splits. ``rounds`` counts the confirming round; given
     as an argument it is the most rounds, and a partition cut short isn't certified. The driver sees whether something
-    split; everything else stays distributed, and each round's colours are a reliable checkpoint. ``bits`` under 128 is
+    split; everything else stays distributed, and each round's colours are a table of the shared folder (unlike a
+    checkpoint it has statistics, so joins of small tables need no shuffle). ``bits`` under 128 is
     for tests of colliding digests: the partition is the same, rounds may differ. ``digested`` gets the nodes that each
     round digested.
     """
     with Scratch(nodes.sparkSession) as scratch, Beside(scratch) as beside:
         layout = _Layout(edges, beside)
-        colors = cut(seeds(nodes, edges, modes, exact=True).withColumn("sign", F.lit("")))
+        colors = scratch.table(seeds(nodes, edges, modes, exact=True).withColumn("sign", F.lit("")))
         counted, history, moved, number = [_classes(colors, 0)], [colors.withColumn("round", F.lit(0))], None, 0
         while rounds is None or number < rounds:
             number += 1
@@ -139,8 +140,8 @@ def refine(
             if digested is not None:
                 digested.append(active.count())
             signs = _signed(active, colors, layout, bits)
-            colors = cut(colors.join(signs, [*GRAPH, "id"], "left").withColumn("sign", F.coalesce("now", "sign")).drop("now"))
-            parts = cut(colors.groupBy(*GRAPH, "color", "sign").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+            colors = scratch.table(colors.join(signs, [*GRAPH, "id"], "left").withColumn("sign", F.coalesce("now", "sign")).drop("now"))
+            parts = scratch.table(colors.groupBy(*GRAPH, "color", "sign").agg(F.count("*").alias("n"), F.min("id").alias("first")))
             counted.append(parts.groupBy(*GRAPH).agg(F.count("*").alias("classes")).withColumn("round", F.lit(number)))
             keeps = parts.groupBy(*GRAPH, "color").agg(F.count("*").alias("parts"), F.max(F.struct("n", "first")).alias("keeps")).where("parts > 1")
             leaving = parts.join(keeps, [*GRAPH, "color"]).where("first <> keeps.first").select(*GRAPH, "color", "sign", F.concat(F.lit(f"{number}:"), "first").alias("new"))
@@ -152,17 +153,18 @@ def refine(
                 named = wrong.groupBy(*GRAPH, "color").agg(F.concat(F.lit(f"{number}!"), F.min("id")).alias("new"))
                 joined = colors.join(wrong.join(named, [*GRAPH, "color"]).select(*GRAPH, "id", "new"), [*GRAPH, "id"], "left")
             if joined is not None:
-                joined = cut(joined)
+                joined = scratch.table(joined)
                 moved = joined.where("new is not null").select(*GRAPH, "id")
                 colors = joined.select(*GRAPH, "id", "scored", "no_callee", F.coalesce("new", "color").alias("color"), "sign")
             if trace:
                 history.append(colors.withColumn("round", F.lit(number)))
             if joined is None:
                 break
-        every = cut(reduce(DataFrame.unionByName, counted))
+        every, colors = cut(reduce(DataFrame.unionByName, counted)), cut(colors.drop("sign"))
+        history = cut(reduce(DataFrame.unionByName, history).drop("sign")) if trace else None
     last = every.groupBy(*GRAPH).agg(F.max("classes").alias("classes"))
     first = every.join(last, [*GRAPH, "classes"]).groupBy(*GRAPH).agg((F.min("round") + 1).cast("int").alias("rounds"))
-    return colors.drop("sign"), first, reduce(DataFrame.unionByName, history).drop("sign") if trace else None
+    return colors, first, history
 
 
 def _classes(colors: DataFrame, number: int) -> DataFrame:
