@@ -8,8 +8,6 @@ one stays, also of repeated rows; ties go to the smallest doc_id. An empty table
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import exact_dedup, near_dedup, packing, quality, toxicity
