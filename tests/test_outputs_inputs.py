@@ -149,6 +149,13 @@ def test_nested_keys(spark):
     }
 
 
+def test_nested_keys_walk_documents_once(spark, capsys):
+    """One pass: no level reads or parses the documents again."""
+    checks.violations_nested_keys(spark.createDataFrame([("g", json.dumps(GOOD))], "graph_id string, json string")).explain()
+    plan = capsys.readouterr().out
+    assert "Union" not in plan and plan.count("Scan") == 1
+
+
 def test_edge_policy(spark):
     rows = [("a", ["direct"]), ("b", []), ("c", None), ("d", ["x", "x"]), ("e", ["x", ""]), ("f", ["x", None])]
     docs = spark.createDataFrame([(g, (p,)) for g, p in rows], "graph_id string, analysis struct<edge_policy:array<string>>")

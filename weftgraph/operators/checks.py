@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftgraph.schemas import ABSTAIN_REASON, ANCHOR_KINDS, BOUNDARY_MODES, INDIRECT, INFERRED, KINDS, NESTED_KEYS, OPERANDS, RESOLVERS, STAGES, STATUSES, TOP_KEYS
 
-from weftgraph.session import cut
-
 
 def _broken(df: DataFrame, rule: str, test: Column, key: Column) -> DataFrame:
     """Rows that fail a test; null counts as failing."""
@@ -241,41 +239,63 @@ def violations_top_level(documents: DataFrame, json: str = "json") -> DataFrame:
     return _all([*parts, unknown.select("graph_id", F.lit("unsupported version").alias("rule"), F.get_json_object(json, "$.schema_version").alias("key"))])
 
 
-def _members(objects: DataFrame, name: str, listed: bool) -> tuple[DataFrame, DataFrame]:
-    """(what a member holds, by path; violations) of ``objects`` (graph_id, version, path, v); lists row by row."""
-    at = F.concat_ws(".", "path", F.lit(name))
-    held = objects.select("graph_id", "version", at.alias("path"), F.variant_get("v", f"$.{name}", "variant").alias("v")).where("v is not null")
-    if not listed:
-        return held, held.limit(0).select("graph_id", F.lit("").alias("rule"), F.lit("").alias("key"))
-    is_list = F.schema_of_variant("v").startswith("ARRAY")
-    bare = held.where(~is_list).select("graph_id", F.lit("not a list").alias("rule"), F.col("path").alias("key"))
-    every = held.sparkSession.sql("SELECT h.graph_id, h.version, concat(h.path, '[', e.pos, ']') AS path, e.value AS v FROM {held} h, LATERAL variant_explode(h.v) e", held=held.where(is_list))
-    return every, bare
+_FAULTS = "array<struct<rule:string,key:string>>"
+
+
+def _faults(rule: str, names: Column, place) -> Column:
+    """A fault for each of the names, none where they are null."""
+    return F.coalesce(F.transform(names, lambda n: F.struct(F.lit(rule).alias("rule"), place(n).alias("key"))), F.array().cast(_FAULTS))
+
+
+def _at(rule: str, key: Column) -> Column:
+    return F.array(F.struct(F.lit(rule).alias("rule"), key.alias("key")))
+
+
+def _in_list(member: Column, version: Column, at: Column, path: str) -> Column:
+    """Faults of a list's objects, or that it is none."""
+    each = lambda x, i: _in_object(x, version, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), path)
+    return _once(F.try_variant_get(member, "$", "array<variant>"), lambda items: F.when(items.isNull(), _at("not a list", at)).otherwise(F.flatten(F.transform(items, each))))
+
+
+def _in_object(v: Column, version: Column, at: Column | None = None, path: str = "") -> Column:
+    """Faults (_FAULTS) of an object ``v`` that lies at ``at``: of its own keys, NESTED_KEYS' of ``path``, and of what it holds."""
+    none, known = F.array().cast(_FAULTS), next((keys for p, _, keys in NESTED_KEYS if p == path), {})
+    place = lambda name: name if at is None else F.concat_ws(".", at, name)
+    wanted = reduce(lambda so_far, n: F.when(version >= n, F.array(*map(F.lit, known[n]))).otherwise(so_far), sorted(known), F.lit(None).cast("array<string>"))
+
+    def of(held: Column) -> Column:
+        found, has = [none], F.map_keys(held)
+        if known:
+            differ = F.concat(_faults("missing key", F.array_except(wanted, has), place), _faults("unexpected key", F.array_except(has, wanted), place))
+            found.append(F.when(has == F.sort_array(wanted), none).otherwise(differ))  # a variant's keys are sorted, so good objects end here
+        for child, kind, _ in NESTED_KEYS:
+            above, _, name = child.rpartition(".")
+            if above == path:
+                inside = (_in_list if kind == "list" else _in_object)(held[name], version, place(F.lit(name)), child)
+                found.append(F.when(held[name].isNull(), none).otherwise(inside))
+        return F.concat(*found)
+
+    other = F.when(version >= min(known), _at("not an object", at)).otherwise(none) if known else none
+    return _once(F.try_variant_get(v, "$", "map<string,variant>"), lambda held: F.when(held.isNull(), other).otherwise(of(held)))
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
 
 
 def violations_nested_keys(documents: DataFrame, json: str = "json") -> DataFrame:
     """Objects inside graph documents (graph_id, json) have exactly their keys; ``key`` is the path, such as nodes[3].calls[0].count.
 
-    A table with an explicit schema would drop a foreign key and read a misspelt one as null. So documents are parsed once
-    as variants, lists are exploded as lateral tables, level by level, and each object's own keys are held against those of
-    its path and version. A member that isn't there is a missing key of its parent, and not descended into; a member of the
-    wrong kind is a violation itself. Documents of other versions are left to ``violations_top_level``.
+    A table with an explicit schema would drop a foreign key and read a misspelt one as null. So a document is parsed once
+    as a variant and walked once, in the task that has it: an object is a map of variants there, whose keys are held against
+    those of its path and version. A member that isn't there is a missing key of its parent, and not descended into; a
+    member of the wrong kind is a violation itself. Documents of other versions are left to ``violations_top_level``.
     """
     version = F.get_json_object(json, "$.schema_version").try_cast("int")
-    roots = documents.select("graph_id", version.alias("version"), F.lit(None).cast("string").alias("path"), F.try_parse_json(json).alias("v")).where(F.col("version").isin(*TOP_KEYS) & F.col("v").isNotNull())
-    levels, parts = {"": cut(roots)}, []
-    for path, kind, keys in NESTED_KEYS:
-        above, _, name = path.rpartition(".")
-        every, bare = _members(levels[above], name, kind == "list")
-        is_object = F.schema_of_variant("v").startswith("OBJECT")
-        levels[path] = every.where(is_object)
-        wanted = reduce(lambda so_far, v: F.when(F.col("version") >= v, F.array(*map(F.lit, keys[v]))).otherwise(so_far), sorted(keys), F.lit(None).cast("array<string>"))
-        closed = levels[path].select("graph_id", "path", wanted.alias("wanted"), F.json_object_keys(F.to_json("v")).alias("has")).where("wanted is not null")
-        known = F.col("version") >= min(keys)
-        parts += [bare, every.where(~is_object & known).select("graph_id", F.lit("not an object").alias("rule"), F.col("path").alias("key"))]
-        for rule, found in (("missing key", F.array_except("wanted", "has")), ("unexpected key", F.array_except("has", "wanted"))):
-            parts.append(closed.select("graph_id", F.lit(rule).alias("rule"), F.explode(found).alias("name"), "path").select("graph_id", "rule", F.concat_ws(".", "path", "name").alias("key")))
-    return _all(parts)
+    faults = _once(version, lambda n: F.when(n.isin(*TOP_KEYS), _in_object(F.try_parse_json(json), n)))
+    rows = documents.select("graph_id", F.explode_outer(faults).alias("fault"))  # outer: else the walk is run once more, as a filter
+    return rows.where("fault is not null").select("graph_id", "fault.rule", "fault.key")
 
 
 def violations_edge_policy(docs: DataFrame) -> DataFrame:
