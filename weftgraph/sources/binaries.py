@@ -89,12 +89,13 @@ def linked_targets(links: DataFrame) -> DataFrame:
     """(path, slot, target) of relocation entries that have one, from ``links`` (_LINKS_DDL).
 
     A relative entry points to its addend; one by symbol to the symbol's value plus the addend, if its table defines the
-    symbol; other kinds point nowhere known. Symbols are joined, not looked up in a file's memory.
+    symbol; other kinds point nowhere known. Symbols are joined, not looked up in a file's memory, and both sides are
+    dealt out: a file's size says little about how many symbols it makes, so they aren't for the driver to broadcast.
     """
     entries = links.where("not is_symbol")
     symbols = links.where("is_symbol").select("path", "section", "symbol", F.col("value").alias("base"))
     relative = entries.where(F.col("kind") == RELATIVE).select("path", "slot", F.col("value").alias("target"))
-    named = entries.where(F.col("kind").isin(*BY_SYMBOL)).join(symbols, ["path", "section", "symbol"])
+    named = entries.where(F.col("kind").isin(*BY_SYMBOL)).join(symbols.hint("merge"), ["path", "section", "symbol"])
     return relative.unionByName(named.select("path", "slot", F.expr("cast(cast(base as decimal(20)) + value as decimal(20))").alias("sum")).select("path", "slot", _wrapped(F.col("sum")).alias("target")))
 
 
