@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from weftgraph.plans import source_queries
 from weftgraph.sources import binaries
 
 
@@ -17,3 +20,13 @@ def test_symbols_are_not_broadcast(spark, capsys):
     assert [tuple(r) for r in found.collect()] == [("f", 8, 42)]
     plan = _plan(found, capsys)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_documents_span_few_keys(spark, tmp_path):
+    spark.createDataFrame([(0,), (1,)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    span = source_queries.SPAN
+    rows = spark.createDataFrame([(0, 1), (0, 2), (0, span), (7, 1)], "nation int, key bigint")
+    docs = source_queries._nations(spark, str(tmp_path), items=source_queries._list(rows, "nation", F.struct("key"), "key"))
+    got = sorted((r["graph_id"], r["json"]) for r in docs.collect())
+    start = '{"schema_version":6,"items":['
+    assert got == [("0", start + '{"key":1},{"key":2}]}'), ("0", start + '{"key":%d}]}' % span), ("1", start + "]}")]

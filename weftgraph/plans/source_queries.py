@@ -18,33 +18,55 @@ def _document(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select("graph_id", F.from_json("json", schema).alias("d")).select("graph_id", "d.*")
 
 
-def _list(rows: DataFrame, key: str, item, order: str, name: str) -> DataFrame:
-    """(key, name): items as JSON texts joined in an order."""
-    return rows.groupBy(F.col(key).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(item, {"ignoreNullFields": "false"}).alias("j")))), lambda x: x["j"]), ",").alias(name))
+#: Keys that a document spans at most: a nation with more has several, so none grows with the tables.
+SPAN = 4096
+
+
+def _part(key: str):
+    return F.floor(F.col(key) / SPAN)
+
+
+def _list(rows: DataFrame, key: str, item, order: str) -> DataFrame:
+    """(k, part, o, j): items as JSON texts, the document of each, and their order in it."""
+    return rows.select(F.col(key).cast("int").alias("k"), _part(order).alias("part"), F.col(order).cast("string").alias("o"), F.to_json(item, {"ignoreNullFields": "false"}).alias("j"))
 
 
 def _nations(spark, sf_dir, **lists: DataFrame) -> DataFrame:
-    """(graph_id, json): a document per nation with the lists, empty where a nation has none."""
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    for df in lists.values():
-        rows = rows.join(df, "k", "left")
-    parts = [F.concat(F.lit(f'"{name}":['), F.coalesce(name, F.lit("")), F.lit("]")) for name in lists]
-    return rows.select(F.col("k").cast("string").alias("graph_id"), F.concat(F.lit('{"schema_version":6,'), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
+    """(graph_id, json): documents of a nation, each with a span of the lists' items; a nation without items has one with empty lists."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
+    rows = nation.select("k", F.lit(0).cast("bigint").alias("part"), F.lit(None).cast("string").alias("o"), F.lit(None).cast("string").alias("j"), F.lit(None).cast("string").alias("name"))
+    for name, df in lists.items():
+        rows = rows.unionByName(df.join(nation, "k", "left_semi").withColumn("name", F.lit(name)))
+    docs = rows.groupBy("k", "part").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == n, F.struct("o", "j")))), lambda x: x["j"]), ",").alias(n) for n in lists])
+    parts = [F.concat(F.lit(f'"{n}":['), n, F.lit("]")) for n in lists]
+    return docs.select(F.col("k").cast("string").alias("graph_id"), F.concat(F.lit('{"schema_version":6,'), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
 
 
 def _graphs(spark, sf_dir) -> dict[str, DataFrame]:
-    """A nation's customers as nodes, each calling the suppliers of its key's remainder class."""
+    """A nation's customers as nodes, each calling the suppliers of its key's remainder class.
+
+    Customers of one class and span are a document, for they have the same calls: these are joined to documents, and only
+    rows of the tables are shuffled, no calls of customers. No side is for the driver to broadcast.
+    """
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    calls = supplier.groupBy((F.col("s_suppkey") % 50).alias("class"), "s_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("target"), (F.col("s_suppkey") % 3 + 1).alias("count")))).alias("calls"))
-    rows = customer.join(calls, (F.col("c_custkey") % 50 == F.col("class")) & (F.col("c_nationkey") == F.col("s_nationkey")), "left")
-    anchor = F.col("c_acctbal") < 0
-    item = F.struct(
-        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.when(anchor, "anchor").otherwise("user").alias("type"), (~anchor).alias("scored"), F.when(anchor, "context").alias("anchor_kind"), F.when(anchor, F.concat(F.lit("ADDR:"), "c_name")).alias("color_class"),
-        F.struct(F.size(F.coalesce("calls", F.array().cast("array<struct<target:string,count:bigint>>"))).alias("resolved_out_calls"), F.lit(0).alias("unresolved_indirect_out_callsites"), F.lit(None).cast("bigint").alias("address_taken_references"), F.lit(1).alias("resolved_in_callers")).alias("observability"),
-        F.coalesce("calls", F.array().cast("array<struct<target:string,count:bigint>>")).alias("calls"),
-    )
+    calls = supplier.groupBy((F.col("s_suppkey") % 50).alias("class"), F.col("s_nationkey").alias("c_nationkey")).agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("target"), (F.col("s_suppkey") % 3 + 1).alias("count")))).alias("calls"))
+    known = customer.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    rows = known.groupBy("c_nationkey", (F.col("c_custkey") % 50).alias("class"), F.floor(F.col("c_custkey") / (50 * SPAN))).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("customers"))
+    none = F.array().cast("array<struct<target:string,count:bigint>>")
+    rows = rows.join(calls.hint("merge"), ["c_nationkey", "class"], "left").withColumn("calls", F.coalesce("calls", none))
+
+    def node(c):
+        anchor = c["c_acctbal"] < 0
+        return F.struct(
+            F.concat(F.lit("C"), c["c_custkey"].cast("string")).alias("id"), F.when(anchor, "anchor").otherwise("user").alias("type"), (~anchor).alias("scored"), F.when(anchor, "context").alias("anchor_kind"), F.when(anchor, F.concat(F.lit("ADDR:"), c["c_name"])).alias("color_class"),
+            F.struct(F.size("calls").alias("resolved_out_calls"), F.lit(0).alias("unresolved_indirect_out_callsites"), F.lit(None).cast("bigint").alias("address_taken_references"), F.lit(1).alias("resolved_in_callers")).alias("observability"),
+            F.col("calls").alias("calls"),
+        )
+
+    nodes = F.to_json(F.transform("customers", node), {"ignoreNullFields": "false"})
+    nodes = rows.select(F.col("c_nationkey").cast("string").alias("graph_id"), F.concat(F.lit('{"schema_version":6,"nodes":'), nodes, F.lit(',"abstentions":[]}')).alias("json"))
     gone = supplier.where("s_acctbal < 0").select("s_nationkey", "s_suppkey", F.struct(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("abstain").alias("status"), F.col("s_name").alias("reason")).alias("item"))
-    docs = _nations(spark, sf_dir, nodes=_list(rows, "c_nationkey", item, "c_custkey", "nodes"), abstentions=_list(gone, "s_nationkey", F.col("item"), "s_suppkey", "abstentions"))
+    docs = nodes.unionByName(_nations(spark, sf_dir, abstentions=_list(gone, "s_nationkey", F.col("item"), "s_suppkey")))
     return documents.graphs(_document(docs, documents.FIXTURE))
 
 
@@ -69,8 +91,8 @@ def document_abstentions(spark, sf_dir):
 
 @query("""SELECT CAST(c_nationkey AS STRING) AS graph_id, c_mktsegment AS origin, c_name AS member FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)""")
 def document_truths(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.array_sort(F.collect_list("c_name")).alias("members"))
-    docs = _nations(spark, sf_dir, origins=_list(rows, "c_nationkey", F.struct(F.col("c_mktsegment").alias("origin"), "members"), "c_mktsegment", "origins"))
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment", _part("c_custkey").alias("part")).agg(F.array_sort(F.collect_list("c_name")).alias("members"), F.min("c_custkey").alias("c_custkey"))
+    docs = _nations(spark, sf_dir, origins=_list(rows, "c_nationkey", F.struct(F.col("c_mktsegment").alias("origin"), "members"), "c_mktsegment", "c_custkey"))
     return documents.truths(_document(docs, documents.TRUTH))["truth"]
 
 
@@ -79,8 +101,8 @@ def document_selections(spark, sf_dir):
     """Extents whose addresses are candidates, too."""
     supplier = table(spark, sf_dir, "supplier").withColumn("hex", to_hex(F.col("s_suppkey") + 4096))
     docs = _nations(
-        spark, sf_dir, addresses=_list(supplier.withColumn("hex", F.struct("hex")), "s_nationkey", F.col("hex"), "s_suppkey", "addresses"),
-        function_bounds=_list(supplier, "s_nationkey", F.struct(F.col("hex").alias("address"), (F.col("s_suppkey") % 7).alias("size")), "s_suppkey", "function_bounds"),
+        spark, sf_dir, addresses=_list(supplier.withColumn("hex", F.struct("hex")), "s_nationkey", F.col("hex"), "s_suppkey"),
+        function_bounds=_list(supplier, "s_nationkey", F.struct(F.col("hex").alias("address"), (F.col("s_suppkey") % 7).alias("size")), "s_suppkey"),
     )
     docs = docs.withColumn("json", F.regexp_replace("json", r'\{"hex":("[^"]*")\}', "$1"))
     found = documents.selections(_document(docs, documents.SELECTION))
@@ -96,7 +118,7 @@ def document_transfers(spark, sf_dir):
         to_hex(F.col("o_custkey")).alias("source"), to_hex(F.col("o_orderkey")).alias("callsite"), F.lit("call").alias("kind"), F.col("o_orderstatus").alias("status"), F.when(~urgent, to_hex(F.col("o_custkey") + 1)).alias("target"),
         F.when(urgent, F.array(to_hex(F.col("o_custkey")), to_hex(F.col("o_orderkey")))).otherwise(F.array().cast("array<string>")).alias("angr_targets"),
     )
-    found = documents.evidence(_document(_nations(spark, sf_dir, transfers=_list(rows, "c_nationkey", item, "o_orderkey", "transfers")), documents.RAW))["transfers"]
+    found = documents.evidence(_document(_nations(spark, sf_dir, transfers=_list(rows, "c_nationkey", item, "o_orderkey")), documents.RAW))["transfers"]
     return found.select("graph_id", "source", "callsite", "target", "status", F.size("indirect_targets").cast("bigint").alias("candidates"))
 
 
@@ -110,7 +132,7 @@ def _labels(spark, sf_dir) -> DataFrame:
     item = F.struct(to_hex(key * 16).alias("address"), to_hex(key * 16 + 4096).alias("mapped_address"), F.col("s_name").alias("name"), F.lit("o").alias("canonical_origin"), F.lit("std").alias("owner"), stage.alias("evidence"))
     rows, unmatched = table(spark, sf_dir, "supplier"), key % 4 == 0
     lists = {"matches": ~unmatched & (key % 3 == 0), "propagated_wrappers": ~unmatched & (key % 3 == 1), "cleanup_heuristics": ~unmatched & (key % 3 == 2), "unmatched_addresses": unmatched}
-    docs = _nations(spark, sf_dir, **{name: _list(rows.where(test), "s_nationkey", item, "s_suppkey", name) for name, test in lists.items()})
+    docs = _nations(spark, sf_dir, **{name: _list(rows.where(test), "s_nationkey", item, "s_suppkey") for name, test in lists.items()})
     return documents.label_rows(_document(docs, documents.LABELS))
 
 
