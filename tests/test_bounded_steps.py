@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from weftgraph.operators import casebook
 from weftgraph.plans import source_queries
 from weftgraph.sources import binaries
 
@@ -30,3 +33,11 @@ def test_documents_span_few_keys(spark, tmp_path):
     got = sorted((r["graph_id"], r["json"]) for r in docs.collect())
     start = '{"schema_version":6,"items":['
     assert got == [("0", start + '{"key":1},{"key":2}]}'), ("0", start + '{"key":%d}]}' % span), ("1", start + "]}")]
+
+
+def test_results_do_not_carry_their_document(spark, capsys):
+    docs = spark.createDataFrame([("p", '{"results":[{"case":"a","pairwise":{"TP":1}}],"run_summary":{}}')], "path string, json string")
+    rows = casebook.records(docs)
+    assert rows.count() == 1
+    carried = re.search(r"Generate posexplode\(.*?\), \[([^\]]*)\]", _plan(rows, capsys)).group(1)
+    assert [c.split("#")[0].strip() for c in carried.split(",")] == ["path", "s"]

@@ -25,7 +25,8 @@ IDENTITY = ("profile", "track", "anchor", "mode")
 
 def records(documents: DataFrame) -> DataFrame:
     """A row per result that has pairwise scores: case, identity, order, result ``r`` and summary ``s``. documents: (path, json)."""
-    rows = documents.select("path", F.from_json("json", DOCUMENT).alias("d")).select("path", F.posexplode("d.results").alias("place", "r"), F.col("d.run_summary").alias("s")).where("r.pairwise is not null")
+    parts = documents.select("path", F.from_json("json", DOCUMENT).alias("d")).select("path", F.col("d.results").alias("results"), F.col("d.run_summary").alias("s"))
+    rows = parts.select("path", F.posexplode("results").alias("place", "r"), "s").where("r.pairwise is not null")  # not out of ``d``: each row would hold all results
     named = rows.select(F.col("r.case").alias("case"), F.col("r.profile").alias("profile"), F.col("r.analysis.track").alias("track"), F.col("r.analysis.anchor_policy").alias("anchor"), F.col("r.mode").alias("mode"), "path", "place", "r", "s")
     return named.withColumn("at", F.struct(*[F.coalesce(rank_of(F.col(c), order), F.lit(99)).alias(c) for c, order in zip(IDENTITY, (PROFILES, TRACKS, POLICIES, MODES))], "path", "place"))
 

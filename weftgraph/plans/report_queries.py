@@ -8,6 +8,7 @@ from weftgraph.functions import scalars
 from weftgraph.operators import casebook, diagnostics, projection, refine, reports, scoring
 from weftgraph.plans import oracle
 from weftgraph.plans.queries import query
+from weftgraph.plans.source_queries import SPAN
 from weftgraph.schemas import ABSTAIN_REASON, MODES
 from weftgraph.session import table
 from weftgraph.sources.bridges import view
@@ -103,7 +104,7 @@ def scored_family_pairs(spark, sf_dir):
     return diagnostics.scored_family_pairs(labels, got["abstentions"]).select("pairs")
 
 
-# Result documents: a nation's customers as results
+# Result documents: a nation's customers as results, a span of keys in each, so that no document grows with the tables
 
 
 def _documents(spark, sf_dir):
@@ -113,9 +114,9 @@ def _documents(spark, sf_dir):
         '{"case":"n', n("c_nationkey"), '","profile":"', F.when(F.col("c_custkey") % 2 == 0, "min").otherwise("plain"), '","mode":"out","analysis":{"track":"', F.lower("c_mktsegment"), '"},"candidate_count":', n("c_custkey"), ',"pairwise":{"TP":', n("c_custkey"), ',"FP":', n("c_nationkey"),
         ',"precision":null},"origins":[{"total_pairs":', (F.col("c_custkey") % 3).cast("string"), ',"recovered_pairs":', (F.col("c_custkey") % 2).cast("string"), ',"abstained_instance_count":', (F.col("c_custkey") % 5).cast("string"), ',"total_target_pairs":4,"colliding_origins":[]}]}',
     )
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.struct("c_custkey", result.alias("json")).alias("r"))
-    lists = rows.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["json"]), ",").alias("list"))
-    return lists.select(F.concat(F.lit("n"), n("c_nationkey")).alias("path"), F.concat(F.lit('{"results":['), "list", F.lit('],"run_summary":{"candidate_observability":{"candidate_count":7,"reachable_from_root":3}}}')).alias("json"))
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.floor(F.col("c_custkey") / SPAN).alias("part"), F.struct("c_custkey", result.alias("json")).alias("r"))
+    lists = rows.groupBy("c_nationkey", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["json"]), ",").alias("list"))
+    return lists.select(F.concat(F.lit("n"), n("c_nationkey"), F.lit("/"), n("part")).alias("path"), F.concat(F.lit('{"results":['), "list", F.lit('],"run_summary":{"candidate_observability":{"candidate_count":7,"reachable_from_root":3}}}')).alias("json"))
 
 
 @query("""SELECT concat('n', CAST(c_nationkey AS STRING)) AS "case", CASE WHEN c_custkey % 2 = 0 THEN 'min' ELSE 'plain' END AS profile, lower(c_mktsegment) AS track, c_custkey AS tp, CAST(c_nationkey AS BIGINT) AS fp, CAST(1 AS DOUBLE) AS target_cov,
