@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import casebook
+from weftgraph.operators import casebook, evidence
 from weftgraph.plans import source_queries
 from weftgraph.sources import binaries
 
@@ -41,3 +41,13 @@ def test_results_do_not_carry_their_document(spark, capsys):
     assert rows.count() == 1
     carried = re.search(r"Generate posexplode\(.*?\), \[([^\]]*)\]", _plan(rows, capsys)).group(1)
     assert [c.split("#")[0].strip() for c in carried.split(",")] == ["path", "s"]
+
+
+def test_gaps_sort_instructions_once(spark, capsys):
+    ops = spark.createDataFrame([("g", 0, 0, 4), ("g", 0, 4, 4), ("g", 0, 9, 3), ("g", 64, 64, 64), ("g", 128, 128, 8), ("g", 5, 5, 1)], "graph_id string, source bigint, callsite bigint, length bigint")
+    functions = spark.createDataFrame([("g", a, 64, "symbol-oracle") for a in (0, 64, 128)], "graph_id string, address bigint, size bigint, boundary_source string")
+    found = evidence.decoding_gaps(ops, functions)
+    assert sorted(tuple(r) for r in found.collect()) == [("g", 0, 8), ("g", 0, 12), ("g", 128, 136)]
+    plan = _plan(found, capsys)
+    initial = plan.split("== Initial Plan ==")[-1]
+    assert initial.count("+- Sort [") + initial.count(":- Sort [") == 2  # the instructions', the extents'

@@ -49,12 +49,15 @@ def with_terminal(ops: DataFrame) -> DataFrame:
 
 
 def decoding_gaps(ops: DataFrame, functions: DataFrame) -> DataFrame:
-    """Functions whose extent isn't decoded without a gap: (graph_id, source, at)."""
+    """Functions whose extent isn't decoded without a gap: (graph_id, source, at).
+
+    Instructions are sorted once, before they meet the extents: the join takes them in that order.
+    """
     within = Window.partitionBy("graph_id", "source").orderBy("callsite")
     ends = F.col("callsite") + F.col("length")
     extents = functions.where("boundary_source = 'symbol-oracle' and size > 0").select("graph_id", F.col("address").alias("source"), (F.col("address") + F.col("size")).alias("stop"))
-    stepped = ops.join(extents, ["graph_id", "source"]).withColumn("next", F.coalesce(F.lead("callsite").over(within), F.col("stop")))
-    return stepped.where(ends != F.col("next")).select("graph_id", "source", ends.alias("at"))
+    stepped = ops.select("graph_id", "source", ends.alias("at"), F.lead("callsite").over(within).alias("next")).where("next is null or at <> next")
+    return stepped.join(extents.hint("merge"), ["graph_id", "source"]).where(F.col("at") != F.coalesce("next", "stop")).select("graph_id", "source", "at")
 
 
 def classify(ops: DataFrame, functions: DataFrame, relocations: DataFrame) -> DataFrame:
