@@ -28,12 +28,14 @@ def _doubled(jumps: DataFrame, level: int) -> DataFrame:
     return _two_of(jumps.join(on, ["graph_id", "node"]).where("far <> source").select("graph_id", "source", F.col("far").alias("node")), level)
 
 
-def frontiers(edges: DataFrame, seeds: DataFrame, universe: DataFrame | None = None) -> Iterator[DataFrame]:
+def frontiers(edges: DataFrame, seeds: DataFrame, universe: DataFrame | None = None, ready: bool = False) -> Iterator[DataFrame]:
     """The nodes (graph_id, node) that each round finds, seeds first; together each node once. For arguments see ``reachable``."""
-    edges = edges.select("graph_id", "source", F.col("target").alias("node")).where("source <> target").distinct()
+    edges = edges.select("graph_id", "source", F.col("target").alias("node")).where("source <> target")
     if universe is not None:
-        seeds, edges = seeds.join(universe, ["graph_id", "node"], "left_semi"), edges.join(universe, ["graph_id", "node"], "left_semi")
-    edges = cut(edges)
+        seeds = seeds.join(universe, ["graph_id", "node"], "left_semi")
+    if not ready:
+        edges = edges.distinct()
+        edges = cut(edges if universe is None else edges.join(universe, ["graph_id", "node"], "left_semi"))
     frontier = cut(seeds.select("graph_id", "node").distinct())
     seen, jumps, number = [frontier], None, 0
     follow = lambda ways, nodes: ways.join(nodes.withColumnRenamed("node", "source"), ["graph_id", "source"]).select("graph_id", "node")
@@ -52,14 +54,15 @@ def frontiers(edges: DataFrame, seeds: DataFrame, universe: DataFrame | None = N
             seen = [cut(reduce(DataFrame.unionByName, seen))]
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, universe: DataFrame | None = None, ready: bool = False) -> DataFrame:
     """(graph_id, node) reachable from ``seeds`` (graph_id, node), seeds included. edges: (graph_id, source, target).
 
-    Seeds outside ``universe`` are dropped; edges lead only into it. A round follows the edges of the newest nodes, so an
+    Seeds outside ``universe`` are dropped; edges lead only into it. ``ready``: edges are a table already, each once, and
+    lead into the universe anyway. A round follows the edges of the newest nodes, so an
     edge is followed once. After PLAIN rounds each one also doubles a set of shortcuts (at most two from a node, chosen by
     hash) and follows them from all nodes seen: a path of n steps ends after about PLAIN + log2(n) rounds, and where the
     choice misses a node, edges reach it as before. Frontiers stay tables of their own until PARTS of them are written as
     one. The loop ends when edges lead to nothing new; shortcuts only hasten it.
     """
-    found = list(frontiers(edges, seeds, universe))
+    found = list(frontiers(edges, seeds, universe, ready))
     return reduce(DataFrame.unionByName, found) if found else seeds.select("graph_id", "node").limit(0)

@@ -52,8 +52,8 @@ def _named(df: DataFrame, column: str, name: str = "address") -> DataFrame:
     return df.select("graph_id", F.col(column).alias(name)).distinct()
 
 
-def _closure(edges: DataFrame, seeds: DataFrame, universe: DataFrame) -> DataFrame:
-    return reachable(edges, seeds.withColumnRenamed("address", "node"), universe.withColumnRenamed("address", "node")).withColumnRenamed("node", "address")
+def _closure(edges: DataFrame, seeds: DataFrame, universe: DataFrame, ready: bool = False) -> DataFrame:
+    return reachable(edges, seeds.withColumnRenamed("address", "node"), universe.withColumnRenamed("address", "node"), ready).withColumnRenamed("node", "address")
 
 
 def unknown_candidates(functions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def project(functions: DataFrame, transfers: DataFrame, candidates: DataFrame, r
     to_candidate = graph.join(candidates.withColumnRenamed("address", "target"), ["graph_id", "target"], "left_semi")
     callers = _named(to_candidate, "source").join(roots, KEY, "left_anti")
     seeds = roots.union(candidates).union(callers) if rules.callers else roots.union(candidates)
-    provisional = _closure(graph, seeds, universe)
+    provisional = _closure(graph, seeds, universe, ready=True)  # all targets are in the universe
     shown = lambda side: provisional.withColumnRenamed("address", side)
     calls_shown = _named(others.join(shown("target"), ["graph_id", "target"], "left_semi"), "source")
     called_by_shown = _named(others.join(shown("source"), ["graph_id", "source"], "left_semi"), "target")
@@ -88,7 +88,7 @@ def project(functions: DataFrame, transfers: DataFrame, candidates: DataFrame, r
     incoming = _named(to_scored, "source").join(scored, KEY, "left_anti").join(roots, KEY, "left_anti")
     if not rules.callers:
         incoming = incoming.limit(0)
-    selected = cut(_closure(graph, scored.union(roots).union(incoming), universe).join(abstained, KEY, "left_anti"))
+    selected = cut(_closure(graph, scored.union(roots).union(incoming), universe, ready=True).join(abstained, KEY, "left_anti"))
 
     flag = lambda df, name: df.select(*KEY, F.lit(True).alias(name)).distinct()
     nodes = selected
