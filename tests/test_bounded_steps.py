@@ -6,8 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import casebook, evidence
+from weftgraph.operators import casebook, closure, evidence
 from weftgraph.plans import source_queries
+from weftgraph.session import cut
 from weftgraph.sources import binaries
 
 
@@ -51,3 +52,14 @@ def test_gaps_sort_instructions_once(spark, capsys):
     plan = _plan(found, capsys)
     initial = plan.split("== Initial Plan ==")[-1]
     assert initial.count("+- Sort [") + initial.count(":- Sort [") == 2  # the instructions', the extents'
+
+
+def test_ready_edges_are_not_written_again(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(closure, "cut", lambda df: (written.append(set(df.columns)), cut(df))[1])
+    edges = spark.createDataFrame([("g", 1, 2), ("g", 2, 2), ("g", 2, 3), ("g", 4, 5)], "graph_id string, source bigint, target bigint")
+    seeds = spark.createDataFrame([("g", 1), ("g", 9)], "graph_id string, node bigint")
+    universe = spark.createDataFrame([("g", n) for n in range(1, 6)], "graph_id string, node bigint")
+    got = closure.reachable(edges, seeds, universe, ready=True)
+    assert sorted(r["node"] for r in got.collect()) == [1, 2, 3]
+    assert all("source" not in columns for columns in written)
