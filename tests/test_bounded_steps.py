@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import casebook, closure, evidence
+from weftgraph.operators import casebook, closure, evidence, refine
 from weftgraph.plans import source_queries
-from weftgraph.session import cut
+from weftgraph.session import Beside, Scratch, cut
 from weftgraph.sources import binaries
 
 
@@ -63,3 +63,27 @@ def test_ready_edges_are_not_written_again(spark, monkeypatch):
     got = closure.reachable(edges, seeds, universe, ready=True)
     assert sorted(r["node"] for r in got.collect()) == [1, 2, 3]
     assert all("source" not in columns for columns in written)
+
+
+def test_rounds_shuffle_colours_not_edges(spark, capsys, monkeypatch):
+    """Edges are laid out by the node that is seen, in buckets by their number; what nodes see is summed before it is shuffled."""
+    nodes = spark.createDataFrame([("g", n, "user", True, None) for n in "abcd"], "graph_id string, id string, type string, scored boolean, color_class string")
+    edges = spark.createDataFrame([("g", "a", "b", 1), ("g", "c", "d", 1), ("g", "d", "a", 2), ("g", "a", "a", 1), ("g", "b", "x", 1)], "graph_id string, src string, dst string, count bigint")
+    with Scratch(spark) as scratch, Beside(scratch) as beside:
+        layout = refine._Layout(nodes, edges, scratch, beside)
+        colors = scratch.table(layout.seeds(("full",), refine.ANCHORS))
+        assert layout.ends.count() == 8  # a self edge and one to a stranger have one row
+        seen = layout.seen(colors.hint("shuffle_hash"))
+        plan = _plan(seen, capsys)
+        assert plan.count("Exchange") == 1
+        assert layout.buckets == beside.buckets
+        monkeypatch.setattr(refine, "BUCKET", 1)
+        assert refine._Layout(nodes, edges, scratch, beside).buckets == 10
+
+
+def test_anchors_share_the_edges(spark):
+    nodes = spark.createDataFrame([("g", "a", "user", True, None), ("g", "b", "user", True, None), ("g", "s", "anchor", False, "ROLE:x"), ("g", "t", "anchor", False, "ROLE:x")], "graph_id string, id string, type string, scored boolean, color_class string")
+    edges = spark.createDataFrame([("g", "a", "s", 1), ("g", "b", "t", 1)], "graph_id string, src string, dst string, count bigint")
+    colors = refine.refine(nodes, edges, anchors=refine.ANCHORS)[0]
+    got = {(r["anchors"], r["id"]): r["class_id"] for r in refine.with_class(colors, ("graph_id", "mode", "anchors")).collect()}
+    assert got == {("role", "a"): "a", ("role", "b"): "a", ("role", "s"): "s", ("role", "t"): "s"} | {("address", n): n for n in "abst"}

@@ -128,11 +128,8 @@ def scored_clusters(spark, sf_dir):
 @query("SELECT * FROM (" + oracle.refined("trade", "full", 4) + " SELECT 'role' AS policy, id, c AS class_id FROM last WHERE scored) UNION ALL SELECT * FROM (" + oracle.refined("trade", "full", 4, "CAST(NULL AS STRING)") + " SELECT 'address' AS policy, id, c AS class_id FROM last WHERE scored)")
 def role_vs_address_anchors(spark, sf_dir):
     nodes, edges = _bind(spark, sf_dir)("trade_nodes", "trade_edges")
-    policies = {"role": nodes, "address": nodes.withColumn("color_class", F.lit(None).cast("string"))}
-    both = [df.withColumn("graph_id", F.lit(p)) for p, df in policies.items()]
-    twice = edges.withColumn("graph_id", F.explode(F.array(*[F.lit(p) for p in policies])))
-    colors = refine.refine(both[0].unionByName(both[1]), twice)[0]
-    return refine.with_class(colors.where("scored")).select(F.col("graph_id").alias("policy"), "id", "class_id")
+    colors = refine.refine(nodes, edges, anchors=refine.ANCHORS)[0]
+    return refine.with_class(colors.where("scored"), ("anchors",)).select(F.col("anchors").alias("policy"), "id", "class_id")
 
 
 # Scoring

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -101,6 +103,18 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """Steps planned within have ``least`` shuffle partitions, or more where the session has more: tasks don't grow with the tables."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(least, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Beside:
     """Tables of one operator that are dealt out alike by their keys, into as many files, so that joins on these need no shuffle.
 
@@ -118,12 +132,12 @@ class Beside:
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def table(self, df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
+    def table(self, df: DataFrame, *keys: str, dealt: bool = False, buckets: int | None = None) -> DataFrame:
         """``df``, computed once; ``dealt``: its rows lie in tasks by the keys already."""
-        name = f"beside_{uuid.uuid4().hex}"
+        name, buckets = f"beside_{uuid.uuid4().hex}", buckets or self.buckets
         self.names.append(name)
-        rows = df if dealt else df.repartition(self.buckets, *keys)
-        rows.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.scratch.folder}/{name}").saveAsTable(name)
+        rows = df if dealt else df.repartition(buckets, *keys)
+        rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.scratch.folder}/{name}").saveAsTable(name)
         return self.spark.table(name)
 
 
