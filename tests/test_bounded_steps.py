@@ -87,3 +87,19 @@ def test_anchors_share_the_edges(spark):
     colors = refine.refine(nodes, edges, anchors=refine.ANCHORS)[0]
     got = {(r["anchors"], r["id"]): r["class_id"] for r in refine.with_class(colors, ("graph_id", "mode", "anchors")).collect()}
     assert got == {("role", "a"): "a", ("role", "b"): "a", ("role", "s"): "s", ("role", "t"): "s"} | {("address", n): n for n in "abst"}
+
+
+def test_classified_partitions_follow_instructions(spark, monkeypatch):
+    """More instructions, more shuffle partitions; rows without a slot or a target meet no table by it."""
+    seen, joined = [], []
+    monkeypatch.setattr(evidence, "TASK", 1)
+    monkeypatch.setattr(evidence, "cut", lambda df: (seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), cut(df))[1])
+    placed = evidence.direct_target
+    monkeypatch.setattr(evidence, "direct_target", lambda sites, functions: (joined.extend(r["target"] for r in sites.collect()), placed(sites, functions))[1])
+    ops = [("g", 0, 8 * i, 8, "call", "x", "memory", True, False, None, i % 3 or None) for i in range(7)]
+    ops = spark.createDataFrame(ops, "graph_id string, source bigint, callsite bigint, length bigint, mnemonic string, text string, operand string, is_call boolean, is_jump boolean, imm_target bigint, slot bigint")
+    functions = spark.createDataFrame([("g", 0, 64, False)], "graph_id string, address bigint, size bigint, is_import boolean")
+    slots = spark.createDataFrame([("g", 1, 0)], "graph_id string, slot bigint, slot_target bigint")
+    got = {(r["callsite"], r["status"], r["target"]) for r in evidence.classify(ops, functions, slots).collect()}
+    assert got == {(8 * i, "resolved", 0) if i % 3 == 1 else (8 * i, "unresolved", None) for i in range(7)}
+    assert joined == [0, 0] and set(seen) == {7} and spark.conf.get("spark.sql.shuffle.partitions") == "4"

@@ -7,10 +7,13 @@ from pyspark.sql.window import Window
 
 from weftgraph.operators.sweep import first_holding
 from weftgraph.schemas import INFERRED, REJECTIONS, RELOCATION
+from weftgraph.session import cut, partitions
 
 SITE = ["graph_id", "source", "callsite"]
 #: Jump kinds of control flow, by kind of transfer. Fixed values.
 JUMP_KINDS = {"call": "Ijk_Call", "tail-call": "Ijk_Boring"}
+#: Rows of a shuffle partition, about, where instructions are classified.
+TASK = 1 << 20
 #: Instructions that may follow a terminal jump.
 PADDING = ("nop", "int3", "trap")
 
@@ -67,12 +70,23 @@ def classify(ops: DataFrame, functions: DataFrame, relocations: DataFrame) -> Da
     functions: schemas.FUNCTIONS and ``is_import``; relocations: (graph_id, slot, slot_target).
     A known import is filtered, a known function resolved; an exact target without a function stays unmapped for calls
     and relocations; an indirect call, and an indirect jump that ends its function, are unresolved; the rest isn't
-    evidence.
+    evidence. Shuffle partitions follow the number of instructions.
     """
-    rows = with_terminal(ops).where("is_call or is_jump").join(relocations, ["graph_id", "slot"], "left")
-    rows = rows.withColumn("target", F.coalesce("imm_target", "slot_target")).withColumn("kind", F.when(F.col("is_call"), "call").otherwise("tail-call"))
-    rows = rows.withColumn("by_slot", F.col("imm_target").isNull() & F.col("slot_target").isNotNull())
-    rows = direct_target(rows, functions)
+    with partitions(ops.sparkSession, -(-ops.count() // TASK)):
+        return cut(_classified(ops, functions, relocations))
+
+
+def _classified(ops: DataFrame, functions: DataFrame, relocations: DataFrame) -> DataFrame:
+    """``classify``, step by step. Rows without a slot or a target stay out of the joins on these, where they would be one key."""
+    moves = F.col("is_call") | F.col("is_jump")
+    by_slot = F.coalesce(moves & F.col("imm_target").isNull() & F.col("slot").isNotNull(), F.lit(False))
+    slots = ops.where(by_slot).join(relocations, ["graph_id", "slot"], "left")
+    rows = slots.unionByName(ops.where(~by_slot), allowMissingColumns=True).select(
+        *SITE, "mnemonic", "is_call", "is_jump", *[F.when(moves, F.col(c)).alias(c) for c in ("text", "operand", "imm_target", "slot_target")],
+    )
+    rows = with_terminal(rows).where(moves).withColumn("target", F.coalesce("imm_target", "slot_target")).withColumn("kind", F.when(F.col("is_call"), "call").otherwise("tail-call"))
+    rows = cut(rows.withColumn("by_slot", F.col("imm_target").isNull() & F.col("slot_target").isNotNull()).drop("mnemonic", "imm_target", "slot_target"))
+    rows = direct_target(rows.where("target is not null"), functions).unionByName(rows.where("target is null"), allowMissingColumns=True)
     start = F.when(F.col("by_slot"), F.when(F.col("function") == F.col("target"), F.col("function"))).otherwise(F.col("function"))
     known = functions.select("graph_id", F.col("address").alias("function__"), "is_import")
     rows = rows.withColumn("function__", start).join(known, ["graph_id", "function__"], "left")
