@@ -11,6 +11,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
+#: Bytes of rows in memory for a byte of their files, at most, about.
+UNPACKED = 40.0
+
+
 def local_session(app: str = "weftgraph", cores: int | str = "*", shuffle: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own session."""
     builder = (
@@ -105,14 +109,20 @@ class Scratch:
 
 @contextmanager
 def partitions(spark: SparkSession, least: int) -> Iterator[None]:
-    """Steps planned within have ``least`` shuffle partitions, or more where the session has more: tasks don't grow with the tables."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(least, int(before))))
+    """Steps planned within have ``least`` shuffle partitions, or more where the session has more: tasks don't grow with the tables.
+
+    Files count UNPACKED times their size: tables of numbers lie packed so well that the driver would broadcast millions
+    of rows.
+    """
+    keys = {"spark.sql.shuffle.partitions": lambda v: max(least, int(v)), "spark.sql.sources.fileCompressionFactor": lambda v: max(UNPACKED, float(v))}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, more in keys.items():
+        spark.conf.set(k, str(more(before[k])))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Beside:
