@@ -7,8 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from weftgraph.operators import casebook, closure, evidence, refine
-from weftgraph.plans import source_queries
-from weftgraph.session import Beside, Scratch, cut
+from weftgraph.plans import queries, source_queries
+from weftgraph.session import Beside, Scratch, cut, partitions
 from weftgraph.sources import binaries
 
 
@@ -103,3 +103,21 @@ def test_classified_partitions_follow_instructions(spark, monkeypatch):
     got = {(r["callsite"], r["status"], r["target"]) for r in evidence.classify(ops, functions, slots).collect()}
     assert got == {(8 * i, "resolved", 0) if i % 3 == 1 else (8 * i, "unresolved", None) for i in range(7)}
     assert joined == [0, 0] and set(seen) == {7} and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_packed_tables_are_not_broadcast(spark, capsys):
+    """A table of numbers takes a small part of its rows' size on disk; it counts as what its rows take."""
+    with Scratch(spark) as scratch:
+        nodes = scratch.table(spark.range(1 << 20).select("id", F.lit(1).alias("m")))
+        with partitions(spark, 9):
+            assert "BroadcastHashJoin" not in _plan(nodes.join(nodes.withColumnRenamed("m", "n"), "id"), capsys)
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.sources.fileCompressionFactor") == "1.0"
+
+
+def test_multiset_partitions_follow_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(refine, "BUCKET", 1000)
+    monkeypatch.setattr(queries, "cut", lambda df: (seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), cut(df))[1])
+    rows = queries.neighbor_multiset_out(spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and seen == [6, 6]

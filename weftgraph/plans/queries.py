@@ -10,6 +10,7 @@ from weftgraph.functions import scalars, symbols
 from weftgraph.operators import audit, checks, closure, diagnostics, evidence, projection, refine, scoring, truth
 from weftgraph.plans import oracle
 from weftgraph.schemas import MODES
+from weftgraph.session import cut, partitions, table
 from weftgraph.sources import sinks
 from weftgraph.sources.bridges import view, with_views
 
@@ -60,8 +61,11 @@ def seed_classes_in(spark, sf_dir):
 
 
 def _multiset(spark, sf_dir, direction):
-    nodes, edges = _bind(spark, sf_dir)("trade_nodes", "trade_edges")
-    return refine.neighbour_multiset(refine.seeds(nodes, edges, ("full",)), edges, direction).select("id", "color", "weight")
+    """Edges are made once, and shuffle partitions follow the lines that make them."""
+    with partitions(spark, -(-table(spark, sf_dir, "lineitem").count() // refine.BUCKET)):
+        nodes, edges = _bind(spark, sf_dir)("trade_nodes", "trade_edges")
+        edges = cut(edges)
+        return cut(refine.neighbour_multiset(refine.seeds(nodes, edges, ("full",)), edges, direction).select("id", "color", "weight"))
 
 
 @query(oracle.multiset("trade", "src", "dst"))
