@@ -6,8 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import casebook, closure, evidence, refine
-from weftgraph.plans import queries, source_queries
+from weftgraph.operators import casebook, closure, evidence, refine, reports, scoring
+from weftgraph.plans import queries, report_queries, source_queries
 from weftgraph.session import Beside, Scratch, cut, partitions
 from weftgraph.sources import binaries
 
@@ -121,3 +121,58 @@ def test_multiset_partitions_follow_lines(spark, monkeypatch):
     monkeypatch.setattr(queries, "cut", lambda df: (seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), cut(df))[1])
     rows = queries.neighbor_multiset_out(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and seen == [6, 6]
+
+
+GRAPH_NODES = "graph_id string, id string, type string, scored boolean, color_class string"
+GRAPH_EDGES = "graph_id string, src string, dst string, count bigint"
+
+
+def test_modes_count_their_cells_once(spark, capsys, monkeypatch):
+    """Scores of modes number no clusters, and read members once: what follows reads their counted cells."""
+    kept = []
+    monkeypatch.setattr(refine, "scored_clusters", None)
+    monkeypatch.setattr(reports, "cut", lambda df: (kept.append(cut(df)), kept[-1])[1])
+    rows = report_queries.score_modes(spark, "/root/testdata/sf0.001")
+    assert len(rows.collect()) == 4
+    (cells,) = kept
+    assert cells.columns == ["graph_id", "mode", "cluster", "origin", "n"] and cells.count() < 1000
+    assert "color" not in _plan(rows, capsys)
+
+
+def test_sums_meet_the_nodes_once(spark, capsys):
+    nodes = spark.createDataFrame([("g", n, "user", True, None) for n in "abcd"], GRAPH_NODES)
+    edges = spark.createDataFrame([("g", "a", "b", 1), ("g", "c", "d", 1), ("g", "d", "a", 2)], GRAPH_EDGES)
+    with Scratch(spark) as scratch, Beside(scratch) as beside:
+        layout = refine._Layout(nodes, edges, scratch, beside)
+        colors = scratch.table(layout.seeds(("in",), ("role",)))
+        signed = refine._signed(colors.select("m", "node", "color"), colors, layout, 128)
+        assert signed.columns == [*colors.columns, "now"]
+        names = {r["node"]: r["id"] for r in layout.names.collect()}
+        assert sorted(names[r["node"]] for r in signed.where("now is null").collect()) == ["c"]  # the one without a caller
+        assert signed.count() == 4
+        plan = _plan(signed, capsys).split("== Initial Plan ==")[-1]
+        assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join", plan)) == 2  # the edges, the nodes
+
+
+def test_labels_travel_with_the_nodes(spark):
+    """Labels that nodes carry count like labels that are joined afterwards: several of a member, null ones, none at all."""
+    nodes = spark.createDataFrame([("g", n, "user", True, None) for n in "abcdef"] + [("g", "x", "anchor", False, "ROLE:root"), ("h", "a", "user", True, None)], GRAPH_NODES)
+    edges = spark.createDataFrame([("g", n, "x", 1 + (n in "ef")) for n in "abcdef"] + [("g", "a", "b", 1)], GRAPH_EDGES)
+    rows = [("g", "one", "a"), ("g", "two", "a"), ("g", "one", "b"), ("g", None, "c"), ("g", "two", "d"), ("g", "two", "d"), ("g", "one", "e"), ("g", "one", "f"), ("h", "one", "a"), ("g", "one", None)]
+    truth = spark.createDataFrame(rows, "graph_id string, origin string, member string")
+    colors = refine.refine(scoring.with_labels(nodes, truth), edges, ("full", "in"), carry=("labels",))[0]
+    plain = refine.refine(nodes, edges, ("full", "in"))[0]
+    assert plain.columns == [c for c in colors.columns if c != "labels"]
+    got, want = scoring.labelled_members(colors), scoring.cluster_members(plain, truth)
+    named = lambda df: sorted(map(str, df.groupBy("graph_id", "mode", "id", "origin").count().collect()))
+    assert named(got) == named(want) and got.count() == 18
+    counts = lambda df: sorted(map(str, scoring.pair_counts(df).collect()))
+    assert counts(got) == counts(want)
+
+
+def test_scores_without_names_are_the_same(spark):
+    graph, truth = report_queries._geo(spark, "/root/testdata/sf0.001")
+    full, bare = reports.score(graph, truth, ("full", "in")), reports.score(graph, truth, ("full", "in"), named=False)
+    assert set(full) == {"metrics", "coverage", "clusters", "abstentions", "origins"} and set(bare) == {"metrics", "coverage"}
+    for part in bare:
+        assert sorted(map(str, bare[part].collect())) == sorted(map(str, full[part].collect())), part

@@ -79,12 +79,12 @@ class _Layout:
     """Nodes as numbers, and the edges laid out once by the node at either end: (here, there, out, count, stray).
 
     ``out`` tells the direction; a self edge is one row. Where the other end is no node, ``there`` is null and ``stray``
-    its name: it counts in a degree and has no colour.
+    its name: it counts in a degree and has no colour. ``carry`` names further columns of the nodes.
     """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, scratch: Scratch, beside: Beside):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, scratch: Scratch, beside: Beside, carry: tuple[str, ...] = ()):
         self.scratch = scratch
-        placed = scratch.table(nodes.select("graph_id", "id", "type", "scored", "color_class").withColumn("at", F.monotonically_increasing_id()))
+        placed = scratch.table(nodes.select("graph_id", "id", "type", "scored", "color_class", *carry).withColumn("at", F.monotonically_increasing_id()))
         part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
         last_part, last_row = placed.agg(F.coalesce(F.max(part), F.lit(0)), F.coalesce(F.max(row), F.lit(0))).first()
         self.names = placed.withColumn("node", row * (last_part + 1) + part).drop("at")
@@ -119,10 +119,10 @@ class _Layout:
         far = colors.select("m", F.col("node").alias("here"), "color").join(self.ends, "here").where("there <> here")
         return far.select("m", F.col("there").alias("node"), (~F.col("out")).alias("out"), "color", "count").where(_MAY_USE)
 
-    def named(self, colors: DataFrame) -> DataFrame:
-        """``colors`` with modes, anchors and ids by name."""
+    def named(self, colors: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+        """``colors`` with modes, anchors and ids by name, and the nodes' columns ``carry``."""
         more = [c for c in colors.columns if c not in ("graph_id", "m", "node", "no_callee", "color")]
-        return colors.join(self.names.select("node", "id", "scored"), "node").select("graph_id", _name("mode"), _name("anchors"), "id", "scored", "no_callee", F.col("color").cast("string").alias("color"), *more)
+        return colors.join(self.names.select("node", "id", "scored", *carry), "node").select("graph_id", _name("mode"), _name("anchors"), "id", "scored", "no_callee", F.col("color").cast("string").alias("color"), *more, *carry)
 
 
 def _name(part: str) -> Column:
@@ -137,17 +137,17 @@ _USES = f"out or m % {len(MODES)} <> {MODES.index('out-in')} or no_callee"
 
 
 def _signed(new: DataFrame, colors: DataFrame, layout: _Layout, bits: int) -> DataFrame:
-    """(m, node, now) of the nodes that see one of ``new`` (m, node, color): a digest of what they see of these colours.
+    """``colors`` with ``now``, for nodes that see one of ``new`` (m, node, color): a digest of what they see of these colours.
 
     A digest sums counts times numbers drawn by colour, so it needs no sums by colour and combines on the map side. What
-    it can't tell apart (or overflows) is left to the certificate.
+    it can't tell apart (or overflows) is left to the certificate. Sums meet the nodes once, where they are kept.
     """
     sums = [F.try_sum(F.when(F.col("out") == out, F.try_multiply(F.col("count").cast("bigint"), F.xxhash64(F.lit(k), "out", "color").bitwiseAND((1 << 31) - 1)))).alias(f"{'out' if out else 'in'}{k}") for out in (True, False) for k in (1, 2)]
     has = [F.max(F.col("out")).alias("has_out"), F.max(~F.col("out")).alias("has_in")]
-    found = layout.seen(new).groupBy("m", "node").agg(*sums, *has).join(colors.select("m", "node", "no_callee"), ["m", "node"])
+    found = colors.join(layout.seen(new).groupBy("m", "node").agg(*sums, *has), ["m", "node"], "left")
     callers = F.col("has_in") & F.expr(_USES.removeprefix("out or "))
     digest = F.xxhash64("out1", "out2", "has_out", F.when(callers, F.col("in1")), F.when(callers, F.col("in2")), callers)
-    return found.where(F.col("has_out") | callers).select("m", "node", (digest if bits >= 128 else F.pmod(digest, F.lit(1 << bits))).alias("now"))
+    return found.select(*colors.columns, F.when(F.col("has_out") | callers, digest if bits >= 128 else F.pmod(digest, F.lit(1 << bits))).alias("now"))
 
 
 def _uneven(colors: DataFrame, layout: _Layout) -> tuple[DataFrame, DataFrame]:
@@ -186,7 +186,7 @@ def differing(colors: DataFrame, layout: _Layout) -> DataFrame | None:
 
 def refine(
     nodes: DataFrame, edges: DataFrame, modes: tuple[str, ...] = ("full",), trace: bool = False, rounds: int | None = None, bits: int = 128, digested: list[int] | None = None,
-    anchors: tuple[str, ...] = ("role",),
+    anchors: tuple[str, ...] = ("role",), carry: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Refine to the fixpoint: (colours, rounds by graph and mode, colours of every round or None).
 
@@ -196,22 +196,21 @@ def refine(
     checkpoint it has statistics, so joins of small tables need no shuffle). ``bits`` under 128 is
     for tests of colliding digests: the partition is the same, rounds may differ. ``digested`` gets the nodes that each
     round digested. With several ``anchors`` (of ANCHORS) each is refined beside the others on the same edges, and the
-    results have a column ``anchors``.
+    results have a column ``anchors``. ``carry`` names further columns of the nodes that the colours keep.
     """
     check_modes(modes)
     one = ["anchors"] * (len(anchors) == 1)
     with Scratch(nodes.sparkSession) as scratch, Beside(scratch) as beside, partitions(nodes.sparkSession, 1):
-        layout = _Layout(nodes, edges, scratch, beside)
+        layout = _Layout(nodes, edges, scratch, beside, carry)
         with partitions(nodes.sparkSession, layout.buckets):
             colors = scratch.table(layout.seeds(modes, anchors))
             moved, number = colors.select("m", "node", "color"), 0
             counted, history = [_classes(colors, 0)], [colors.withColumn("round", F.lit(0))]
             while rounds is None or number < rounds:
                 number += 1
-                signs = _signed(moved, colors, layout, bits)
+                signed = scratch.table(_signed(moved, colors, layout, bits))
                 if digested is not None:
-                    digested.append(signs.count())
-                signed = scratch.table(colors.join(signs, ["m", "node"], "left"))
+                    digested.append(signed.where("now is not null").count())
                 parts = scratch.table(signed.groupBy("graph_id", "m", "color", "now").agg(F.count("*").alias("n"), F.min("node").alias("first")))
                 counted.append(parts.groupBy("graph_id", "m").agg(F.count("*").alias("classes")).withColumn("round", F.lit(number)))
                 keeps = parts.groupBy("m", "color").agg(F.count("*").alias("parts"), F.max(F.struct("n", "first")).alias("keeps")).where("parts > 1")
@@ -232,7 +231,7 @@ def refine(
                     history.append(colors.withColumn("round", F.lit(number)))
                 if joined is None:
                     break
-            every, colors = cut(reduce(DataFrame.unionByName, counted).select("graph_id", _name("mode"), _name("anchors"), "classes", "round")), cut(layout.named(colors).drop(*one))
+            every, colors = cut(reduce(DataFrame.unionByName, counted).select("graph_id", _name("mode"), _name("anchors"), "classes", "round")), cut(layout.named(colors, carry).drop(*one))
             history = cut(layout.named(reduce(DataFrame.unionByName, history)).drop(*one)) if trace else None
     keys = [c for c in (*GRAPH, "anchors") if c not in one]
     last = every.groupBy(*keys).agg(F.max("classes").alias("classes"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from weftgraph.functions.scalars import display_symbol, metric_text
 from weftgraph.operators import checks, refine, scoring
 from weftgraph.schemas import MODES
+from weftgraph.session import cut
 from weftgraph.sources import documents
 
 KEYS = ("graph_id", "mode")
@@ -50,25 +51,29 @@ def scored_abstentions(abstentions: DataFrame, truth: DataFrame, symbols: DataFr
     return rows.select("graph_id", "id", "symbols", "origin", "reason")
 
 
-def score(graph: dict[str, DataFrame], truth: dict[str, DataFrame], modes: tuple[str, ...] = ("full",), trace: bool = False) -> dict[str, DataFrame]:
+def score(graph: dict[str, DataFrame], truth: dict[str, DataFrame], modes: tuple[str, ...] = ("full",), trace: bool = False, named: bool = True) -> dict[str, DataFrame]:
     """Refine graphs in the modes and score them. Ids must be the truth's exactly; otherwise an error names the first ones.
 
     graph: nodes, edges, abstentions; truth: truth, symbols. Gives metrics (with rounds), coverage, clusters,
-    abstentions, origins and, with ``trace``, history; all by (graph_id, mode) but the abstentions.
+    abstentions, origins and, with ``trace``, history; all by (graph_id, mode) but the abstentions. Without ``named``
+    it gives metrics, coverage and history alone: clusters are numbered at once, by a sort that these don't need.
     """
     labels = truth["truth"]
     checks.assert_valid(checks.violations_universe(graph["nodes"], graph["abstentions"], labels))
-    colors, rounds, history = refine.refine(graph["nodes"], graph["edges"], modes, trace)
+    colors, rounds, history = refine.refine(scoring.with_labels(graph["nodes"], labels), graph["edges"], modes, trace, carry=("labels",))
     by_mode = lambda df: df.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
-    members = scoring.cluster_members(colors, labels)
-    counts = scoring.pair_counts(members, KEYS)
+    members = scoring.labelled_members(colors)
+    counts = scoring.cell_counts(cut(scoring.contingency(members, KEYS)), KEYS)
     metrics = scoring.with_metrics(rounds.select(*KEYS, "rounds").join(counts, [*KEYS], "left").fillna(0, ["members", "tp", "fp", "fn", "tn"]))
-    cells, gone = members.select(*KEYS, "id", "cluster", "origin"), by_mode(graph["abstentions"].select("graph_id", "id"))
-    first = labels.groupBy("graph_id", "origin").agg(F.min("member").alias("first"))
-    return {
-        "metrics": metrics, "coverage": scoring.coverage(cells.select(*KEYS, "id"), gone, by_mode(labels), counts, KEYS), "clusters": predicted_clusters(colors, labels, truth["symbols"]),
-        "abstentions": scored_abstentions(graph["abstentions"], labels, truth["symbols"]), "origins": scoring.origin_scores(by_mode(labels), cells, gone, KEYS, named=True).join(first, ["graph_id", "origin"]),
-    } | ({"history": history} if trace else {})
+    gone = by_mode(graph["abstentions"].select("graph_id", "id"))
+    scored = {"metrics": metrics, "coverage": scoring.coverage(None, gone, by_mode(labels), counts, KEYS)} | ({"history": history} if trace else {})
+    if not named:
+        return scored
+    cells, first = members.select(*KEYS, "id", "cluster", "origin"), labels.groupBy("graph_id", "origin").agg(F.min("member").alias("first"))
+    return scored | {
+        "clusters": predicted_clusters(colors, labels, truth["symbols"]), "abstentions": scored_abstentions(graph["abstentions"], labels, truth["symbols"]),
+        "origins": scoring.origin_scores(by_mode(labels), cells, gone, KEYS, named=True).join(first, ["graph_id", "origin"]),
+    }
 
 
 def score_documents(spark: SparkSession, graphs: str | list[str], truths: str | list[str], modes: tuple[str, ...] = ("full",), trace: bool = False) -> dict[str, DataFrame]:

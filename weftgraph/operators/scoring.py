@@ -17,7 +17,11 @@ def contingency(members: DataFrame, keys: tuple[str, ...] = ("graph_id", "mode")
 
 def pair_counts(members: DataFrame, keys: tuple[str, ...] = ("graph_id", "mode")) -> DataFrame:
     """tp, fp, fn, tn over unordered member pairs. members: keys, cluster, origin; one row per member."""
-    cells = contingency(members, keys)
+    return cell_counts(contingency(members, keys), keys)
+
+
+def cell_counts(cells: DataFrame, keys: tuple[str, ...] = ("graph_id", "mode")) -> DataFrame:
+    """``pair_counts`` of members that are counted already: cells as of ``contingency``, read three times."""
     together = cells.groupBy(*keys).agg(F.sum(pairs(F.col("n"))).alias("tp"), F.sum("n").alias("members"))
     clusters = cells.groupBy(*keys, "cluster").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(pairs(F.col("n"))).alias("same_cluster"))
     origins = cells.groupBy(*keys, "origin").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(pairs(F.col("n"))).alias("same_origin"))
@@ -37,12 +41,14 @@ def with_metrics(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": precision, "recall": recall, "f1": f1, "ari": ari})
 
 
-def coverage(scored: DataFrame, abstained: DataFrame, truth: DataFrame, counts: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+def coverage(scored: DataFrame | None, abstained: DataFrame, truth: DataFrame, counts: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
     """Target, pair-decision and same-family coverage and effective recall, by keys.
 
-    scored, abstained: (keys, id); truth: (keys, origin, member); counts: pair_counts by keys.
+    scored, abstained: (keys, id); truth: (keys, origin, member); counts: pair_counts by keys, which count the scored, too,
+    where these are None.
     """
-    grouped, left = scored.groupBy(*keys).agg(F.count("*").alias("grouped")), abstained.groupBy(*keys).agg(F.count("*").alias("abstained"))
+    grouped = counts.select(*keys, F.col("members").alias("grouped")) if scored is None else scored.groupBy(*keys).agg(F.count("*").alias("grouped"))
+    left = abstained.groupBy(*keys).agg(F.count("*").alias("abstained"))
     families = truth.groupBy(*keys, "origin").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum(pairs(F.col("n"))).alias("family_pairs"))
     rows = families.join(grouped, [*keys], "left").join(left, [*keys], "left").join(counts.select(*keys, "tp", "fn"), [*keys], "left")
     rows = rows.fillna(0, ["grouped", "abstained", "tp", "fn"]).withColumn("targets", F.col("grouped") + F.col("abstained"))
@@ -100,3 +106,15 @@ def cluster_members(colors: DataFrame, truth: DataFrame, symbols: DataFrame | No
     """Scored members with their cluster (colour), origin and, where given, display names."""
     rows = colors.where("scored").select("graph_id", "mode", "id", F.col("color").alias("cluster")).join(truth.withColumnRenamed("member", "id"), ["graph_id", "id"], "left")
     return rows if symbols is None else rows.join(symbols.withColumnRenamed("member", "id"), ["graph_id", "id"], "left")
+
+
+def with_labels(nodes: DataFrame, truth: DataFrame) -> DataFrame:
+    """Nodes with ``labels``, an array of their truth's rows, so that members of all modes need no join of their own."""
+    held = truth.groupBy("graph_id", F.col("member").alias("id")).agg(F.collect_list(F.struct("origin")).alias("labels"))
+    return nodes.join(held, ["graph_id", "id"], "left")
+
+
+def labelled_members(colors: DataFrame) -> DataFrame:
+    """``cluster_members`` of colours that carry ``labels``."""
+    rows = colors.where("scored").select("graph_id", "mode", "id", F.col("color").alias("cluster"), F.explode_outer("labels").alias("label"))
+    return rows.select("graph_id", "mode", "id", "cluster", "label.origin")

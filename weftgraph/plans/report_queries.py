@@ -41,7 +41,7 @@ _ONE = """ SELECT '{0}' AS mode, (SELECT min(round) FROM trace WHERE state = 'fi
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({oracle.pair_counts(m)}{_ONE.format(m)})" for m in MODES))
 def score_modes(spark, sf_dir):
-    scored = reports.score(*_geo(spark, sf_dir), MODES)
+    scored = reports.score(*_geo(spark, sf_dir), MODES, named=False)
     covered = scored["coverage"].select("mode", "target_coverage", "effective_family_pair_recall")
     return scored["metrics"].join(covered, "mode").select("mode", F.col("rounds").cast("bigint").alias("rounds"), "tp", "fp", "fn", "tn", "target_coverage", "effective_family_pair_recall")
 
