@@ -36,6 +36,21 @@ def test_documents_span_few_keys(spark, tmp_path):
     assert got == [("0", start + '{"key":1},{"key":2}]}'), ("0", start + '{"key":%d}]}' % span), ("1", start + "]}")]
 
 
+def test_truths_span_few_keys(spark, tmp_path, monkeypatch):
+    """Every customer of a known nation is a member, nameless, keyless and repeated ones included; segments are origins once a document."""
+    spark.createDataFrame([(0,), (1,), (2,)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    span = source_queries.SPAN
+    rows = [(3, "b", 0, "X"), (2, "a", 0, "X"), (2, "a", 0, "X"), (1, None, 0, "Y"), (span, "c", 0, "X"), (-1, 'q"\\\n\u00e9', 0, ""), (5, "d", 0, None), (None, "e", 0, "X"), (6, "a", 2, "X"), (7, "f", 9, "X"), (8, "g", None, "X")]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    made = []
+    monkeypatch.setattr(source_queries, "_document", lambda df, schema, read=source_queries._document: (made.append(df), read(df, schema))[1])
+    got = sorted(map(repr, map(tuple, source_queries.document_truths(spark, str(tmp_path)).collect())))
+    assert got == sorted(repr((str(nation), segment, name)) for _, name, nation, segment in rows if nation in (0, 2))
+    docs = [r["json"] for r in made[0].where("graph_id = 0").collect()]
+    first = '{"schema_version":6,"origins":[{"origin":null,"members":["d"]},{"origin":"X","members":["a","a","b"]},{"origin":"Y","members":[null]}]}'
+    assert len(docs) == 4 and first in docs and '{"schema_version":6,"origins":[{"origin":"X","members":["c"]}]}' in docs
+
+
 def test_results_do_not_carry_their_document(spark, capsys):
     docs = spark.createDataFrame([("p", '{"results":[{"case":"a","pairwise":{"TP":1}}],"run_summary":{}}')], "path string, json string")
     rows = casebook.records(docs)

@@ -26,9 +26,9 @@ def _part(key: str):
     return F.floor(F.col(key) / SPAN)
 
 
-def _list(rows: DataFrame, key: str, item, order: str) -> DataFrame:
-    """(k, part, o, j): items as JSON texts, the document of each, and their order in it."""
-    return rows.select(F.col(key).cast("int").alias("k"), _part(order).alias("part"), F.col(order).cast("string").alias("o"), F.to_json(item, {"ignoreNullFields": "false"}).alias("j"))
+def _list(rows: DataFrame, key: str, item, order: str, span: str | None = None) -> DataFrame:
+    """(k, part, o, j): items as JSON texts, the document of each, and their order in it; documents span keys of the order, or of another column."""
+    return rows.select(F.col(key).cast("int").alias("k"), _part(span or order).alias("part"), F.col(order).cast("string").alias("o"), F.to_json(item, {"ignoreNullFields": "false"}).alias("j"))
 
 
 def _nations(spark, sf_dir, **lists: DataFrame) -> DataFrame:
@@ -91,7 +91,9 @@ def document_abstentions(spark, sf_dir):
 
 @query("""SELECT CAST(c_nationkey AS STRING) AS graph_id, c_mktsegment AS origin, c_name AS member FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)""")
 def document_truths(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment", _part("c_custkey").alias("part")).agg(F.array_sort(F.collect_list("c_name")).alias("members"), F.min("c_custkey").alias("c_custkey"))
+    """Segments as origins, once in each document that has customers of them; customers without a name are members, too."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct("c_name"))), lambda x: x["c_name"])
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment", _part("c_custkey").alias("part")).agg(names.alias("members"), F.min("c_custkey").alias("c_custkey"))
     docs = _nations(spark, sf_dir, origins=_list(rows, "c_nationkey", F.struct(F.col("c_mktsegment").alias("origin"), "members"), "c_mktsegment", "c_custkey"))
     return documents.truths(_document(docs, documents.TRUTH))["truth"]
 
